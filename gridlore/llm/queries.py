@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from gridlore.llm.media import op5_png_media
 from gridlore.llm.ngram_join import op4_ngram_join
+from gridlore.llm.packing import op6_pack_tiers
+from gridlore.llm.rules import OP7_SQL, op7_rule_ledger
 
 QUERIES = {
     "op4_ngram_join": op4_ngram_join,
+    "op5_png_media": op5_png_media,
+    "op6_pack_tiers": op6_pack_tiers,
+    "op7_rule_ledger": op7_rule_ledger,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_rule_ledger": OP7_SQL}
