@@ -6,8 +6,10 @@ from gridlore.llm.media import op5_png_media
 from gridlore.llm.ngram_join import op4_ngram_join
 from gridlore.llm.packing import op6_pack_tiers
 from gridlore.llm.rules import OP7_SQL, op7_rule_ledger
+from gridlore.llm.sharding import op1_label_shards
 
 QUERIES = {
+    "op1_label_shards": op1_label_shards,
     "op4_ngram_join": op4_ngram_join,
     "op5_png_media": op5_png_media,
     "op6_pack_tiers": op6_pack_tiers,
