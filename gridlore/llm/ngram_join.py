@@ -154,10 +154,11 @@ def ngram_classes(
     )
     rows = signed.select(RID, "doc_id", "node", (F.size("bands") == 0).alias("empty"))
     group = cut(candidate_groups(signed))
-    # One text a node: copies meet in a partial aggregate before the shuffle.
+    # One text a node: copies meet in a partial aggregate before the shuffle. Candidates grow with the
+    # corpus, so they are never broadcast, however small they are today.
     texts = (
         docs.select(digest().alias("node"), text_or_empty().alias("text"))
-        .join(group, "node")
+        .join(group.hint("merge"), "node")
         .groupBy("node", "component")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
