@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridlore.llm.media import op5_png_media
+from gridlore.llm.mixing import OP2_SQL, op2_pareto_mix
 from gridlore.llm.ngram_join import op4_ngram_join
 from gridlore.llm.packing import op6_pack_tiers
 from gridlore.llm.rules import OP7_SQL, op7_rule_ledger
@@ -10,10 +11,14 @@ from gridlore.llm.sharding import op1_label_shards
 
 QUERIES = {
     "op1_label_shards": op1_label_shards,
+    "op2_pareto_mix": op2_pareto_mix,
     "op4_ngram_join": op4_ngram_join,
     "op5_png_media": op5_png_media,
     "op6_pack_tiers": op6_pack_tiers,
     "op7_rule_ledger": op7_rule_ledger,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_rule_ledger": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pareto_mix": OP2_SQL,
+    "op7_rule_ledger": OP7_SQL,
+}
