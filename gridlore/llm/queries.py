@@ -8,8 +8,10 @@ from gridlore.llm.mixing import OP2_SQL, op2_pareto_mix
 from gridlore.llm.ngram_join import op4_ngram_join
 from gridlore.llm.packing import op6_pack_tiers
 from gridlore.llm.passages import op8_passage_dedup
+from gridlore.llm.quality import op10_subword_quality
 from gridlore.llm.rules import OP7_SQL, op7_rule_ledger
 from gridlore.llm.sharding import op1_label_shards
+from gridlore.llm.toxicity import op9_ordinal_toxicity
 
 QUERIES = {
     "op1_label_shards": op1_label_shards,
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_pack_tiers": op6_pack_tiers,
     "op7_rule_ledger": op7_rule_ledger,
     "op8_passage_dedup": op8_passage_dedup,
+    "op9_ordinal_toxicity": op9_ordinal_toxicity,
+    "op10_subword_quality": op10_subword_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

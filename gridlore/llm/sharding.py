@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import RID, crc32_text, cut, digest, table, text_or_empty, with_row_id
 
 #: Rows that one task ranks at a time.
-RANKED = 20_000
+RANKED = 10_000
 _LEVELS = 40
 
 
@@ -87,7 +87,7 @@ def ranked(rows: DataFrame, group: str, into: str) -> DataFrame:
     """Number rows 0, 1, .. within ``group`` (a small fixed set of values): rows fall into even hash
     buckets, buckets are counted and their counts summed, and rows are ranked within their bucket."""
     n = rows.count()
-    buckets = max(1, n // RANKED)
+    buckets = max(64, n // RANKED)
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(RID), F.lit(buckets)).cast("int"))
     sums = rows.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
