@@ -1,7 +1,7 @@
 """Operator 10: a quality classifier on learned subword embeddings.
 
 Every word and every character n-gram of a text (with the white space at a word's ends) is hashed to
-a learned vector; a text is the mean of its vectors, and a softmax layer tells good from poor. The
+a learned vector, and every word 3-gram to one of two, as the text has it once or repeats it. A text is the mean of its vectors, and a softmax layer tells good from poor. The
 vectors are trained by numpy stochastic gradient descent on a bounded sample of labelled rows.
 
 Scoring needs one number a vector, its product with the difference of the two output rows, so all
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import table, text_or_empty
 from gridlore.llm.toxicity import labelled_sample
-from gridlore.llm.words import mix, stream
+from gridlore.llm.words import mix, stream, windows
 
 #: Hashed vectors, their length, and the n-gram sizes.
 VECTORS, WIDTH, GRAMS = 1 << 16, 12, (2, 3, 4)
+#: How often the vector of a word 3-gram, fresh or repeated, counts against one of a character n-gram.
+_WEIGHT = 6
 #: Labelled rows to train on at most, about.
 SAMPLE = 6_000
 #: A text is predicted good from this score on.
@@ -64,6 +66,12 @@ def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = np.add.reduceat(wide[place + np.repeat(start, size)] * stream(int(size.max()), 42)[place], begin)
         numbers.append((mix(words) % _U(VECTORS)).astype(np.int32))
         rows.append(np.searchsorted(ends, start, "right"))
+        row = rows[-1]
+        whole = np.flatnonzero(row[:-2] == row[2:])
+        window = windows(words, 3)[whole] + (row[whole] + 1).astype(_U) * _U(0x9E3779B97F4A7C15)
+        _, inverse, times = np.unique(mix(window), return_inverse=True, return_counts=True)
+        numbers.append(np.tile(np.where(times[inverse.reshape(-1)] > 1, VECTORS, VECTORS + 1).astype(np.int32), _WEIGHT))
+        rows.append(np.tile(row[whole], _WEIGHT))
     if not numbers:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
     return np.concatenate(numbers), np.minimum(np.concatenate(rows), max(len(texts) - 1, 0))
@@ -93,12 +101,14 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.4, seed: int = 5) -> QualityModel:
-    """Stochastic gradient descent over (vector numbers, their counts, 0 or 1), in a fixed random order,
-    the rate falling to nothing."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: float = 0.1, seed: int = 5) -> QualityModel:
+    """Stochastic gradient descent over (vector numbers, their counts, 0 or 1), in a fixed random order.
+    The rate falls to nothing, and for each vector with what it has moved (AdaGrad by vector)."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (VECTORS, WIDTH)).astype(np.float32)
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (VECTORS + 2, WIDTH)).astype(np.float32)
+    moved = np.full(len(vectors), 1e-10, np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
+    pulled = np.full((2, 1), 1e-6, np.float32)
     total, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
@@ -113,10 +123,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: f
             p = np.exp(z - z.max())
             p /= p.sum()
             p[label] -= 1
-            back = p @ out
-            out -= step * p[:, None] * mean[None, :]
+            back, slope = p @ out, p[:, None] * mean[None, :]
+            pulled += (slope**2).mean(axis=1, keepdims=True)
+            out -= step * slope / np.sqrt(pulled)
             bias -= step * 0.1 * p
-            vectors[number] -= step * len(number) ** 0.5 * share[:, None] * back[None, :]
+            moved[number] += share**2 * (back**2).mean()
+            vectors[number] -= (step * share / np.sqrt(moved[number]))[:, None] * back[None, :]
     return QualityModel((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -129,7 +141,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in parts(batch.column("text").to_pylist()):
             number, row = features_of(texts)
-            found = [np.unique(number[row == k], return_counts=True) for k in range(len(texts))]
+            order = np.argsort(row, kind="stable")
+            edge = np.searchsorted(row[order], np.arange(len(texts) + 1))
+            found = [np.unique(number[order[a:b]], return_counts=True) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             kept = [batch.column(c).slice(first, len(texts)) for c in ("h", "y")]
             lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*kept, *lists], ["h", "y", "number", "times"])
