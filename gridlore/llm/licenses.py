@@ -117,21 +117,20 @@ _KEEP = "[^A-Za-z0-9]+"
 LICENCES = sorted({name for name, _ in KNOWN})
 
 
-def _spelled(form: Column) -> Column:
-    """Level spellings; few texts have any, so the rest is only searched."""
-    level = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, form)
-    return F.when(form.rlike("|".join(a for a, _ in SPELLINGS)), level).otherwise(form)
+def _level(form: Column, pairs) -> Column:
+    return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), pairs, form)
 
 
 def line_forms(text: Column) -> Column:
     """The lines of ``text`` without copyright lines: ASCII letters and digits in lower case, one space
-    for anything else. Lines without any are left out."""
-    plain = lambda x: F.when(x.rlike(COPYRIGHT), "").otherwise(F.trim(F.lower(F.regexp_replace(x, _KEEP, " "))))
-    return F.filter(F.transform(F.split(text, "\n"), plain), lambda x: x != "")
+    for anything else, spellings levelled. Lines without any are left out."""
+    plain = lambda x: _level(F.trim(F.lower(F.regexp_replace(x, _KEEP, " "))), SPELLINGS)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(COPYRIGHT), "").otherwise(plain(x))), lambda x: x != "")
 
 
 def whole_form(lines: Column) -> Column:
-    return _spelled(F.array_join(lines, " "))
+    """The lines joined; what remains to be levelled are spellings of two words across lines."""
+    return _level(F.array_join(lines, " "), [pair for pair in SPELLINGS if " " in pair[0]])
 
 
 def sha256(form: Column) -> Column:
@@ -146,7 +145,9 @@ def known_digests(spark: SparkSession) -> DataFrame:
 
 
 def _names(bits: str) -> Column:
-    return F.array_join(F.filter(F.array(*[F.when(F.col(bits).bitwiseAND(F.lit(1 << k)) != 0, F.lit(x)) for k, x in enumerate(LICENCES)]), lambda x: x.isNotNull()), ",")
+    """The licences of the bits that are set."""
+    every = F.array(*[F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(x).alias("name")) for k, x in enumerate(LICENCES)])
+    return F.array_join(F.transform(F.filter(every, lambda x: F.col(bits).bitwiseAND(x["bit"]) != 0), lambda x: x["name"]), ",")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
         RID,
         "doc_id",
         "canonical_sha256",
-        F.explode(F.concat(F.array("canonical_sha256"), F.transform("lines", lambda x: sha256(_spelled(x))))).alias("unit"),
+        F.explode(F.concat(F.array("canonical_sha256"), F.transform("lines", sha256))).alias("unit"),
         F.size("lines").alias("n_lines"),
     )
     # The whole form comes first; of a text of one line it is found twice and counts as both.
