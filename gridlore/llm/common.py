@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word, as every operator here reads it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that goes to Python.
+BATCH = 512
 #: Internal row number; documents may carry any other column.
 RID = "__rid"
 
@@ -42,6 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` on batches of at most ``BATCH`` rows. Texts may be long, and both sides of the bridge to
+    Python hold whole batches, so Spark's default of 10,000 rows is no bound on memory; the session's
+    setting is lowered, for good, where it is higher."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def with_row_id(docs: DataFrame) -> DataFrame:
     """Number the rows of a stored table; a file scan gives each row the same number every time."""
     return docs.withColumn(RID, F.monotonically_increasing_id())

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm.common import table, text_or_empty
+from gridlore.llm.common import map_arrow, table, text_or_empty
 
 WIDTH = 64
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -163,7 +163,7 @@ def to_png(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, png binary")
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n_bytes long, png binary")
 
 
 def png_features(images: DataFrame) -> DataFrame:
@@ -185,7 +185,8 @@ def png_features(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *names])
 
     kind = images.schema["doc_id"].dataType.simpleString()
-    return images.mapInArrow(
+    return map_arrow(
+        images,
         run,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, phash binary",
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, digest, table, text_or_empty, with_row_id, RID
+from gridlore.llm.common import cut, digest, map_arrow, table, text_or_empty, with_row_id, RID
 from gridlore.llm.components import connected_components
 from gridlore.llm.words import Words, mix, pieces, shingle_sets, stream
 
@@ -147,11 +147,9 @@ def ngram_classes(
 
     classes has the nodes with a link to another node only.
     """
-    signed = cut(
-        with_row_id(docs)
-        .select(RID, F.col("doc_id"), digest().alias("node"), text_or_empty().alias("text"))
-        .mapInArrow(signer(n, *choose_bands(threshold, recall)), f"{RID} long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>")
-    )
+    texts = with_row_id(docs).select(RID, "doc_id", digest().alias("node"), text_or_empty().alias("text"))
+    schema = f"{RID} long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>"
+    signed = cut(map_arrow(texts, signer(n, *choose_bands(threshold, recall)), schema))
     rows = signed.select(RID, "doc_id", "node", (F.size("bands") == 0).alias("empty"))
     group = cut(candidate_groups(signed))
     # One text a node: copies meet in a partial aggregate before the shuffle. Candidates grow with the

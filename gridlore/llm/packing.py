@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm.common import table, text_or_empty
+from gridlore.llm.common import map_arrow, table, text_or_empty
 
 #: Window lengths, longest first.
 TIERS = (2048, 1024, 512, 256)
@@ -161,7 +161,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, tiers: tuple[int
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
+    return map_arrow(
+        docs.select("doc_id", text_or_empty().alias("text")),
         packer(tokenizer, ranks, to_arrow_type(kind), tiers, pool),
         f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long",
     )

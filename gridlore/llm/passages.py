@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, cut, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, cut, map_arrow, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, stream, utf8
 
 #: Words of a unit that is hashed, and of a run that is removed.
@@ -88,7 +88,7 @@ def repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS, unit_words: in
     the doc_id of the earliest occurrence of the span's first unit.
     """
     ranked = with_row_id(docs).select(RID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.col(RID)).alias("ord"), text_or_empty().alias("text"))
-    units = cut(ranked.mapInArrow(_units(unit_words), f"{RID} long, ord long, number long, words long, digest long, begin long, end long"))
+    units = cut(map_arrow(ranked, _units(unit_words), f"{RID} long, ord long, number long, words long, digest long, begin long, end long"))
     several = cut(units.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = units.join(several, "digest")
     # Within the earliest document, its first place is the one that stays.

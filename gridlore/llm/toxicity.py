@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, map_arrow, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, stream
 
 BUCKETS = 1 << 20
@@ -83,8 +83,9 @@ class OrdinalModel:
 def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(grades, selected buckets) from 0/1 labels."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    one = np.bincount(np.concatenate([s for s, t in zip(sets, toxic, strict=True) if t] or [np.zeros(0, int)]), minlength=BUCKETS)
-    zero = np.bincount(np.concatenate([s for s, t in zip(sets, toxic, strict=True) if not t] or [np.zeros(0, int)]), minlength=BUCKETS)
+    one, zero = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for features, is_toxic in zip(sets, toxic, strict=True):
+        (one if is_toxic else zero)[features] += 1  # a set has each bucket once
     lean = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     z = lean / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
     z[one + zero < 3] = 0
@@ -102,11 +103,10 @@ def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray
 def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
     """Minimise mean negative log likelihood + penalty * |w| by accelerated proximal gradient steps."""
     n = len(sets)
-    rows = np.concatenate([np.full(len(s), k) for k, s in enumerate(sets)] or [np.zeros(0, int)])
-    flat = np.concatenate(sets or [np.zeros(0, int)])
-    at = np.minimum(np.searchsorted(chosen, flat), max(len(chosen) - 1, 0))
-    hit = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
-    rows, at = rows[hit], at[hit]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    found = [p[p >= 0] for p in (place[s] for s in sets)]
+    rows, at = np.repeat(np.arange(n), [len(p) for p in found]), np.concatenate(found or [np.zeros(0, np.int32)])
     share = (np.bincount(grades, minlength=GRADES)[::-1].cumsum()[::-1][1:] + 0.5) / (n + 1)
     t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
     w = np.zeros(len(chosen))
@@ -172,7 +172,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalModel:
     """Fit on a bounded sample of labelled documents; without any, nothing is toxic."""
     sample = labelled_sample(docs, labels, "toxic", most).select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
-    rows = sample.mapInArrow(_sparse, "h long, y int, bucket array<int>").toArrow().sort_by("h")
+    rows = map_arrow(sample, _sparse, "h long, y int, bucket array<int>").toArrow().sort_by("h")
     if not rows.num_rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([10.0, 20.0, 30.0]))
     sets = [x.values.to_numpy() for x in rows.column("bucket")]
@@ -198,24 +198,21 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_row_id(docs).select(RID, "doc_id", text_or_empty().alias("text")).mapInArrow(
-        run, f"{RID} long, doc_id {kind}, p_toxic double, severity double, toxic boolean"
+    return map_arrow(
+        with_row_id(docs).select(RID, "doc_id", text_or_empty().alias("text")), run, f"{RID} long, doc_id {kind}, p_toxic double, severity double, toxic boolean"
     )
 
 
 def clean_only(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``docs`` without toxic rows; all columns pass through. One pass, nothing is shuffled."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("boolean")
-    def toxic(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.large_string())
-        parts = [model.above(model.margins(b, f))[:, 0] >= TOXIC for _, b, f in buckets_of(column)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, bucket, first in buckets_of(batch.column("text")):
+                part = batch.slice(row, len(first) - 1)
+                yield part.filter(pa.array(model.above(model.margins(bucket, first))[:, 0] < TOXIC))
 
-    return docs.where(~toxic(text_or_empty()))
+    return map_arrow(docs, run, docs.schema)
 
 
 def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

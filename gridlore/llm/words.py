@@ -58,7 +58,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]] if len(at) else data[:0], at - at[0] if len(at) else at
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most ``most`` bytes, or of one row: first row, bytes, row offsets."""
     if not len(column):
         return
