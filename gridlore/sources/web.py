@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import text as tx
+from gridlore.functions import time as tm
 
 col = F.col
 
@@ -20,11 +21,13 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 # Layouts of dates that pages state.
-_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss 'GMT'")
+_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss xx")
 
 
 def stated_instant(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(layout)) for layout in _LAYOUTS])
+    """ISO and mail dates; null where none can be read."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, ", ""), " (GMT|UTC|Z)$", " +0000")
+    return tm.once(bare, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(layout)) for layout in _LAYOUTS]))
 
 
 _LOC = r"(?i)<loc>\s*([^<]+?)\s*</loc>"

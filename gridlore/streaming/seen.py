@@ -15,13 +15,13 @@ from gridlore.functions import text as tx
 _OUT = "url string, title string, body string, content_hash string, attempt int"
 
 
-def unread_stream(announcements: DataFrame, days: int = 30) -> DataFrame:
+def unread_stream(announcements: DataFrame, days: int | None = None) -> DataFrame:
     """The announcements of a stream (url, title, body) to read: new addresses, changed texts, and repeats of
-    a text up to its third delivery without success reported. State of addresses that were not delivered
-    for ``days`` is dropped."""
+    a text up to its third delivery without success reported. With ``days``, the state of addresses that
+    were not delivered for so long is dropped; such a stream polls for ever and never ends by itself."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if days and state.hasTimedOut:
             state.remove()
             return
         known, attempts = state.get if state.exists else (None, 0)
@@ -32,7 +32,8 @@ def unread_stream(announcements: DataFrame, days: int = 30) -> DataFrame:
                 if attempts <= C.MAX_PARSE_ATTEMPTS:
                     yield pd.DataFrame([(key[0], row.title, row.body, known, attempts)], columns=["url", "title", "body", "content_hash", "attempt"])
         state.update((known, attempts))
-        state.setTimeoutDuration(days * 24 * 3600 * 1000)
+        if days:
+            state.setTimeoutDuration(days * 24 * 3600 * 1000)
 
     hashed = announcements.withColumn("content_hash", tx.article_hash(F.col("title"), F.col("body")))
-    return hashed.groupBy("url").applyInPandasWithState(step, _OUT, "hash string, attempts int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hashed.groupBy("url").applyInPandasWithState(step, _OUT, "hash string, attempts int", "append", GroupStateTimeout.ProcessingTimeTimeout if days else GroupStateTimeout.NoTimeout)
