@@ -106,7 +106,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     rows = (
         base.join(levels, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")))
         .withColumn("order", F.when((F.col("fraction") > 0) & (F.col("size") > 0), order))
-        .withColumn("bucket", F.least(F.floor(even * F.col("buckets")), F.col("buckets") - 1))
+        .withColumn("bucket", F.when(F.col("order").isNotNull(), F.least(F.floor(even * F.col("buckets")), F.col("buckets") - 1)))
         .select(RID, "doc_id", "source", "size", "source_size", "target", "whole", "gap", "order", "bucket")
     )
     sums = rows.where("order is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))

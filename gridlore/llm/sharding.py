@@ -2,9 +2,9 @@
 
 Documents that share a link key (here: equal texts) are linked. A link key is a hub: neighbours meet
 in its counts by shard, never in pairs. Each round joins documents with their hubs' counts, lets
-every document wish for the shard that holds most of its neighbours among those with room, and grants
-wishes under capacity quotas: wishes are counted by shard and gain, and the driver turns this fixed
-small table into one threshold a shard. Documents without links fill what room is left, so sizes
+every document wish for the shard that holds most of its neighbours, and grants wishes under capacity
+quotas: wishes are counted by pair of shards and gain, and the driver turns this fixed small table
+into one threshold a pair, for as many rows as swap or as there is room for. Documents without links fill what room is left, so sizes
 end exact: shard counts differ by one row at most (law ``rows``).
 """
 
@@ -24,6 +24,33 @@ def _capacities(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def _grant(asked: dict, room: list[int], shards: int, swaps: bool) -> dict:
+    """(from, to) -> (level, share of draws): wishes above the level are granted, and that share of the level.
+
+    Two shards may swap as many rows as wish both ways; beyond that, wishes share a shard's room.
+    """
+    total = {(i, j): sum(asked.get((i, j, k), 0) for k in range(_LEVELS)) for i in range(shards) for j in range(shards)}
+    quota = {(i, j): min(n, total[j, i]) if swaps else 0 for (i, j), n in total.items()}
+    for j in range(shards):
+        rest = {i: total[i, j] - quota[i, j] for i in range(shards)}
+        left = min(max(room[j], 0), sum(rest.values()))
+        for i, n in rest.items():
+            quota[i, j] += left * n // max(sum(rest.values()), 1)
+    bars = {}
+    for (i, j), left in quota.items():
+        if not left:
+            continue
+        at = (-1, 0)
+        for k in range(_LEVELS - 1, -1, -1):
+            n = asked.get((i, j, k), 0)
+            if n > left:
+                at = (k, (left << 20) // n)
+                break
+            left -= n
+        bars[i, j] = at
+    return bars
+
+
 def propagate(members: DataFrame, capacity: list[int], rounds: int = 12) -> DataFrame:
     """Labels of linked rows: ``members`` (``__rid``, key) -> (``__rid``, shard).
 
@@ -33,6 +60,7 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = 12) -> Data
     shards = len(capacity)
     hash_of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)).cast("int")
     labels = cut(members.select(RID).distinct().withColumn("shard", F.pmod(F.xxhash64(RID, F.lit(1)), F.lit(shards)).cast("int")))
+    still = 0
     for turn in range(rounds):
         size = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
         size = [size.get(s, 0) for s in range(shards)]
@@ -45,10 +73,12 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = 12) -> Data
             .agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)], F.min(F.xxhash64("key")).alias("tie"))
             .join(labels, RID)
         )
-        # Shards with room, and the own one; ties by a hash that all rows of a hub share.
+        # Every other round only shards with room are wished for, so that crowds move on to a next best one.
+        # The own shard always counts; ties go by a hash that all rows of a hub share.
+        swaps = turn % 2 == 0
         rank = [
             F.struct(
-                F.when((F.col("shard") == s) | F.lit(room[s] > 0), F.col(f"n{s}")).otherwise(F.lit(-1)).alias("n"),
+                F.when((F.col("shard") == s) | F.lit(swaps or room[s] > 0), F.col(f"n{s}")).otherwise(F.lit(-1)).alias("n"),
                 hash_of("tie", F.lit(s)).alias("tie"),
                 F.lit(s).alias("s"),
             )
@@ -64,31 +94,26 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = 12) -> Data
         )
         level = F.least(F.floor(F.log2(F.col("gain") + 1)).cast("int"), F.lit(_LEVELS - 1))
         wish = cut(wish.withColumn("level", F.when((F.col("to") != F.col("shard")) & (F.col("gain") >= 0), level)))
-        asked = {(r["to"], r["level"]): r["count"] for r in wish.where("level is not null").groupBy("to", "level").count().collect()}
-        bar, granted = [], 0  # each shard takes all wishes above a level, and that level's share of draws
-        for s in range(shards):
-            left, at = max(room[s], 0), (-1, 0)
-            for k in range(_LEVELS - 1, -1, -1):
-                n = asked.get((s, k), 0)
-                if n > left:
-                    at, granted = (k, (left << 20) // n), granted + left
-                    break
-                left, granted = left - n, granted + n
-            bar.append(at)
-        if not granted:
+        asked = {(r["shard"], r["to"], r["level"]): r["count"] for r in wish.where("level is not null").groupBy("shard", "to", "level").count().collect()}
+        bars = _grant(asked, room, shards, swaps)
+        still = 0 if bars else still + 1
+        if still == 2:
             break
-        at, share = (F.element_at(F.array(*[F.lit(b[i]) for b in bar]), F.col("to") + 1) for i in (0, 1))
+        if not bars:
+            continue
+        at, share = (F.element_at(F.array(*[F.lit(bars.get((i, j), (_LEVELS, 0))[k]) for i in range(shards) for j in range(shards)]), F.col("shard") * shards + F.col("to") + 1) for k in (0, 1))
         moves = (F.col("level") > at) | ((F.col("level") == at) & (F.col("draw") < share))
         labels = wish.select(RID, F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"))
     return cut(labels)
 
 
-def ranked(rows: DataFrame, group: str, into: str) -> DataFrame:
-    """Number rows 0, 1, .. within ``group`` (a small fixed set of values): rows fall into even hash
-    buckets, buckets are counted and their counts summed, and rows are ranked within their bucket."""
+def ranked(rows: DataFrame, group: str, into: str, tier: str | None = None) -> DataFrame:
+    """Number rows 0, 1, .. within ``group`` (a small fixed set of values), lower ``tier`` (0 to 63) first:
+    rows fall into even hash buckets, buckets are counted and their counts summed, and rows are ranked
+    within their bucket."""
     n = rows.count()
     buckets = max(64, n // RANKED)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(RID), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", (F.pmod(F.xxhash64(RID), F.lit(buckets)) + (F.col(tier) * buckets if tier else 0)).cast("long"))
     sums = rows.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -106,8 +131,11 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int = 8, rounds: int
     """
     capacity = _capacities(rows.count(), shards)
     labels = propagate(members, capacity, rounds)
-    state = rows.select(RID).join(labels, RID, "left").select(RID, F.coalesce("shard", F.lit(-1)).alias("want"))
-    state = cut(ranked(state, "want", "at"))
+    # Where a shard has drawn too many, rows of the largest groups leave: a split group is split once more.
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    tier = members.join(size, "key").groupBy(RID).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("tier"))
+    state = rows.select(RID).join(labels.join(tier, RID), RID, "left").select(RID, F.coalesce("shard", F.lit(-1)).alias("want"), F.coalesce("tier", F.lit(0)).alias("tier"))
+    state = cut(ranked(state, "want", "at", "tier"))
     limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("want") + 1)
     state = state.withColumn("stays", F.when(F.col("want") >= 0, F.col("at") < limit).otherwise(F.lit(False)))
     held = {r["want"]: r["count"] for r in state.where("stays").groupBy("want").count().collect()}
