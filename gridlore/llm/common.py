@@ -59,7 +59,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """Number the rows of a stored table; a file scan gives each row the same number every time."""
+    """Number the rows of a stored table; a file scan gives each row the same number every time.
+
+    How files are split depends on the number of cores at the time of a scan, so this number is
+    fixed at the first call: executors that are lost later must not renumber rows.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
     return docs.withColumn(RID, F.monotonically_increasing_id())
 
 
