@@ -1,10 +1,13 @@
 """Operator 8: substring dedup by hashing lines and the sentences in them.
 
 Units are the sentences of each line: a unit begins at a line's start, after a sentence end, or at a
-word with a capital. Normalised (case and white space) units of three words or more are hashed and
-grouped over the whole corpus; the earliest occurrence is kept. In every other place, runs of
-repeated units (shorter units between them included) of at least ``least_words`` words go.
-Runs are spans of the original text, so all offsets stay known.
+word with a capital; units of three words or more are anchors. From each anchor to an anchor just far
+enough for ``CHAIN_WORDS`` words, all words (in lower case, whatever white space between) are hashed as
+one chain, so that a digest stands for the same amount of text however short sentences are, and short
+ones that recur by chance count for nothing. Chains are grouped over the whole corpus; the earliest
+occurrence is kept. In every other place, runs of repeated chains (up to ``UNIT_WORDS`` words between
+them included) of at least ``least_words`` words go. Runs are spans of the original text, so all
+offsets stay known.
 """
 
 from __future__ import annotations
@@ -18,92 +21,111 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import RID, cut, map_arrow, table, text_or_empty, with_row_id
-from gridlore.llm.words import Words, mix, pieces, stream, utf8
+from gridlore.llm.words import Words, mix, pieces, utf8
 
-#: Words of a unit that is hashed, and of a run that is removed.
-UNIT_WORDS, RUN_WORDS = 3, 30
+#: Words of a unit that is an anchor, of a chain that is hashed, and of a run that is removed.
+UNIT_WORDS, CHAIN_WORDS, RUN_WORDS = 3, 12, 30
 _NO_ID = 1 << 62
-_KEYS = stream(256, 21)
+#: An odd factor and its inverse modulo 2**64: the digest of a chain does not depend on its place.
+_FACTOR = 0xD1342543DE82EF95
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
-def _keys(n: int) -> np.ndarray:
-    return _KEYS if n <= len(_KEYS) else stream(n, 21)
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def units_of(data: np.ndarray, rows: np.ndarray, low: np.ndarray, low_rows: np.ndarray, least: int):
-    """Per unit of ``least`` words or more: row, number within the row (of such units), words, hash,
-    first and last character (end excluded). ``low`` is the text in lower case."""
-    words, lower = Words.of(data, rows), Words.of(low, low_rows)
-    n = len(words.start)
-    if not n:
-        return [np.zeros(0, np.int64)] * 6
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(words.first))
-    line = np.cumsum(data == 10)[words.start]
+def anchors_of(words: Words, lower: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word and last word (end excluded) of every unit of ``least`` words or more. ``lower``
+    has the same words in lower case."""
+    n, data, low, a, b = len(words.start), words.data, lower.data, words.start, lower.start
+    row = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.first))
+    line = np.cumsum(data == 10)[a]
     begins = np.ones(n, bool)
     begins[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1]) | np.isin(data[words.end[:-1] - 1], list(b".!?"))
-    a, b = words.start, lower.start
     capital = data[a] != low[b]
     for k, lead in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
         long = np.flatnonzero((data[a] >= lead) & (a + k < len(data)) & (b + k < len(low)))
         capital[long] |= data[a[long] + k] != low[b[long] + k]
-    begins |= capital
-    start = np.flatnonzero(begins)
-    size = np.diff(np.append(start, n))
-    place = np.arange(n) - np.repeat(start, size)
-    digest = mix(np.add.reduceat(lower.hashes() * _keys(int(size.max()))[place], start))
-    char = np.cumsum((data & 0xC0) != 0x80) - 1
-    of = row[start]
-    first = char[words.start[start]] - np.append(char, 0)[rows[of]]
-    tail = words.end[start + size - 1] - 1
-    last = char[tail] - np.append(char, 0)[rows[of]] + 1
-    keep = size >= least
-    of, size, digest, first, last = of[keep], size[keep], digest[keep], first[keep], last[keep]
-    number = np.arange(len(of)) - np.searchsorted(of, of, "left")
-    return [of, number, size, digest.view(np.int64), first, last]
+    start = np.flatnonzero(begins | capital)
+    end = np.append(start[1:], n)
+    keep = end - start >= least
+    return row[start[keep]], start[keep], end[keep]
+
+
+def chains_of(words: Words, lower: Words, unit: int, least: int) -> tuple[np.ndarray, ...]:
+    """Row, hash, first and last word (of the row), first and last character of every chain; ends are
+    excluded. From each anchor onward, and back, a chain has just enough units for ``least`` words."""
+    row, start, end = anchors_of(words, lower, unit)
+    n, k = len(row), np.arange(len(row))
+    onward = np.searchsorted(end, start + least)
+    back = np.searchsorted(start, end - least, "right") - 1
+    a, b = np.concatenate((k, back)), np.concatenate((onward, k))
+    inside = (a >= 0) & (b < n)
+    a, b = a[inside], b[inside]
+    inside = row[a] == row[b]
+    a, b = np.divmod(np.unique(a[inside] * np.int64(n + 1) + b[inside]), n + 1)
+    row, start, end = row[a], start[a], end[b]
+    hashes = lower.hashes()
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_FACTOR, len(hashes)), dtype=np.uint64)))
+    digest = mix((sums[end] - sums[start]) * _powers(_INVERSE, len(hashes) + 1)[start]).view(np.int64)
+    char = np.cumsum((words.data & 0xC0) != 0x80) - 1
+    char -= np.repeat(np.append(char, 0)[words.rows[:-1]], np.diff(words.rows))  # within the row
+    return row, digest, start - words.first[row], end - words.first[row], char[words.start[start]], char[words.end[end - 1] - 1] + 1
 
 
 def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def _units(least: int):
+def _chains(unit_words: int, chain_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, at in pieces(batch.column("text")):
-                part = batch.slice(row, len(at) - 1)
-                of, *columns = units_of(data, at, *utf8(_lower(part.column("text"))), least)
-                of = pa.array(of)
+            for first, data, at in pieces(batch.column("text")):
+                part = batch.slice(first, len(at) - 1)
+                words, lower = Words.of(data, at), Words.of(*utf8(_lower(part.column("text"))))
+                row, digest, *places = chains_of(words, lower, unit_words, chain_words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(RID).take(of), part.column("ord").take(of), *(pa.array(c, pa.int64()) for c in columns)],
-                    [RID, "ord", "number", "words", "digest", "begin", "end"],
+                    [part.column(RID).take(pa.array(row)), part.column("ord").take(pa.array(row)), pa.array(digest), *(pa.array(x, pa.int32()) for x in places)],
+                    [RID, "ord", "digest", "word", "end_word", "begin", "end"],
                 )
 
     return run
 
 
-def repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS, unit_words: int = UNIT_WORDS, chain_words: int = CHAIN_WORDS) -> DataFrame:
     """(``__rid``, spans): what to remove from each row, spans in order, begin and end in characters.
 
     Occurrences are ranked by doc_id (rows without one last), then row and place. ``kept_in`` names
-    the doc_id of the earliest occurrence of the span's first unit.
+    the doc_id of the earliest occurrence of the span's first chain.
     """
     ranked = with_row_id(docs).select(RID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.col(RID)).alias("ord"), text_or_empty().alias("text"))
-    units = cut(map_arrow(ranked, _units(unit_words), f"{RID} long, ord long, number long, words long, digest long, begin long, end long"))
-    several = cut(units.groupBy("digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    shared = units.join(several, "digest")
+    places = "word int, end_word int, begin int, end int"
+    chains = cut(map_arrow(ranked, _chains(unit_words, chain_words), f"{RID} long, ord long, digest long, {places}"))
+    several = cut(chains.groupBy("digest").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    shared = chains.join(several, "digest")
     # Within the earliest document, its first place is the one that stays.
-    again = Window.partitionBy("ord", "digest").orderBy(RID, "number")
-    later = shared.where("ord > first").unionByName(
-        shared.where("ord = first").withColumn("k", F.row_number().over(again)).where("k > 1").drop("k")
+    again = Window.partitionBy("ord", "digest").orderBy(RID, "word")
+    later = shared.where("ord > least").unionByName(
+        shared.where("ord = least").withColumn("k", F.row_number().over(again)).where("k > 1").drop("k")
     )
-    in_row = Window.partitionBy(RID).orderBy("number")
+    in_row = Window.partitionBy(RID).orderBy("word", "end_word")
+    reached = F.max("end_word").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
     runs = (
-        later.withColumn("run", F.col("number") - F.row_number().over(in_row))
+        later.withColumn("opens", F.when(F.col("word") <= reached + unit_words, 0).otherwise(1))
+        .withColumn("run", F.sum("opens").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(RID, "run")
-        .agg(F.sum("words").alias("words"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min_by("first", "number").alias("first"))
+        .agg(
+            (F.max("end_word") - F.min("word")).cast("long").alias("words"),
+            F.min("begin").cast("long").alias("begin"),
+            F.max("end").cast("long").alias("end"),
+            F.min_by("least", F.struct("word", "end_word")).alias("least"),
+        )
         .where(F.col("words") >= least_words)
     )
-    kept_in = F.when(F.col("first") < _NO_ID, F.col("first")).alias("kept_in")
+    kept_in = F.when(F.col("least") < _NO_ID, F.col("least")).alias("kept_in")
     return runs.groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("begin", "end", "words", kept_in))).alias("spans"))
 
 

@@ -141,40 +141,40 @@ def test_propagation_over_several_keys(spark, stored):
     assert max(counts) - min(counts) <= 1
 
 
-PASSAGE = "Mora tal ena vish. Kor plen dax mi sol. Ran tek lum ora pez nik. Gal fen rus bo til quar zet. Hin jas kel vom pru."
+PASSAGE = "Mora tal ena vish. Kor plen dax mi sol. Ran tek lum ora pez nik. Gal fen rus bo til quar zet. Hin jas kel vom pru. Tor ban ile wox mur. Sep dal fi ron ked ush amo. Vil tas nor pim gel. Bru hok jen das ul tevi. Lom kir."
 
 
 def words(rng, n):
     return " ".join(f"q{rng.randrange(10**5)}" for _ in range(n))
 
 
-def plain_spans(rows, least=30, unit=3):
+def plain_spans(rows, least=30, unit=3, chain=12):
     """The same rule on lists of words."""
     import re
 
-    seen, out = {}, []
+    seen, out = set(), []
     for k, (doc, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
-        units, last = [], None
-        for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
-            w = m.group()
-            new = last is None or "\n" in text[last.end() : m.start()] or last.group()[-1] in ".!?" or w[0] != w[0].lower()
-            if new:
-                units.append([])
-            units[-1].append(m)
-            last = m
-        big = [u for u in units if len(u) >= unit]
-        run, spans = [], []
-        for u in [*big, None]:
-            key = u and tuple(m.group().lower() for m in u)
-            if u and key in seen:
-                run.append(u)
-                continue
-            if sum(map(len, run)) >= least:
-                spans.append((run[0][0].start(), run[-1][-1].end()))
-            run = []
-            if u:
-                seen[key] = doc
-        out.append((k, spans))
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+        low = [m.group().lower() for m in found]
+        starts = [
+            i
+            for i, m in enumerate(found)
+            if not i or "\n" in text[found[i - 1].end() : m.start()] or found[i - 1].group()[-1] in ".!?" or m.group()[0] != low[i][0]
+        ]
+        units = [(a, b) for a, b in zip(starts, [*starts[1:], len(found)]) if b - a >= unit]
+        chains = set()
+        for i, (a, b) in enumerate(units):
+            chains |= {(a, next((e for _, e in units[i:] if e - a >= chain), None))}
+            chains |= {(next((s for s, _ in units[i::-1] if b - s >= chain), None), b)}
+        gone = []
+        for a, b in sorted(c for c in chains if None not in c):
+            key = tuple(low[a:b])
+            if key in seen and gone and a <= gone[-1][1] + unit:
+                gone[-1] = (gone[-1][0], max(b, gone[-1][1]))
+            elif key in seen:
+                gone.append((a, b))
+            seen.add(key)
+        out.append((k, [(found[a].start(), found[b - 1].end()) for a, b in gone if b - a >= least]))
     return [s for _, s in sorted(out)]
 
 
