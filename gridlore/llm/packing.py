@@ -51,7 +51,7 @@ def pack(items: list[Piece], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple
                 queue[tier].append((size, doc, start))
     loose: list[Piece] = []
     shorter = sorted(x for t in tiers[1:] for x in queue[t])
-    for tier, below in zip(tiers[:-1], tiers[1:], strict=True):
+    for tier, below in zip(tiers, (*tiers[1:], tiers[-1] // 2), strict=True):
         own = queue[tier] if tier == top else [x for x in shorter if x[0] > below]
         if tier != top:
             shorter = [x for x in shorter if x[0] <= below]
