@@ -57,7 +57,7 @@ def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 inner |= space[k : k + m]
         at = np.flatnonzero(~inner & ~(space[:m] & space[n - 1 :]))
         numbers.append((mix(total[at] + _U(n)) % _U(VECTORS)).astype(np.int32))
-        rows.append(np.searchsorted(ends, at + 1, "right"))  # the row of the character after the first
+        rows.append(np.searchsorted(ends, at + space[at], "right"))  # the row of its first character that is no space
     start = np.flatnonzero(~space[1:] & space[:-1]) + 1
     if len(start):
         size = np.flatnonzero(space[1:] & ~space[:-1]) + 1 - start
