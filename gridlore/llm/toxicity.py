@@ -1,8 +1,9 @@
 """Operator 9: toxicity by cumulative-link (proportional-odds) ordinal regression.
 
 A text is the set of its words and of their beginnings of 3 to 6 bytes, which stand for word families,
-hashed into ``BUCKETS``. One weight a bucket is shared by all ordered
-thresholds: P(grade > k) = s(w . x - t_k), t_0 < t_1 < t_2; the result is the expected grade.
+hashed into ``BUCKETS``, each with whether the text has it twice, and three times or more: one word of a
+family may be chance. One weight a feature is shared by all ordered thresholds:
+P(grade > k) = s(w . x - t_k), t_0 < t_1 < t_2; the result is the expected grade.
 
 Labels only say whether a text is toxic, so grades 1 to 3 of toxic texts are derived: from how many
 features the text has that toxic labels favour, split in equal thirds over the sample.
@@ -27,8 +28,11 @@ from gridlore.llm.words import Words, mix, pieces, stream
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on, at most about so many.
 SAMPLE = 12_000
-#: Buckets that enter the model: those whose share differs most between toxic and clean texts.
-SELECTED = 2048
+#: Features a bucket: the text has it once or more, twice or more, three times or more.
+TIMES = 3
+#: Features that enter the model: those whose share differs most between toxic and clean texts, by so
+#: many standard errors at least.
+SELECTED, LEAST_Z = 2048, 3.0
 GRADES = 4
 #: A text is toxic where P(grade > 0) is at least this.
 TOXIC = 0.4
@@ -60,20 +64,33 @@ def buckets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield row, (features.reshape(-1) >> np.uint64(44)).astype(np.int64), words.first * features.shape[1]
 
 
+def counted(bucket: np.ndarray) -> np.ndarray:
+    """The features of a text from the buckets of its words: bucket + k * BUCKETS where it has one more
+    than k times."""
+    base, times = np.unique(bucket, return_counts=True)
+    return np.concatenate([base[times > k] + k * BUCKETS for k in range(TIMES)])
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
-    buckets: np.ndarray  # sorted
+    buckets: np.ndarray  # sorted; a feature is a bucket and how often (see counted)
     weights: np.ndarray
     thresholds: np.ndarray  # ascending, GRADES - 1
 
     def margins(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """w . x of each row; a feature counts once a row."""
-        at = np.minimum(np.searchsorted(self.buckets, bucket), max(len(self.buckets) - 1, 0))
-        hit = np.flatnonzero(self.buckets[at] == bucket) if len(self.buckets) else np.zeros(0, int)
+        """w . x of each row, from the buckets of its words."""
+        base, at = np.unique(self.buckets % BUCKETS, return_inverse=True)
+        weight = np.zeros((len(base) + 1, TIMES))
+        weight[at, self.buckets // BUCKETS] = self.weights
+        weight = np.concatenate((np.zeros((len(base) + 1, 1)), weight.cumsum(axis=1)), axis=1)
+        place = np.full(BUCKETS, len(base), np.int32)
+        place[base] = np.arange(len(base))
+        found = place[bucket]
+        hit = np.flatnonzero(found < len(base))
         row = np.searchsorted(first, hit, "right") - 1
-        pair = np.unique(row * np.int64(len(self.buckets) + 1) + at[hit])
-        row, k = np.divmod(pair, len(self.buckets) + 1)
-        return np.bincount(row, self.weights[k], minlength=len(first) - 1)
+        pair, times = np.unique(row * np.int64(len(base) + 1) + found[hit], return_counts=True)
+        row, k = np.divmod(pair, len(base) + 1)
+        return np.bincount(row, weight[k, np.minimum(times, TIMES)], minlength=len(first) - 1)
 
     def above(self, margins: np.ndarray) -> np.ndarray:
         """P(grade > k), one column a threshold."""
@@ -81,16 +98,16 @@ class OrdinalModel:
 
 
 def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grades, selected buckets) from 0/1 labels."""
+    """(grades, selected features) from 0/1 labels."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    one, zero = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    one, zero = np.zeros(TIMES * BUCKETS, np.int32), np.zeros(TIMES * BUCKETS, np.int32)
     for features, is_toxic in zip(sets, toxic, strict=True):
-        (one if is_toxic else zero)[features] += 1  # a set has each bucket once
+        (one if is_toxic else zero)[features] += 1  # a set has each feature once
     lean = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     z = lean / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
     z[one + zero < 3] = 0
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:SELECTED])
-    chosen = chosen[z[chosen] != 0]
+    chosen = chosen[np.abs(z[chosen]) >= LEAST_Z]
     marked = z > 5
     hits = np.array([int(marked[s].sum()) for s in sets])
     grades = np.zeros(len(sets), int)
@@ -103,7 +120,7 @@ def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray
 def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
     """Minimise mean negative log likelihood + penalty * |w| by accelerated proximal gradient steps."""
     n = len(sets)
-    place = np.full(BUCKETS, -1, np.int32)
+    place = np.full(TIMES * BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     found = [p[p >= 0] for p in (place[s] for s in sets)]
     rows, at = np.repeat(np.arange(n), [len(p) for p in found]), np.concatenate(found or [np.zeros(0, np.int32)])
@@ -164,7 +181,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, bucket, first in buckets_of(batch.column("text")):
-            found = [np.unique(bucket[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
+            found = [counted(bucket[a:b]).astype(np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
             kept = [batch.column(c).slice(row, len(found)) for c in ("h", "y")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int32()))], ["h", "y", "bucket"])
 
