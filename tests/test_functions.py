@@ -64,7 +64,7 @@ def test_similarity(spark):
 
 
 def test_escapes(spark):
-    assert one(spark, tx.ics_escape(F.lit("a;b,c\\d\r\ne"))) == "a\;b\\,c\\\\d\\ne"
+    assert one(spark, tx.ics_escape(F.lit("a;b,c\\d\r\ne"))) == "a\\;b\\,c\\\\d\\ne"
     assert one(spark, tx.xml_escape(F.lit('<a b="&">'))) == "&lt;a b=&quot;&amp;&quot;&gt;"
 
 
