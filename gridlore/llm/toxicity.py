@@ -103,12 +103,14 @@ def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray
     one, zero = np.zeros(TIMES * BUCKETS, np.int32), np.zeros(TIMES * BUCKETS, np.int32)
     for features, is_toxic in zip(sets, toxic, strict=True):
         (one if is_toxic else zero)[features] += 1  # a set has each feature once
+    some = np.flatnonzero(one + zero >= 3)  # all else is on what occurs, a small part of all buckets
+    one, zero = one[some], zero[some]
     lean = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
     z = lean / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
-    z[one + zero < 3] = 0
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:SELECTED])
-    chosen = chosen[np.abs(z[chosen]) >= LEAST_Z]
-    marked = z > 5
+    chosen = some[chosen[np.abs(z[chosen]) >= LEAST_Z]]
+    marked = np.zeros(TIMES * BUCKETS, bool)
+    marked[some[z > 5]] = True
     hits = np.array([int(marked[s].sum()) for s in sets])
     grades = np.zeros(len(sets), int)
     if n1:
