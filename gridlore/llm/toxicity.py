@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, map_arrow, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, cut, map_arrow, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, stream
 
 BUCKETS = 1 << 20
@@ -33,6 +33,8 @@ TIMES = 3
 #: Features that enter the model: those whose share differs most between toxic and clean texts, by so
 #: many standard errors at least.
 SELECTED, LEAST_Z = 2048, 3.0
+#: Features that count for a grade: those that toxic texts have more often by so many standard errors.
+MARKED_Z = 5.0
 GRADES = 4
 #: A text is toxic where P(grade > 0) is at least this.
 TOXIC = 0.4
@@ -97,26 +99,27 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margins[:, None], -500, 500)))
 
 
-def derive_grades(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grades, selected features) from 0/1 labels."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    one, zero = np.zeros(TIMES * BUCKETS, np.int32), np.zeros(TIMES * BUCKETS, np.int32)
-    for features, is_toxic in zip(sets, toxic, strict=True):
-        (one if is_toxic else zero)[features] += 1  # a set has each feature once
-    some = np.flatnonzero(one + zero >= 3)  # all else is on what occurs, a small part of all buckets
-    one, zero = one[some], zero[some]
-    lean = np.log((one + 0.5) / (n1 + 1)) - np.log((zero + 0.5) / (n0 + 1))
-    z = lean / np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:SELECTED])
-    chosen = some[chosen[np.abs(z[chosen]) >= LEAST_Z]]
-    marked = np.zeros(TIMES * BUCKETS, bool)
-    marked[some[z > 5]] = True
-    hits = np.array([int(marked[s].sum()) for s in sets])
-    grades = np.zeros(len(sets), int)
-    if n1:
+def select_features(rows: DataFrame) -> list:
+    """The features (f, z) of ``rows`` (y, bucket) whose share differs most between toxic and clean texts.
+
+    Counted and ranked by Spark: of all that occur, the driver sees at most ``SELECTED``.
+    """
+    n = {r["t"]: r["count"] for r in rows.groupBy((F.col("y") > 0).alias("t")).count().collect()}
+    n1, n0 = n.get(True, 0), n.get(False, 0)
+    counts = rows.select((F.col("y") > 0).cast("int").alias("t"), F.explode("bucket").alias("f")).groupBy("f").agg(F.sum("t").alias("one"), F.sum(1 - F.col("t")).alias("zero"))
+    one, zero = F.col("one") + 0.5, F.col("zero") + 0.5
+    z = (F.ln(one / (n1 + 1)) - F.ln(zero / (n0 + 1))) / F.sqrt(1 / one + 1 / zero)
+    ranked = counts.where("one + zero >= 3").select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    return ranked.orderBy(F.abs("z").desc(), "f").limit(SELECTED).collect()
+
+
+def derive_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades from 0/1 labels: toxic texts in thirds by their number of marked features."""
+    grades = np.zeros(len(hits), int)
+    if toxic.any():
         cuts = np.quantile(hits[toxic], (1 / 3, 2 / 3))
         grades[toxic] = 1 + (hits[toxic] > cuts[0]).astype(int) + (hits[toxic] > cuts[1])
-    return grades, chosen
+    return grades
 
 
 def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
@@ -188,15 +191,32 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int32()))], ["h", "y", "bucket"])
 
 
+def _kept(chosen: np.ndarray):
+    """Arrow map that leaves of each row's features the chosen ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(x.values.to_numpy(), chosen).astype(np.int32) for x in batch.column("bucket")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["h", "y", "bucket"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalModel:
-    """Fit on a bounded sample of labelled documents; without any, nothing is toxic."""
+    """Fit on a bounded sample of labelled documents; without any, nothing is toxic. The driver gets
+    labels and chosen features of the sample, no texts."""
     sample = labelled_sample(docs, labels, "toxic", most).select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
-    rows = map_arrow(sample, _sparse, "h long, y int, bucket array<int>").toArrow().sort_by("h")
+    schema = "h long, y int, bucket array<int>"
+    sparse = cut(map_arrow(sample, _sparse, schema))
+    features = select_features(sparse)
+    chosen = np.sort(np.array([r["f"] for r in features], np.int64))
+    rows = map_arrow(sparse, _kept(chosen), schema).toArrow().sort_by("h")
     if not rows.num_rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([10.0, 20.0, 30.0]))
     sets = [x.values.to_numpy() for x in rows.column("bucket")]
-    grades, chosen = derive_grades(sets, rows.column("y").to_numpy() > 0)
-    return fit(sets, grades, chosen)
+    marked = np.array([r["f"] for r in features if r["z"] > MARKED_Z], np.int64)
+    hits = np.array([int(np.isin(s, marked).sum()) for s in sets])
+    return fit(sets, derive_grades(hits, rows.column("y").to_numpy() > 0), chosen)
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
