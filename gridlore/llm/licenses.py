@@ -110,8 +110,21 @@ SPELLINGS = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
-#: A line that names a copyright and no licence terms.
+#: A line that begins like a copyright notice, as ``OP3_SQL`` has it. It takes terms as well, where a wrapped
+#: text has "copyright notice" or "copyright holders" first on a line; ``NOTICE`` does not.
 COPYRIGHT = r"(?i)^[^0-9A-Za-z(\xA9]*(copyright([^0-9A-Za-z]|$)|\(c\)|\xA9|all rights reserved)"
+# What follows "copyright", or "(c)" as the mark of a clause, in licence terms and in no name.
+_TERMS = (
+    "notices?|holders?|owners?|ownership|li[cs]en[cs]es?|laws?|statements?|interests?|disclaimers?|permissions?|protections?|treat(y|ies)|doctrines?|lines?"
+    "|rights?|claims?|infringements?|status|acts?|patents?|and|or|in|is|are|if|on|of|for|to|under|also|like|those|resulting|the (software|program|library|work)"
+)
+_CLAUSE = "you|your|any|an?|all|each|every|if|in|is|no|not|or|and|of|on|for|to|under|with|where|when|that|this|such|it|the|must|may|shall|representations?"
+#: A line that names a copyright and has no licence terms: the word, a mark, a year or a name after it.
+NOTICE = (
+    r"(?is)^[^0-9A-Za-z(\xA9]*(copyright(?![0-9A-Za-z])(?=.*[\p{L}\p{N}\xA9])"
+    rf"(?![^0-9A-Za-z\xA9]*({_TERMS.replace(' ', '[^0-9A-Za-z]+')})(?![0-9A-Za-z])(?!.*(\(c\)|\xA9)[^0-9A-Za-z]*[0-9]{{4}}))"
+    rf"|\(c\)(?![^0-9A-Za-z]*({_CLAUSE})(?![0-9A-Za-z]))|\xA9|all rights reserved)"
+)
 _KEEP = "[^A-Za-z0-9]+"
 #: Licences in the order of their bits; at most 63.
 LICENCES = sorted({name for name, _ in KNOWN})
@@ -125,7 +138,7 @@ def line_forms(text: Column) -> Column:
     """The lines of ``text`` without copyright lines: ASCII letters and digits in lower case, one space
     for anything else, spellings levelled. Lines without any are left out."""
     plain = lambda x: _level(F.trim(F.lower(F.regexp_replace(x, _KEEP, " "))), SPELLINGS)
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(COPYRIGHT), "").otherwise(plain(x))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(NOTICE), "").otherwise(plain(x))), lambda x: x != "")
 
 
 def whole_form(lines: Column) -> Column:

@@ -66,6 +66,31 @@ def test_licences(docs, odd_rows, tmp_path):
     _compare(df, licenses.OP3_SQL, t, tmp_path)
 
 
+def test_licence_terms_at_the_start_of_a_line(docs):
+    """Every known text, wrapped at any width, is what it is on one line."""
+    import textwrap
+
+    texts = [(n, w, t) for n, t in licenses.KNOWN for w in (12, 20, 40, 57, 65, 72, 80) if len(t) > 200]
+    wrapped = [textwrap.fill(t, w, break_long_words=False, break_on_hyphens=False) for _, w, t in texts]
+    assert any(re.search("(?im)^copyright (notice|holders)", t) for t in wrapped)
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    usual = "Copyright (c) 2020 Someone\n\n" + isc + next(t for n, t in licenses.KNOWN if n == "ISC").split("in all copies. ")[1]
+    found = {r["doc_id"]: r["text_license"] for r in licenses.scan(docs([(-1, usual), *enumerate(wrapped)])).collect()}
+    assert found.pop(-1) == "ISC"
+    assert found == {k: n for k, (n, _, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("line", "dropped"), [
+    ("Copyright (c) 2020 Someone", True), (" * Copyright 2020, Someone", True), ("COPYRIGHT \xa9 SOMEONE", True), ("Copyright The Some Authors", True), ("copyright jane doe", True),
+    ("Copyright 李明", True), ("(C) Someone", True), ("\xa9 2020", True), ("All rights reserved.", True), ("Copyright notice (c) 2020 Someone", True),
+    ("copyright notice and this permission notice", False), ("COPYRIGHT HOLDERS BE LIABLE", False), ("copyright owner or", False), ("copyright", False), ("(c) You must retain", False),
+    ("copyright licence to", False), ("copyright the software, and", False), ("Copyrighted 2020", False), ("about copyright 2020", False),
+])
+def test_copyright_lines(docs, line, dropped):
+    forms = docs([(1, line)]).select(licenses.line_forms(F.col("text")).alias("forms")).first()["forms"]
+    assert (forms == []) is dropped
+
+
 def test_mix_on_odd_rows(docs, odd_rows, tmp_path):
     rows = [(*r, None if k % 3 == 0 else f"s{k % 3}") for k, r in enumerate(odd_rows)] + [(100 + k, "w " * (k % 40), "big") for k in range(300)]
     t = docs(rows)
