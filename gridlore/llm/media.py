@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm.common import map_arrow, table, text_or_empty
+from gridlore.llm.common import table, text_or_empty
 
 WIDTH = 64
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -151,7 +151,9 @@ def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
 
 
 def to_png(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``png``, the stored form of each row's text; null texts are empty."""
+    """doc_id, n_bytes and ``png``, the stored form of each row's text; null texts are empty, and an empty text
+    is one row of zeros. Repeated rows and repeated or null doc_ids are rows of their own, equal texts have
+    equal images. Other columns are ignored; an empty table gives no rows."""
 
     def run(batches):
         for whole in batches:
@@ -163,12 +165,13 @@ def to_png(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, f"doc_id {kind}, n_bytes long, png binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, png binary")
 
 
 def png_features(images: DataFrame) -> DataFrame:
     """Read ``png`` back: size and digests of payload and stored form, and the hash (``phash``, and in
-    hexadecimal ``feature``). A damaged image fails the job with the reason."""
+    hexadecimal ``feature``). A damaged image fails the job with the reason.
+    One row for each row of ``images``; columns other than doc_id, n_bytes and png are not read."""
 
     def run(batches):
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "phash"]
@@ -185,8 +188,7 @@ def png_features(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *names])
 
     kind = images.schema["doc_id"].dataType.simpleString()
-    return map_arrow(
-        images,
+    return images.mapInArrow(
         run,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, phash binary",
     )

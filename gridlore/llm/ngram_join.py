@@ -2,11 +2,13 @@
 
 1. One pass over the texts gives each its band hashes. How many bands of how many rows: the most
    selective split whose recall at the threshold reaches the target (``choose_bands``).
-2. Texts that share a band hash are tied to the bucket's smallest text, one edge each, never all
-   pairs; the components of these edges are the candidate groups.
-3. Within a candidate group *all* texts are verified against each other on their full n-gram sets,
-   in square blocks of texts, so a large group becomes many tasks. A block returns a count of links
-   and one root for each text, not pairs.
+2. Texts that share a band hash are candidates of each other. Each is tied to its bucket's smallest text,
+   never to all others; the components of these ties only say which texts can meet.
+3. Candidates are verified on their full n-gram sets. A component of up to ``block`` texts is one unit.
+   Larger ones, which chains of chance hits can make, are taken apart again: every bucket is a unit of
+   its own, in square blocks of texts, and a pair counts in the first bucket that it shares, so that work
+   grows with buckets and not with the square of a component. Both ways exactly the pairs that share a band
+   hash are compared. A unit returns a count of links and one root for each text, not pairs.
 4. The components of the verified links are the classes.
 
 Equal texts are one node from the start and count by their multiplicity.
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import cut, digest, map_arrow, table, text_or_empty, with_row_id, RID
-from gridlore.llm.components import connected_components
+from gridlore.llm.common import RID, cut, digest, drop, table, text_or_empty, with_row_id
+from gridlore.llm.components import connected_components, over_key, salted_join
 from gridlore.llm.words import Words, mix, pieces, shingle_sets, stream
 
 #: Texts a side of a verified block.
@@ -107,9 +109,18 @@ def _settle(similar: np.ndarray) -> np.ndarray:
         label = new
 
 
+def first_shared(bands: np.ndarray, left: int) -> np.ndarray:
+    """The number of the first band whose hash two texts share, or -1: rows and columns as in ``links_of``."""
+    rows, cols = (bands[:left], bands[left:]) if left < len(bands) else (bands, bands)
+    first = np.full((len(rows), len(cols)), -1, np.int16)
+    for b in range(bands.shape[1] - 1, -1, -1):
+        first[rows[:, b][:, None] == cols[:, b][None, :]] = b
+    return first
+
+
 def verifier(n: int, threshold: float):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, _, band, i, j = key
         group = group.sort_values(["block", "node"], ignore_index=True)
         sets: list[np.ndarray] = []
         for _, data, at in pieces(pa.array(group["text"], pa.large_string())):
@@ -117,7 +128,10 @@ def verifier(n: int, threshold: float):
         times = group["copies"].to_numpy(np.int64)
         k = len(group)
         left = k if i == j else int((group["block"] == i).sum())
-        found = links_of(sets, left, threshold)
+        if i != j and left in (0, k):  # one of the two blocks has no text
+            return pd.DataFrame({"node": group["node"], "root": group["node"], "links": 0})
+        shared = first_shared(np.stack(group["bands"].to_numpy()), left)
+        found = links_of(sets, left, threshold) & (shared >= 0 if band < 0 else shared == band)
         if left == k:
             np.fill_diagonal(found, False)
             similar, links = found, found @ times
@@ -132,12 +146,31 @@ def verifier(n: int, threshold: float):
     return run
 
 
-def candidate_groups(signed: DataFrame) -> DataFrame:
-    """(node, component) of texts tied by equal band hashes; ``signed``: node, bands."""
-    bands = signed.select("node", F.explode("bands").alias("band"))
-    bucket = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    edges = bands.join(bucket, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    return connected_components(edges.distinct())
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(node, component) of texts tied by equal band hashes; ``nodes``: node, bands."""
+    bands = nodes.select(F.explode("bands").alias("band"), "node")
+    ties = over_key(bands, "band", "node", hub=F.min("node")).where("node <> hub")
+    return connected_components(ties.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+
+
+def units(nodes: DataFrame, block: int) -> DataFrame:
+    """``nodes`` (node, component, bands, ..) dealt into units of comparison: unit, band, i, j and block.
+
+    A component of up to ``block`` nodes is one unit, band -1. Of larger ones each bucket is one, in squares
+    of blocks i and j."""
+    sized = over_key(nodes, "component", "node", size=F.count(F.lit(1)))
+    zero = F.lit(0)
+    small = sized.where(F.col("size") <= block).select(
+        F.xxhash64("component").alias("unit"), F.col("component").alias("part"), F.lit(-1).alias("band"), zero.alias("i"), zero.alias("j"), zero.alias("block"), *nodes.columns
+    )
+    bucket = sized.where(F.col("size") > block).select(*nodes.columns, F.posexplode("bands").alias("band", "unit"))
+    bucket = over_key(bucket, "unit", "node", size=F.count(F.lit(1))).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")),
+    )
+    large = bucket.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pairs))
+    return small.union(large.select("unit", F.lit(None).cast(nodes.schema["component"].dataType).alias("part"), "band", "pair.i", "pair.j", "block", *nodes.columns))
 
 
 def ngram_classes(
@@ -148,34 +181,27 @@ def ngram_classes(
     classes has the nodes with a link to another node only.
     """
     texts = with_row_id(docs).select(RID, "doc_id", digest().alias("node"), text_or_empty().alias("text"))
-    schema = f"{RID} long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>"
-    signed = cut(map_arrow(texts, signer(n, *choose_bands(threshold, recall)), schema))
+    schema = f"{RID} binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bands array<long>"
+    signed = cut(texts.mapInArrow(signer(n, *choose_bands(threshold, recall)), schema))
     rows = signed.select(RID, "doc_id", "node", (F.size("bands") == 0).alias("empty"))
-    group = cut(candidate_groups(signed))
-    # One text a node: copies meet in a partial aggregate before the shuffle. Candidates grow with the
-    # corpus, so they are never broadcast, however small they are today.
-    texts = (
-        docs.select(digest().alias("node"), text_or_empty().alias("text"))
-        .join(group.hint("merge"), "node")
-        .groupBy("node", "component")
-        .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    )
-    blocks = group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")),
-    )
-    dealt = (
-        texts.join(blocks, "component")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("component", "node", "text", "copies", "block", F.explode(pairs).alias("pair"))
-        .select("component", "node", "text", "copies", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    )
-    found = cut(
-        dealt.groupBy("component", "i", "j").applyInPandas(verifier(n, threshold), "node binary, root binary, links long")
+    # One row a node from here on: copies meet in a partial aggregate before the shuffle.
+    nodes = cut(
+        signed.where(F.size("bands") > 0)
+        .groupBy("node")
+        .agg(F.min(RID).alias(RID), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     )
+    groups = candidate_groups(nodes.select("node", "bands"))
+    # The text of each candidate is that of its first row. Candidates grow with the corpus, so they are
+    # never broadcast; they are the smaller side in every partition.
+    grouped = nodes.join(groups, "node")
+    held = cut(with_row_id(docs).select(RID, text_or_empty().alias("text")).join(grouped.hint("shuffle_hash"), RID).drop(RID))
+    dealt = units(held.drop("text"), block).select("unit", "part", "band", "i", "j", "block", "node").join(held, "node")
+    dealt = dealt.select("unit", "part", "band", "i", "j", "block", "node", "copies", "bands", "text")
+    by_unit = dealt.groupBy("unit", "part", "band", "i", "j")
+    found = cut(by_unit.applyInPandas(verifier(n, threshold), "node binary, root binary, links long"))
     classes = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0")
+    drop(held)
     return rows, links.join(classes, "node").select("node", F.col("component").alias("root"), "links")
 
 
@@ -199,9 +225,9 @@ def ngram_join(
         .join(classes, "node", "left")
         .select("node", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    ids = nodes.groupBy("root").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(ids, "root").select("node", "class_id", "root", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.join(nodes, "node", "left").select(
+    nodes = over_key(nodes, "root", "node", class_id=F.min("least"))
+    nodes = nodes.select("node", "class_id", "root", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return salted_join(rows, nodes, "node", RID, "left").select(
         RID,
         "doc_id",
         "node",
@@ -212,16 +238,18 @@ def ngram_join(
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of linked rows: the smallest doc_id, nulls last.
+    """``docs`` with one row of each class of linked rows: the smallest doc_id, nulls last, and of repeated
+    doc_ids the first stored.
 
-    ``docs`` must be a stored table (its rows are numbered twice). Rows without words all stay.
+    ``docs`` must be a stored Parquet table. Rows without words (null texts too) all stay. All columns pass
+    through, whatever their names; an empty table gives no rows.
     """
     joined = ngram_join(docs, n, threshold)
     grouped = joined.where(F.col("root").isNotNull() & (F.col("n_links") > 0))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("rid"))
-    kept = grouped.groupBy("root").agg(F.min(first).alias("kept")).select("root", F.col("kept.rid").alias("kept_rid"))
-    gone = cut(grouped.join(kept, "root").where(F.col(RID) != F.col("kept_rid")).select(RID))
-    return with_row_id(docs).join(gone, RID, "left_anti").drop(RID)
+    ranked = over_key(grouped.select("root", RID, first.alias("rank")), "root", RID, kept=F.min("rank"))
+    gone = cut(ranked.where(F.col(RID) != F.col("kept.rid")).select(RID))
+    return with_row_id(docs).join(gone.hint("shuffle_hash"), RID, "left_anti").drop(RID)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

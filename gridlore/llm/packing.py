@@ -6,8 +6,8 @@ down, each window's gap is filled with the best-fitting pieces of shorter tiers,
 fit, so that windows close at exactly their tier's length and need no padding. What remains is joined
 into the longest windows. The sequences of a tier are dealt into step groups of equal tokens.
 
-Every partition packs what it reads, pool after pool, so nothing is shuffled, and hands the open
-rest of a pool to the next; only a partition's last sequence can be padded.
+Every partition packs what it reads, pool after pool, so no text is shuffled, and hands the open rest of a
+pool to the next; only a partition's last sequence can be padded. Step groups go over all partitions.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from gridlore.llm.common import map_arrow, table, text_or_empty
+from gridlore.llm.common import cut, table, text_or_empty
 
 #: Window lengths, longest first.
 TIERS = (2048, 1024, 512, 256)
@@ -83,33 +84,31 @@ def pack(items: list[Piece], tiers: tuple[int, ...] = TIERS) -> tuple[list[tuple
 
 
 def encoder(tokenizer: str, ranks: str):
-    """A function from a text to its ids: the vocabulary of ``tokenizer`` (a tokenizers JSON file),
-    run from the same vocabulary's rank file ``ranks``, four times as fast. Special strings are text."""
+    """A function from a text to its ids, as ``Tokenizer.from_file(tokenizer)`` encodes it without adding
+    special tokens: strings of special tokens in a text are those tokens. It runs from the same vocabulary's
+    rank file ``ranks``, four times as fast; texts that its regular expressions give up on go to the
+    tokenizer itself."""
     import tiktoken
     from public_tokenizers import PATTERN
+    from tokenizers import Tokenizer
 
+    whole = Tokenizer.from_file(tokenizer)
+    special = {t.content: k for k, t in whole.get_added_tokens_decoder().items()}
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def slow(text: str) -> list[int]:
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(tokenizer)
-        whole.encode_special_tokens = True
-        return whole.encode(text, add_special_tokens=False).ids
+    fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
         try:
-            ids = fast.encode_ordinary(text)
-        except Exception:  # the regex engine gives up on some extreme texts
-            ids = slow(text)
+            ids = fast.encode(text, allowed_special="all")
+        except ValueError:
+            ids = whole.encode(text, add_special_tokens=False).ids
         return np.array([*ids, 1], "<u4")
 
     return encode
 
 
-def packer(tokenizer: str, ranks: str, id_type: pa.DataType, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP):
+def packer(tokenizer: str, ranks: str, id_type: pa.DataType, tiers: tuple[int, ...] = TIERS, pool: int = POOL):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer, ranks), TaskContext.get().partitionId()
         ids: dict[int, np.ndarray] = {}
@@ -122,16 +121,15 @@ def packer(tokenizer: str, ranks: str, id_type: pa.DataType, tiers: tuple[int, .
             nonlocal made
             rows = []
             for tier, pieces in sequences:
-                group = ((part * len(tiers) + tiers.index(tier)) << 28) + made_of[tier] * tier // step
-                made_of[tier] += 1
                 offset = 0
                 for doc, start, size in pieces:
                     crc = zlib.crc32(ids[doc][start : start + size].tobytes())
-                    rows.append((names[doc], start, size, crc, len(ids[doc]), (part << 32) + made, offset, tier, group))
+                    rows.append((names[doc], start, size, crc, len(ids[doc]), (part << 32) + made, offset, tier, part, made_of[tier]))
                     offset += size
                 made += 1
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            types = [id_type, *[pa.int64()] * 6, pa.int32(), pa.int64()]
+                made_of[tier] += 1
+            columns = zip(*rows, strict=True) if rows else [[]] * 10
+            types = [id_type, *[pa.int64()] * 6, *[pa.int32()] * 2, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], NAMES)
 
         for batch in batches:
@@ -152,20 +150,31 @@ def packer(tokenizer: str, ranks: str, id_type: pa.DataType, tiers: tuple[int, .
     return run
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "part", "nth"]
+
+
+def with_step_groups(pieces: DataFrame, step: int = STEP) -> DataFrame:
+    """``pieces`` (stored, with the partition ``part`` that made them and ``nth``, their sequence's number in it
+    by tier) with ``step_group``: the sequences of a tier, over all partitions, dealt into groups of ``step``
+    tokens; only the last group of a tier has fewer. One count a partition and tier is summed up."""
+    made = pieces.groupBy("tier", "part").agg((F.max("nth") + 1).alias("n"))
+    earlier = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = made.select("tier", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    group = F.floor((F.col("first") + F.col("nth")) * F.col("tier") / step) * 64 + F.log2("tier").cast("long")
+    return pieces.join(first, ["tier", "part"]).withColumn("step_group", group.cast("long")).select(*NAMES[:-2], "step_group")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, tiers: tuple[int, ...] = TIERS, pool: int = POOL) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, ranks: str, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP) -> DataFrame:
     """One row a piece of each row's ids; null texts are empty, one end id. Repeated rows and repeated
     doc_ids (null too) are packed row by row. Other columns are ignored; an empty table gives no rows."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    return map_arrow(
-        docs.select("doc_id", text_or_empty().alias("text")),
+    made = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
         packer(tokenizer, ranks, to_arrow_type(kind), tiers, pool),
-        f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long",
+        f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, part int, nth long",
     )
+    return with_step_groups(cut(made), step)
 
 
 def byte_bpe() -> tuple[str, str]:

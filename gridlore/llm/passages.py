@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, cut, map_arrow, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, cut, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, utf8
 
 #: Words of a unit that is an anchor, of a chain that is hashed, and of a run that is removed.
@@ -103,7 +103,7 @@ def repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS, unit_words: in
     """
     ranked = with_row_id(docs).select(RID, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.col(RID)).alias("ord"), text_or_empty().alias("text"))
     places = "word int, end_word int, begin int, end int"
-    chains = cut(map_arrow(ranked, _chains(unit_words, chain_words), f"{RID} long, ord long, digest long, {places}"))
+    chains = cut(ranked.mapInArrow(_chains(unit_words, chain_words), f"{RID} binary, ord long, digest long, {places}"))
     several = cut(chains.groupBy("digest").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     shared = chains.join(several, "digest")
     # Within the earliest document, its first place is the one that stays.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import map_arrow, table, text_or_empty
+from gridlore.llm.common import table, text_or_empty
 from gridlore.llm.toxicity import labelled_sample
 from gridlore.llm.words import mix, stream, windows
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     """Fit on a bounded sample of labelled rows that are not held out; without any, all score 1/2."""
     sample = labelled_sample(docs.where(~held_out()), labels.where(~held_out()), "quality", most)
     sample = sample.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
-    rows = map_arrow(sample, _counted, "h long, y int, number array<int>, times array<int>").toArrow().sort_by("h")
+    rows = sample.mapInArrow(_counted, "h long, y int, number array<int>, times array<int>").toArrow().sort_by("h")
     numbers, times = ([x.values.to_numpy() for x in rows.column(c)] for c in ("number", "times"))
     return fit(list(zip(numbers, times, (rows.column("y").to_numpy() > 0).astype(int).tolist(), strict=True)))
 
@@ -172,9 +172,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(texts), pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = map_arrow(
-        docs.select("doc_id", held_out().alias("held_out"), text_or_empty().alias("text")), run, f"doc_id {kind}, held_out boolean, score double"
-    )
+    texts = docs.select("doc_id", held_out().alias("held_out"), text_or_empty().alias("text"))
+    scored = texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))
 
 

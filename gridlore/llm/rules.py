@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import map_arrow, table, text_or_empty
+from gridlore.llm.common import table, text_or_empty
 from gridlore.llm.words import Words, mix, pieces, windows
 
 #: Rules in the order of their bits: name, failure as SQL over the measurements.
@@ -101,11 +101,12 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, MEASURES and ``fail_bits`` of every row; null and white-space texts have no words."""
+    """doc_id, MEASURES and ``fail_bits`` of every row; null and white-space texts have no words. Repeated rows
+    and repeated or null doc_ids are rows of their own. Other columns are ignored; an empty table gives no
+    rows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = map_arrow(
-        docs.select("doc_id", text_or_empty().alias("text")), _run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    )
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    measured = texts.mapInArrow(_run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = " + ".join(f"if({test}, {1 << k}, 0)" for k, (_, test) in enumerate(RULES))
     return measured.withColumn("fail_bits", F.expr(f"cast({bits} as bigint)"))
 

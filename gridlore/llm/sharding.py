@@ -1,36 +1,57 @@
 """Operator 1: shards by balanced label propagation.
 
-Documents that share a link key (here: equal texts) are linked. A link key is a hub: neighbours meet
-in its counts by shard, never in pairs. Each round joins documents with their hubs' counts, lets
-every document wish for the shard that holds most of its neighbours, and grants wishes under capacity
-quotas: wishes are counted by pair of shards and gain, and the driver turns this fixed small table
-into one threshold a pair, for as many rows as swap or as there is room for. Documents without links fill what room is left, so sizes
-end exact: shard counts differ by one row at most (law ``rows``).
+Documents that share a link key (here: equal texts) are linked. Rows with the same keys are bundled into
+vertices of at most 1/64 of a shard, so that a key has at most 64 vertices a shard, however many rows it
+has. A key is a hub: neighbours meet in its counts by shard, never in pairs. Each round joins vertices
+with their hubs' counts, lets each wish for the shard that holds most of its neighbours, and grants wishes
+under capacity quotas: wishes are counted by pair of shards and gain, and the driver turns this fixed
+small table into one threshold a pair. Rounds go on until no wish can be granted or the cut no longer
+shrinks.
+
+Then sizes are made exact. Rows of one bundle and shard are a clump; clumps of two rows or more are placed
+whole, the largest first, in their shard, else where there is room; rows without copies fill up. Only what
+finds no room as a whole is split. Nothing depends on where a row is stored: labels, draws and orders come
+from digests of keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, crc32_text, cut, digest, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, crc32_text, cut, digest, drop, table, text_or_empty, with_row_id
 
-#: Rows that one task ranks at a time.
-RANKED = 10_000
+#: Vertices of a full shard that has nothing but one bundle.
+_PIECES = 64
+#: Parts that copies of one text are numbered in.
+_SALT = 64
+#: Rows that one task sums up at a time, and hash buckets of a running sum at most.
+_RANKED, _BUCKETS = 10_000, 4096
 _LEVELS = 40
+#: Rounds without a smaller cut that end the propagation.
+_PATIENCE = 3
 
 
 def _capacities(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
-def _grant(asked: dict, room: list[int], shards: int, swaps: bool) -> dict:
+def _draw(*columns, seed: int) -> Column:
+    """20 bits that depend on the columns' values alone."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 20)).cast("int")
+
+
+def _pick(values: list, at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+
+
+def _grant(asked: dict, room: list[int], shards: int) -> dict:
     """(from, to) -> (level, share of draws): wishes above the level are granted, and that share of the level.
 
     Two shards may swap as many rows as wish both ways; beyond that, wishes share a shard's room.
     """
     total = {(i, j): sum(asked.get((i, j, k), 0) for k in range(_LEVELS)) for i in range(shards) for j in range(shards)}
-    quota = {(i, j): min(n, total[j, i]) if swaps else 0 for (i, j), n in total.items()}
+    quota = {(i, j): min(n, total[j, i]) for (i, j), n in total.items()}
     for j in range(shards):
         rest = {i: total[i, j] - quota[i, j] for i in range(shards)}
         left = min(max(room[j], 0), sum(rest.values()))
@@ -51,127 +72,217 @@ def _grant(asked: dict, room: list[int], shards: int, swaps: bool) -> dict:
     return bars
 
 
-def propagate(members: DataFrame, capacity: list[int], rounds: int = 12) -> DataFrame:
-    """Labels of linked rows: ``members`` (``__rid``, key) -> (``__rid``, shard).
+def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
+    """``vertices`` (sig, piece, w, keys, label) with the labels that propagation ends in.
 
-    Every shard gets at most about its ``capacity`` (thresholds split a gain level by hash, so a few
-    rows more may come; the caller's ranking settles these). Stops when no wish can be granted.
+    Wishes count neighbours by weight, oneself left out. A vertex may move in every other round, by its
+    draw, so that neighbours do not change places for ever; the labels of the smallest cut are returned.
     """
     shards = len(capacity)
-    hash_of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 20)).cast("int")
-    labels = cut(members.select(RID).distinct().withColumn("shard", F.pmod(F.xxhash64(RID, F.lit(1)), F.lit(shards)).cast("int")))
-    still = 0
-    for turn in range(rounds):
-        size = {r["shard"]: r["count"] for r in labels.groupBy("shard").count().collect()}
-        size = [size.get(s, 0) for s in range(shards)]
-        room = [c - n for c, n in zip(capacity, size, strict=True)]
-        placed = members.join(labels, RID)
-        hubs = placed.groupBy("key").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"n{s}") for s in range(shards)])
+    now, best, still, turn = cut(vertices), None, 0, 0
+    while still < _PATIENCE:
+        member = now.select("sig", "piece", "w", "label", F.explode("keys").alias("key"))
+        hubs = member.groupBy("key").agg(*[F.sum(F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(f"n{s}") for s in range(shards)])
         near = (
-            members.join(hubs, "key")
-            .groupBy(RID)
-            .agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)], F.min(F.xxhash64("key")).alias("tie"))
-            .join(labels, RID)
+            member.join(hubs, "key")
+            .groupBy("sig", "piece", "w", "label")
+            .agg(*[F.sum(F.col(f"n{s}") - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(f"n{s}") for s in range(shards)], F.min("key").alias("tie"))
         )
-        # Every other round only shards with room are wished for, so that crowds move on to a next best one.
-        # The own shard always counts; ties go by a hash that all rows of a hub share.
-        swaps = turn % 2 == 0
-        rank = [
-            F.struct(
-                F.when((F.col("shard") == s) | F.lit(swaps or room[s] > 0), F.col(f"n{s}")).otherwise(F.lit(-1)).alias("n"),
-                hash_of("tie", F.lit(s)).alias("tie"),
-                F.lit(s).alias("s"),
+        rank = [F.struct(F.col(f"n{s}").alias("n"), _draw("tie", F.lit(s), seed=2).alias("tie"), F.lit(s).alias("s")) for s in range(shards)]
+        own = F.element_at(F.array(*[F.col(f"n{s}") for s in range(shards)]), F.col("label") + 1)
+        total = sum((F.col(f"n{s}") for s in range(1, shards)), F.col("n0"))
+        wish = cut(
+            near.select("sig", "piece", "w", "label", own.alias("own"), (F.col("w") * (total - own)).alias("apart"), F.greatest(*rank).alias("best")).select(
+                "sig",
+                "piece",
+                "w",
+                "label",
+                "apart",
+                F.col("best.s").alias("to"),
+                F.least(F.floor(F.log2(F.col("best.n") - F.col("own") + 1)).cast("int"), F.lit(_LEVELS - 1)).alias("level"),
+                (F.col("best.n") > F.col("own")).alias("gains"),
+                _draw("sig", "piece", seed=100 + turn).alias("draw"),
             )
-            for s in range(shards)
-        ]
-        own = F.element_at(F.array(*[F.col(f"n{s}") for s in range(shards)]), F.col("shard") + 1)
-        wish = near.select(RID, "shard", own.alias("own"), F.greatest(*rank).alias("best")).select(
-            RID,
-            "shard",
-            F.col("best.s").alias("to"),
-            (F.col("best.n") - F.col("own")).alias("gain"),
-            hash_of(RID, F.lit(turn + 100)).alias("draw"),
         )
-        level = F.least(F.floor(F.log2(F.col("gain") + 1)).cast("int"), F.lit(_LEVELS - 1))
-        wish = cut(wish.withColumn("level", F.when((F.col("to") != F.col("shard")) & (F.col("gain") >= 0), level)))
-        asked = {(r["shard"], r["to"], r["level"]): r["count"] for r in wish.where("level is not null").groupBy("shard", "to", "level").count().collect()}
-        bars = _grant(asked, room, shards, swaps)
-        still = 0 if bars else still + 1
-        if still == 2:
+        moves = (F.col("to") != F.col("label")) & (F.col("gains") | (F.col("level") == 0)) & (F.col("draw") % 2 == 0)
+        counts = wish.groupBy("label", "to", F.when(moves, F.col("level")).alias("level")).agg(F.sum("w").alias("w"), F.sum("apart").alias("apart")).collect()
+        apart = sum(r["apart"] for r in counts)
+        if best is None or apart < best[0]:
+            if best is not None:
+                drop(best[1])
+            best, still = (apart, now), 0
+        else:
+            still += 1
+            if now is not best[1]:
+                drop(now)
+        size = [sum(r["w"] for r in counts if r["label"] == s) for s in range(shards)]
+        asked = {(r["label"], r["to"], r["level"]): r["w"] for r in counts if r["level"] is not None}
+        bars = _grant(asked, [c - n for c, n in zip(capacity, size, strict=True)], shards)
+        if not bars or not apart:
+            drop(wish)
             break
-        if not bars:
-            continue
-        at, share = (F.element_at(F.array(*[F.lit(bars.get((i, j), (_LEVELS, 0))[k]) for i in range(shards) for j in range(shards)]), F.col("shard") * shards + F.col("to") + 1) for k in (0, 1))
-        moves = (F.col("level") > at) | ((F.col("level") == at) & (F.col("draw") < share))
-        labels = wish.select(RID, F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"))
-    return cut(labels)
-
-
-def ranked(rows: DataFrame, group: str, into: str, tier: str | None = None) -> DataFrame:
-    """Number rows 0, 1, .. within ``group`` (a small fixed set of values), lower ``tier`` (0 to 63) first:
-    rows fall into even hash buckets, buckets are counted and their counts summed, and rows are ranked
-    within their bucket."""
-    n = rows.count()
-    buckets = max(64, n // RANKED)
-    rows = rows.withColumn("__bucket", (F.pmod(F.xxhash64(RID), F.lit(buckets)) + (F.col(tier) * buckets if tier else 0)).cast("long"))
-    sums = rows.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(group, "__bucket").orderBy(RID)
-    rows = rows.withColumn("__rank", F.row_number().over(inner) - 1)
-    on = rows[group].eqNullSafe(sums["__g"]) & (rows["__bucket"] == sums["__b"])
-    return rows.join(sums, on).withColumn(into, (F.col("__rank") + F.col("__before")).cast("long")).drop("__bucket", "__rank", "__g", "__b", "__before")
-
-
-def shard_rows(rows: DataFrame, members: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
-    """(``__rid``, shard, slot) of ``rows`` (``__rid``, any others), linked by ``members`` (``__rid``, key).
-
-    Both must be stored tables. members holds rows of keys with two rows or more; a row may have
-    several keys, each once.
+        pair = F.col("label") * shards + F.col("to")
+        at, share = (_pick([bars.get((i, j), (_LEVELS, 0))[k] for i in range(shards) for j in range(shards)], pair) for k in (0, 1))
+        granted = moves & ((F.col("level") > at) | ((F.col("level") == at) & (F.col("draw") < share)))
+        moved = wish.where(granted).select("sig", "piece", F.col("to").alias("__to"))
+        stay = now.join(moved, ["sig", "piece"], "left")
+        now = cut(stay.withColumn("label", F.coalesce("__to", "label")).select(*vertices.columns))
+        drop(wish)
+        turn += 1
+    return best[1]
+
+
+def _running(clumps: DataFrame, group: str) -> DataFrame:
+    """Adds ``before``: the weight of all clumps ahead in ``group``, heavier ones first, then by hash. Clumps
+    fall into buckets in that order, buckets are summed, and their sums are summed in turn: at most
+    64 x ``_BUCKETS`` of them a group."""
+    buckets = max(16, min(_BUCKETS, clumps.count() // _RANKED))
+    tier = 63 - F.floor(F.log2("w")).cast("int")
+    rows = clumps.withColumn("__b", tier * buckets + F.pmod(F.xxhash64("sig", "label", "off"), F.lit(buckets)).cast("int"))
+    sums = rows.groupBy(group, "__b").agg(F.sum("w").alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy(group, "__b").orderBy("sig", "label", "off").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("w").over(inner), F.lit(0)))
+    return rows.join(sums, [group, "__b"]).withColumn("before", F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+
+
+def _intervals(room: list[int]) -> list[tuple[int, int, int]]:
+    """(shard, first, end) of the shards' rooms one after another, the largest first."""
+    found, at = [], 0
+    for s in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+        if room[s] > 0:
+            found.append((s, at, at + room[s]))
+            at += room[s]
+    return found
+
+
+def settle(clumps: DataFrame, capacity: list[int]) -> DataFrame:
+    """(sig, label, off, w, shard) of ``clumps`` (sig, label, w): each whole in one shard, or, what finds no
+    room, cut into parts that begin at ``off``. Every shard ends with exactly its capacity."""
+    shards = len(capacity)
+    columns = ["sig", "label", "off", "w", "shard"]
+    clumps = clumps.withColumn("off", F.lit(0).cast("long"))
+    groups, singles = clumps.where("w > 1"), clumps.where("w = 1")
+    home = cut(_running(groups, "label").withColumn("stays", F.col("before") + F.col("w") <= _pick(capacity, F.col("label"))))
+    done = [home.where("stays").withColumn("shard", F.col("label")).select(*columns)]
+    room = list(capacity)
+
+    def take(placed: DataFrame) -> int:
+        found = {r["shard"]: r["w"] for r in placed.groupBy("shard").agg(F.sum("w").alias("w")).collect()}
+        for s, w in found.items():
+            room[s] -= w
+        return len(found)
+
+    take(done[0])
+    pool = home.where("not stays").select("sig", "label", "off", "w")
+    while True:
+        inside = F.lit(None).cast("int")
+        for s, first, end in _intervals(room):
+            inside = F.when((F.col("before") >= first) & (F.col("before") + F.col("w") <= end), s).otherwise(inside)
+        tried = cut(_running(pool.withColumn("g", F.lit(0)), "g").withColumn("shard", inside))
+        done.append(tried.where("shard is not null").select(*columns))
+        pool = tried.where("shard is null").select("sig", "label", "off", "w")
+        if not take(done[-1]):
+            break
+    # What is left fills the rooms in order, groups first; singles never cross an edge.
+    rest = _running(pool.union(singles.select("sig", "label", "off", "w")).withColumn("g", F.lit(0)), "g")
+    edges = _intervals(room)
+    parts = F.array(
+        *[
+            F.struct(F.lit(s).alias("shard"), F.greatest(F.col("before"), F.lit(a)).alias("a"), F.least(F.col("before") + F.col("w"), F.lit(b)).alias("b"))
+            for s, a, b in edges
+        ]
+    )
+    if edges:
+        part = rest.select("sig", "label", "before", F.explode(F.filter(parts, lambda p: p["a"] < p["b"])).alias("p"))
+        done.append(part.select("sig", "label", (F.col("p.a") - F.col("before")).alias("off"), (F.col("p.b") - F.col("p.a")).alias("w"), "p.shard"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def place_bundles(bundles: DataFrame, rows: int, shards: int) -> tuple[int, DataFrame]:
+    """Where the rows of ``bundles`` (sig, n, keys) go: vertex size, and (sig, piece, lo, hi, shard, slot):
+    the copies ``lo`` to ``hi`` (excluded) of a bundle, in its vertex ``piece``, and the slot of the first."""
+    capacity = _capacities(rows, shards)
+    size = max(1, rows // (shards * _PIECES))
+    first = F.coalesce(F.get("keys", F.lit(0)), F.col("sig"))
+    spread = F.floor(F.col("piece") * size / max(1, 3 * rows // (4 * shards)))
+    vertices = bundles.select("sig", "n", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))).alias("piece")).select(
+        "sig", "piece", F.least(F.lit(size), F.col("n") - F.col("piece") * size).cast("long").alias("w"), "keys",
+        F.pmod(F.pmod(F.xxhash64(first, F.lit(1)), F.lit(shards)) + spread, F.lit(shards)).cast("int").alias("label"),
+    )
+    vertices = cut(vertices)
+    # Vertices with a neighbour; the others have nothing to follow.
+    hubs = vertices.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    near = vertices.select("sig", "piece", F.explode("keys").alias("key")).join(hubs, "key").select("sig", "piece").distinct()
+    linked = propagate(vertices.join(near, ["sig", "piece"]), capacity).select("sig", "piece", F.col("label").alias("__to"))
+    labelled = vertices.join(linked, ["sig", "piece"], "left").select("sig", "piece", "w", F.coalesce("__to", "label").alias("label"))
+    inner = Window.partitionBy("sig", "label").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    labelled = cut(labelled.withColumn("at", F.coalesce(F.sum("w").over(inner), F.lit(0))))
+    settled = cut(settle(labelled.groupBy("sig", "label").agg(F.sum("w").alias("w")), capacity))
+    slots = _running(settled, "shard").select("sig", "label", "off", F.col("w").alias("len"), "shard", F.col("before").alias("slot"))
+    lo, hi = F.greatest("at", "off"), F.least(F.col("at") + F.col("w"), F.col("off") + F.col("len"))
+    found = labelled.join(slots, ["sig", "label"]).where(lo < hi)
+    from_first = F.col("piece") * size - F.col("at")
+    return size, found.select("sig", "piece", (lo + from_first).alias("lo"), (hi + from_first).alias("hi"), "shard", (F.col("slot") + lo - F.col("off")).alias("slot"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``: numbers from 0 within ``sig``. Copies are dealt into ``_SALT`` parts, which are counted
+    and numbered apart, so that no task has all copies of a text."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(RID), F.lit(_SALT)).cast("int"))
+    counts = rows.groupBy("sig", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("sig").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("sig", "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    inner = Window.partitionBy("sig", "__salt").orderBy(RID)
+    rows = rows.withColumn("__k", F.row_number().over(inner) - 1).join(starts, ["sig", "__salt"])
+    return rows.withColumn("copy", F.col("__first") + F.col("__k")).drop("__salt", "__k", "__first")
+
+
+def shard_bundled(rows: DataFrame, bundles: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (stored, with sig and copy) with shard and slot; ``bundles`` are (sig, n, keys)."""
+    size, parts = place_bundles(bundles, rows.count(), shards)
+    parts = cut(parts)
+    placed = rows.withColumn("piece", F.floor(F.col("copy") / size)).join(parts, ["sig", "piece"]).where("copy >= lo and copy < hi")
+    return placed.withColumn("slot", F.col("slot") + F.col("copy") - F.col("lo")).drop("sig", "piece", "copy", "lo", "hi")
+
+
+def shard_rows(rows: DataFrame, members: DataFrame, shards: int = 8) -> DataFrame:
+    """(``__rid``, shard, slot) of ``rows`` (``__rid``), linked by ``members`` (``__rid``, key).
+
+    A row may have several keys, few by nature; a row without any is its own bundle. An empty table gives
+    no rows.
     """
-    capacity = _capacities(rows.count(), shards)
-    labels = propagate(members, capacity, rounds)
-    # Where a shard has drawn too many, rows of the largest groups leave: a split group is split once more.
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    tier = members.join(size, "key").groupBy(RID).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("tier"))
-    state = rows.select(RID).join(labels.join(tier, RID), RID, "left").select(RID, F.coalesce("shard", F.lit(-1)).alias("want"), F.coalesce("tier", F.lit(0)).alias("tier"))
-    state = cut(ranked(state, "want", "at", "tier"))
-    limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("want") + 1)
-    state = state.withColumn("stays", F.when(F.col("want") >= 0, F.col("at") < limit).otherwise(F.lit(False)))
-    held = {r["want"]: r["count"] for r in state.where("stays").groupBy("want").count().collect()}
-    pool = cut(ranked(state.where("not stays").select(RID, F.lit(0).alias("pool")), "pool", "at"))
-    edge, fill = 0, F.lit(None).cast("struct<shard:int,slot:bigint>")
-    for s in range(shards):
-        first, edge = edge, edge + capacity[s] - held.get(s, 0)
-        here = F.struct(F.lit(s).alias("shard"), (F.col("at") - first + held.get(s, 0)).alias("slot"))
-        fill = F.when((F.col("at") >= first) & (F.col("at") < edge), here).otherwise(fill)
-    filled = pool.select(RID, fill.alias("f")).select(RID, F.col("f.shard").alias("shard"), F.col("f.slot").alias("slot"))
-    return state.where("stays").select(RID, F.col("want").alias("shard"), F.col("at").alias("slot")).union(filled)
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
+    keys = members.groupBy(RID).agg(F.sort_array(F.collect_set(F.col("key").cast("string"))).alias("keys"))
+    sig = F.md5(F.coalesce(F.to_json("keys"), F.concat(F.lit("row "), F.hex(F.col(RID)))))
+    rows = cut(_numbered(rows.select(RID).join(keys, RID, "left").withColumn("sig", sig)))
+    bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    return shard_bundled(rows.drop("keys"), bundles, shards)
+
+
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
-    Linked are rows of equal text, null counting as empty. Counts of shards differ by one at most,
-    slots run from 0 without gaps; a group of copies is split only where it exceeds the room of a
-    shard. Repeated rows and repeated or null doc_ids are rows of their own. ``docs`` must be a
-    stored table. Other columns are ignored; an empty table gives no rows.
+    Linked are rows of equal text, null counting as empty. Counts of shards differ by one at most, slots
+    run from 0 without gaps. A group of copies is split only where no shard has room for the whole of it
+    once larger groups are placed. Which shards a text's copies go to depends on the texts and their
+    counts, not on how the table is stored. Repeated rows and repeated or null doc_ids are rows of their
+    own. ``docs`` must be a stored Parquet table. Other columns are ignored; an empty table gives no rows.
     """
-    base = cut(
-        with_row_id(docs).select(
-            RID,
-            "doc_id",
-            (F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text")) + 1).cast("long").alias("size"),
-            crc32_text().alias("text_crc32"),
-            digest().alias("key"),
-        )
-    )
-    several = base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = cut(base.select(RID, "key").join(several, "key"))
-    placed = shard_rows(base, members, shards, rounds)
-    return base.join(placed, RID).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    base = with_row_id(docs).select(
+        RID,
+        "doc_id",
+        (F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text")) + 1).cast("long").alias("size"),
+        crc32_text().alias("text_crc32"),
+        F.hex(digest()).alias("sig"),
     )
+    rows = cut(_numbered(base).drop(RID))
+    bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).withColumn("keys", F.array("sig"))
+    placed = shard_bundled(rows, bundles, shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op1_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, cut, map_arrow, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, cut, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, stream
 
 BUCKETS = 1 << 20
@@ -207,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
     labels and chosen features of the sample, no texts."""
     sample = labelled_sample(docs, labels, "toxic", most).select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
     schema = "h long, y int, bucket array<int>"
-    sparse = cut(map_arrow(sample, _sparse, schema))
+    sparse = cut(sample.mapInArrow(_sparse, schema))
     features = select_features(sparse)
     chosen = np.sort(np.array([r["f"] for r in features], np.int64))
-    rows = map_arrow(sparse, _kept(chosen), schema).toArrow().sort_by("h")
+    rows = sparse.mapInArrow(_kept(chosen), schema).toArrow().sort_by("h")
     if not rows.num_rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([10.0, 20.0, 30.0]))
     sets = [x.values.to_numpy() for x in rows.column("bucket")]
@@ -237,8 +237,9 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(
-        with_row_id(docs).select(RID, "doc_id", text_or_empty().alias("text")), run, f"{RID} long, doc_id {kind}, p_toxic double, severity double, toxic boolean"
+    texts = with_row_id(docs).select(RID, "doc_id", text_or_empty().alias("text"))
+    return texts.mapInArrow(
+        run, f"{RID} binary, doc_id {kind}, p_toxic double, severity double, toxic boolean"
     )
 
 
@@ -251,7 +252,7 @@ def clean_only(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 part = batch.slice(row, len(first) - 1)
                 yield part.filter(pa.array(model.above(model.margins(bucket, first))[:, 0] < TOXIC))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def stream(n: int, seed: int) -> np.ndarray:
-    """n fixed pseudo-random odd 64-bit numbers."""
+def stream(n: int, seed: int, first: int = 0) -> np.ndarray:
+    """n fixed pseudo-random odd 64-bit numbers, from number ``first`` on."""
     base = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)
-    return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(base)) | _U(1)
+    return mix(np.arange(first + 1, first + n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(base)) | _U(1)
 
 
 _PLACE = stream(64, 1)
@@ -91,16 +91,28 @@ class Words:
         start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         return cls(data, rows, start, end, np.searchsorted(start, rows))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: multilinear in its bytes, one random factor a place."""
-        if not len(self.start):
-            return np.zeros(0, _U)
+    def hashes(self, part: int = 1 << 18) -> np.ndarray:
+        """A 64-bit hash of each word: multilinear in its bytes, one random factor a place. Words are taken
+        some ``part`` bytes at a time, longer ones alone and by slices, so that memory does not grow with
+        the text."""
         size = self.end - self.start
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(int(size.sum())) - np.repeat(begin, size)
-        index = place + np.repeat(self.start, size)
-        term = _places(int(size.max()))[place] * (self.data[index].astype(_U) + _U(1))
-        return mix(np.add.reduceat(term, begin))
+        out, row = np.zeros(len(size), _U), 0
+        total = np.concatenate(([0], np.cumsum(size)))
+        while row < len(size):
+            end = max(row + 1, int(np.searchsorted(total, total[row] + part, "right")) - 1)
+            if size[row] > part:
+                end = row + 1
+                for k in range(0, int(size[row]), part):
+                    byte = self.data[self.start[row] + k : min(self.start[row] + k + part, self.end[row])]
+                    out[row] += (stream(len(byte), 1, k) * (byte.astype(_U) + _U(1))).sum(dtype=_U)
+            else:
+                n, begin = size[row:end], total[row:end] - total[row]
+                place = np.arange(int(n.sum())) - np.repeat(begin, n)
+                index = place + np.repeat(self.start[row:end], n)
+                term = _places(int(n.max()))[place] * (self.data[index].astype(_U) + _U(1))
+                out[row:end] = np.add.reduceat(term, begin)
+            row = end
+        return mix(out)
 
 
 _ORDER = stream(64, 2)

@@ -122,6 +122,28 @@ def test_shards(docs, hot):
     assert all(r["size"] == len(text[r["doc_id"]]) + 1 for r in placed)
 
 
+def test_shards_do_not_depend_on_how_the_table_is_stored(stored):
+    rng = random.Random(11)
+    texts = ["hot"] * 200 + [f"t{rng.randrange(300)}" for _ in range(700)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    found = []
+    for files in (2, 5):
+        rng.shuffle(rows)
+        placed = sh.shard_documents(stored(rows, files=files)).collect()
+        found.append(sorted((texts[r["doc_id"]], r["shard"]) for r in placed))
+    assert found[0] == found[1]
+
+
+def test_groups_are_whole_where_rows_without_copies_leave_room(docs):
+    rows = [(k, f"g{k // 6}" if k < 600 else f"single {k}") for k in range(800)]
+    by_text: dict = {}
+    placed = sh.shard_documents(docs(rows)).collect()
+    check_shards(placed, 800)
+    for r in placed:
+        by_text.setdefault(dict(rows)[r["doc_id"]], set()).add(r["shard"])
+    assert max(map(len, by_text.values())) == 1
+
+
 def test_shards_of_odd_rows(docs, odd_rows):
     placed = sh.shard_documents(docs(odd_rows)).collect()
     check_shards(placed, len(odd_rows))
