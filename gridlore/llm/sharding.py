@@ -113,8 +113,6 @@ def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
             best, still = (apart, now), 0
         else:
             still += 1
-            if now is not best[1]:
-                drop(now)
         size = [sum(r["w"] for r in counts if r["label"] == s) for s in range(shards)]
         asked = {(r["label"], r["to"], r["level"]): r["w"] for r in counts if r["level"] is not None}
         bars = _grant(asked, [c - n for c, n in zip(capacity, size, strict=True)], shards)
@@ -126,8 +124,10 @@ def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
         granted = moves & ((F.col("level") > at) | ((F.col("level") == at) & (F.col("draw") < share)))
         moved = wish.where(granted).select("sig", "piece", F.col("to").alias("__to"))
         stay = now.join(moved, ["sig", "piece"], "left")
-        now = cut(stay.withColumn("label", F.coalesce("__to", "label")).select(*vertices.columns))
+        old, now = now, cut(stay.withColumn("label", F.coalesce("__to", "label")).select(*vertices.columns))
         drop(wish)
+        if old is not best[1]:
+            drop(old)
         turn += 1
     return best[1]
 
