@@ -7,6 +7,7 @@ from gridlore.llm import ngram_join as nj
 from gridlore.llm import passages as ps
 from gridlore.llm import sharding as sh
 from gridlore.llm.components import connected_components
+from gridlore.llm.words import Words
 
 
 def grams(text, n=5):
@@ -170,7 +171,13 @@ def words(rng, n):
     return " ".join(f"q{rng.randrange(10**5)}" for _ in range(n))
 
 
-def plain_spans(rows, least=30, unit=3, chain=12):
+def picked(word):
+    """Whether a word begins a new sentence in a long one."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(Words.of(data, np.array([0, len(data)])).hashes()[0]) % 8 == 0
+
+
+def plain_spans(rows, least=30, line=1, unit=3, chain=12, long=24):
     """The same rule on lists of words."""
     import re
 
@@ -178,25 +185,27 @@ def plain_spans(rows, least=30, unit=3, chain=12):
     for k, (doc, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
         found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
         low = [m.group().lower() for m in found]
-        starts = [
-            i
-            for i, m in enumerate(found)
-            if not i or "\n" in text[found[i - 1].end() : m.start()] or found[i - 1].group()[-1] in ".!?" or m.group()[0] != low[i][0]
-        ]
+        cuts = [i for i, m in enumerate(found) if not i or "\n" in text[found[i - 1].end() : m.start()]]
+        lines = {(a, b) for a, b in zip(cuts, [*cuts[1:], len(found)]) if b - a >= line}
+        starts = [i for i, m in enumerate(found) if i in cuts or found[i - 1].group()[-1] in ".!?" or m.group()[0] != low[i][0]]
+        for a, b in list(zip(starts, [*starts[1:], len(found)])):
+            starts += [i for i in range(a + 1, b) if b - a > long and picked(low[i])]
+        starts.sort()
         units = [(a, b) for a, b in zip(starts, [*starts[1:], len(found)]) if b - a >= unit]
-        chains = set()
+        chains = set(lines)
         for i, (a, b) in enumerate(units):
             chains |= {(a, next((e for _, e in units[i:] if e - a >= chain), None))}
             chains |= {(next((s for s, _ in units[i::-1] if b - s >= chain), None), b)}
         gone = []
         for a, b in sorted(c for c in chains if None not in c):
             key = tuple(low[a:b])
-            if key in seen and gone and a <= gone[-1][1] + unit:
-                gone[-1] = (gone[-1][0], max(b, gone[-1][1]))
+            if key in seen and gone and a <= gone[-1][1]:
+                gone[-1] = (gone[-1][0], max(b, gone[-1][1]), gone[-1][2] + [(a, b)] * ((a, b) in lines))
             elif key in seen:
-                gone.append((a, b))
+                gone.append((a, b, [(a, b)] * ((a, b) in lines)))
             seen.add(key)
-        out.append((k, [(found[a].start(), found[b - 1].end()) for a, b in gone if b - a >= least]))
+        spans = [s for a, b, own in gone for s in ([(a, b)] if b - a >= least else own)]
+        out.append((k, [(found[a].start(), found[b - 1].end()) for a, b in spans]))
     return [s for _, s in sorted(out)]
 
 
@@ -206,8 +215,8 @@ def cut(text, spans):
     return text
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_passages_equal_plain_form(docs, seed):
+@pytest.mark.parametrize(("seed", "line"), [(0, 30), (1, 1)])
+def test_passages_equal_plain_form(docs, seed, line):
     rng = random.Random(seed)
     rows = []
     for k in range(40):
@@ -216,8 +225,8 @@ def test_passages_equal_plain_form(docs, seed):
             parts.append("É" + PASSAGE + "\n" + PASSAGE)
         rows.append((k, ("\n" if k % 4 else " ").join(parts)))
     t = docs(rows)
-    found = {r["doc_id"]: r for r in ps.dedup_passages(t).collect()}
-    for (doc, text), spans in zip(rows, plain_spans(rows), strict=True):
+    found = {r["doc_id"]: r for r in ps.dedup_passages(t, line_words=line).collect()}
+    for (doc, text), spans in zip(rows, plain_spans(rows, line=line), strict=True):
         assert [(s["begin"], s["end"]) for s in found[doc]["spans"] or []] == spans, doc
         assert found[doc]["text"] == cut(text, spans)
     holders = [d for d, r in found.items() if "pez nik" in (r["text"] or "").lower() and "vom pru" in r["text"].lower()]
@@ -235,10 +244,40 @@ def test_passages_of_odd_rows(docs, odd_rows):
     assert by_id[50][0]["text"] == long and by_id[51][0]["text"] == "" and by_id[1][0]["text"] is None
     assert [s["kept_in"] for s in by_id[51][0]["spans"]] == [50]
     assert sorted(r["text"] for r in by_id[None]) == ["", "alpha beta"]
-    assert sorted(r["text"] for r in by_id[6]) == ["same text here"] * 2  # too short to be a passage
+    assert sorted(r["text"] for r in by_id[6]) == ["", "same text here"]
+    assert by_id[7][0]["text"] == ""
+    longer = ps.dedup_passages(docs(rows), line_words=30).where("doc_id = 6").collect()
+    assert [r["text"] for r in longer] == ["same text here"] * 2  # too short to be a passage
     assert ps.dedup_passages(docs([])).count() == 0
 
 
 def test_repeated_rows_are_later_occurrences(docs):
     long = " ".join(f"w{k}" for k in range(40))
     assert sorted(r["text"] for r in ps.dedup_passages(docs([(1, long)] * 3)).collect()) == ["", "", long]
+
+
+def test_no_line_is_left_twice_and_no_other_word_goes(docs):
+    rng = random.Random(4)
+    stock = ["Five words in this line.", "two words", "x", "Read more about it here and there"]
+    rows = [(k, "\n".join(rng.choice([rng.choice(stock), rng.choice(stock).upper(), words(rng, 7)]) for _ in range(6))) for k in range(60)]
+    found = {r["doc_id"]: r["text"] for r in ps.dedup_passages(docs(rows)).collect()}
+    lines = lambda text: [x for x in (" ".join(line.lower().split()) for line in text.split("\n")) if x]
+    left = [x for _, text in sorted(found.items()) for x in lines(text)]
+    assert len(left) == len(set(left)) and set(left) == {x for _, text in rows for x in lines(text)}
+
+
+def test_passage_without_boundaries_in_other_text(docs):
+    rng = random.Random(9)
+    shared = words(rng, 120)
+    rows = [(k, f"{words(rng, 40)} {shared} {words(rng, 40)}") for k in range(5)]
+    found = ps.dedup_passages(docs(rows)).orderBy("doc_id").collect()
+    assert found[0]["text"] == rows[0][1]
+    for r, (_, text) in zip(found[1:], rows[1:]):
+        own = set(text.split()) - set(shared.split())
+        assert own <= set(r["text"].split()) and len(r["text"].split()) <= 80 + 40
+
+
+def test_ids_of_other_types(stored):
+    rows = [("b", "one line here\nsecond", 1), ("a", "one line here\nthird", 2), (None, "second", 3)]
+    found = {r["doc_id"]: r["text"].strip() for r in ps.dedup_passages(stored(rows, "doc_id string, text string, word int")).collect()}
+    assert found == {"a": "one line here\nthird", "b": "second", None: ""}
