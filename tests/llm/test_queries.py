@@ -91,6 +91,32 @@ def test_copyright_lines(docs, line, dropped):
     assert (forms == []) is dropped
 
 
+def test_texts_of_all_scripts_count(docs, tmp_path):
+    t = docs([(1, "这是一份中文许可。Licensed under CC BY 4.0."), (2, "第一份文本"), (3, "第二份文本"), (4, "नमस्ते"), (5, "नमसते"), (6, "Été\nLicensed under CC BY 4.0.")])
+    rows = {r["doc_id"]: r for r in licenses.scan(t).collect()}
+    assert (rows[1]["text_license"], rows[1]["n_notices"]) == ("", 0) and rows[6]["notice_licenses"] == "CC-BY-4.0"
+    assert len({r["canonical_sha256"] for r in rows.values()}) == 6
+    _compare(licenses.scan(t), licenses.OP3_SQL, t, tmp_path)
+
+
+@pytest.mark.parametrize(("name", "file"), [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_long_licence_texts(docs, name, file):
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("the licence's text is not on this machine")
+    text = path.read_text(encoding="utf-8")
+    rows = licenses.scan(docs([(1, text), (2, " ".join(text.upper().split(" "))), (3, text.replace("the", "a", 1))])).collect()
+    assert {r["doc_id"]: r["text_license"] for r in rows} == {1: name, 2: name, 3: ""}
+
+
+def test_notices_are_the_same_in_the_oracle(docs, tmp_path):
+    lines = ["Copyright (c) 2020 Someone", "copyright notice and this", "Copyright notice (c) 2020 Someone", "(C) Someone", "(c) You must retain", "copyright", "copyright the software, and", "Copyright 李明", "\xa9 2020", "All Rights Reserved", "Copyrighted 2020", "copyright \xa9"]
+    t = docs(list(enumerate(lines)))
+    _compare(licenses.scan(t), licenses.OP3_SQL, t, tmp_path)
+
+
 def test_mix_on_odd_rows(docs, odd_rows, tmp_path):
     rows = [(*r, None if k % 3 == 0 else f"s{k % 3}") for k, r in enumerate(odd_rows)] + [(100 + k, "w " * (k % 40), "big") for k in range(300)]
     t = docs(rows)
