@@ -10,15 +10,16 @@ rows are scored on their whole texts by table look-ups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import table, text_or_empty
+from gridlore.llm.common import cut, drop, table, text_or_empty
 from gridlore.llm.toxicity import labelled_sample
 from gridlore.llm.words import mix, stream, windows
 
@@ -28,6 +29,8 @@ VECTORS, WIDTH, GRAMS = 1 << 16, 12, (2, 3, 4)
 _WEIGHT = 6
 #: Labelled rows to train on at most, about.
 SAMPLE = 6_000
+#: Feature counts of the sample that the driver holds at a time, about.
+HELD = 8_000_000
 #: A text is predicted good from this score on.
 GOOD = 0.7
 #: Characters hashed at a time, but for longer texts.
@@ -101,20 +104,23 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, rate: float = 0.1, seed: int = 5) -> QualityModel:
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def fit(parts: Sequence[Callable[[], list[Row]]], epochs: int = 4, rate: float = 0.1, seed: int = 5) -> QualityModel:
     """Stochastic gradient descent over (vector numbers, their counts, 0 or 1), in a fixed random order.
-    The rate falls to nothing, and for each vector with what it has moved (AdaGrad by vector)."""
+    The rate falls to nothing, and for each vector with what it has moved (AdaGrad by vector). ``parts`` fetch
+    the rows, one part at a time."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (VECTORS + 2, WIDTH)).astype(np.float32)
     moved = np.full(len(vectors), 1e-10, np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
     pulled = np.full((2, 1), 1e-6, np.float32)
-    total, done = max(1, epochs * len(rows)), 0
-    for _ in range(epochs):
-        for k in rng.permutation(len(rows)):
+    for at in [(e, p) for e in range(epochs) for p in rng.permutation(len(parts))]:
+        rows = parts[at[1]]()
+        for nth, k in enumerate(rng.permutation(len(rows))):
             number, count, label = rows[k]
-            step = rate * (1 - done / total)
-            done += 1
+            step = rate * (1 - (at[0] + nth / len(rows)) / epochs)
             if not len(number):
                 continue
             share = (count / count.sum()).astype(np.float32)
@@ -149,13 +155,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*kept, *lists], ["h", "y", "number", "times"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityModel:
-    """Fit on a bounded sample of labelled rows that are not held out; without any, all score 1/2."""
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, held: int = HELD) -> QualityModel:
+    """Fit on a bounded sample of labelled rows that are not held out; without any, all score 1/2. The driver
+    fetches counts of about ``held`` features at a time, no texts."""
     sample = labelled_sample(docs.where(~held_out()), labels.where(~held_out()), "quality", most)
     sample = sample.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
-    rows = sample.mapInArrow(_counted, "h long, y int, number array<int>, times array<int>").toArrow().sort_by("h")
-    numbers, times = ([x.values.to_numpy() for x in rows.column(c)] for c in ("number", "times"))
-    return fit(list(zip(numbers, times, (rows.column("y").to_numpy() > 0).astype(int).tolist(), strict=True)))
+    counted = cut(sample.mapInArrow(_counted, "h long, y int, number array<int>, times array<int>"))
+    features = counted.agg(F.sum(F.size("number"))).first()[0] or 0
+    parts = 1 + features // held
+
+    @cache
+    def fetch(k: int) -> list[Row]:
+        rows = counted.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).toArrow().sort_by("h")
+        numbers, times = ([x.values.to_numpy() for x in rows.column(c)] for c in ("number", "times"))
+        return list(zip(numbers, times, (rows.column("y").to_numpy() > 0).astype(int).tolist(), strict=True))
+
+    # One part is fetched once; of several each in its turn, so that only one is held.
+    model = fit([lambda k=k: (fetch if parts == 1 else fetch.__wrapped__)(k) for k in range(parts)])
+    drop(counted)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -5,10 +5,13 @@ hashed into ``BUCKETS``, each with whether the text has it twice, and three time
 family may be chance. One weight a feature is shared by all ordered thresholds:
 P(grade > k) = s(w . x - t_k), t_0 < t_1 < t_2; the result is the expected grade.
 
-Labels only say whether a text is toxic, so grades 1 to 3 of toxic texts are derived: from how many
-features the text has that toxic labels favour, split in equal thirds over the sample.
-The model is fitted by proximal gradient steps with an L1 penalty, which leaves the few words that
-matter, on a bounded sample of labelled rows; every row is scored on its whole text.
+Labels only say whether a text is toxic, so grades 1 to 3 of toxic texts are derived, by cross-fitting:
+the sample is halved, a model of two grades is fitted on each half, and the toxic texts of the other half
+are split in equal thirds by its margin. A grade thus says how surely words seen in other texts tell that
+a text is toxic; it has no meaning beyond that.
+
+The models are fitted by proximal gradient steps with an L1 penalty, which leaves the words that matter, on
+a bounded sample of labelled rows; every row is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, cut, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, cut, drop, table, text_or_empty, with_row_id
 from gridlore.llm.words import Words, mix, pieces, stream
 
 BUCKETS = 1 << 20
@@ -30,11 +33,9 @@ BUCKETS = 1 << 20
 SAMPLE = 12_000
 #: Features a bucket: the text has it once or more, twice or more, three times or more.
 TIMES = 3
-#: Features that enter the model: those whose share differs most between toxic and clean texts, by so
-#: many standard errors at least.
-SELECTED, LEAST_Z = 2048, 3.0
-#: Features that count for a grade: those that toxic texts have more often by so many standard errors.
-MARKED_Z = 5.0
+#: Features that enter the model: all whose share differs between toxic and clean texts by so many standard
+#: errors. There is no limit on their number beyond the sample's own.
+LEAST_Z = 3.0
 GRADES = 4
 #: A text is toxic where P(grade > 0) is at least this.
 TOXIC = 0.4
@@ -99,38 +100,43 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - margins[:, None], -500, 500)))
 
 
-def select_features(rows: DataFrame) -> list:
-    """The features (f, z) of ``rows`` (y, bucket) whose share differs most between toxic and clean texts.
-
-    Counted and ranked by Spark: of all that occur, the driver sees at most ``SELECTED``.
-    """
+def select_features(rows: DataFrame) -> DataFrame:
+    """The features f of ``rows`` (y, bucket) whose share differs between toxic and clean texts, counted by
+    Spark over all that occur."""
     n = {r["t"]: r["count"] for r in rows.groupBy((F.col("y") > 0).alias("t")).count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     counts = rows.select((F.col("y") > 0).cast("int").alias("t"), F.explode("bucket").alias("f")).groupBy("f").agg(F.sum("t").alias("one"), F.sum(1 - F.col("t")).alias("zero"))
     one, zero = F.col("one") + 0.5, F.col("zero") + 0.5
     z = (F.ln(one / (n1 + 1)) - F.ln(zero / (n0 + 1))) / F.sqrt(1 / one + 1 / zero)
-    ranked = counts.where("one + zero >= 3").select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z)
-    return ranked.orderBy(F.abs("z").desc(), "f").limit(SELECTED).collect()
-
-
-def derive_grades(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades from 0/1 labels: toxic texts in thirds by their number of marked features."""
-    grades = np.zeros(len(hits), int)
-    if toxic.any():
-        cuts = np.quantile(hits[toxic], (1 / 3, 2 / 3))
-        grades[toxic] = 1 + (hits[toxic] > cuts[0]).astype(int) + (hits[toxic] > cuts[1])
+    return counts.where(F.abs(z) >= LEAST_Z).select("f")
+
+
+def derive_grades(sets: list[np.ndarray], toxic: np.ndarray, half: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Grades from 0/1 labels: toxic texts of each half in thirds by their margin under the other half's model."""
+    grades = np.zeros(len(sets), int)
+    for side in (False, True):
+        learn, judge = np.flatnonzero(half != side), np.flatnonzero((half == side) & toxic)
+        if not len(judge) or not len(learn):
+            grades[judge] = 1
+            continue
+        model = fit([sets[k] for k in learn], toxic[learn].astype(int), chosen, steps=100, levels=2)
+        weight = np.zeros(TIMES * BUCKETS)
+        weight[model.buckets] = model.weights
+        margin = np.array([weight[sets[k]].sum() for k in judge])
+        cuts = np.quantile(margin, (1 / 3, 2 / 3))
+        grades[judge] = 1 + (margin > cuts[0]).astype(int) + (margin > cuts[1])
     return grades
 
 
-def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> OrdinalModel:
+def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty: float = 1e-4, steps: int = 400, levels: int = GRADES) -> OrdinalModel:
     """Minimise mean negative log likelihood + penalty * |w| by accelerated proximal gradient steps."""
     n = len(sets)
     place = np.full(TIMES * BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     found = [p[p >= 0] for p in (place[s] for s in sets)]
     rows, at = np.repeat(np.arange(n), [len(p) for p in found]), np.concatenate(found or [np.zeros(0, np.int32)])
-    share = (np.bincount(grades, minlength=GRADES)[::-1].cumsum()[::-1][1:] + 0.5) / (n + 1)
-    t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
+    share = (np.bincount(grades, minlength=levels)[::-1].cumsum()[::-1][1:] + 0.5) / (n + 1)
+    t = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
     w = np.zeros(len(chosen))
     # parameters: w, first threshold, logs of the steps between thresholds
     p = np.concatenate((w, [t[0]], np.log(np.maximum(np.diff(t), 1e-2))))
@@ -141,18 +147,18 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty:
     def loss(p: np.ndarray, slope: bool):
         t = np.concatenate(([p[m]], p[m] + np.cumsum(np.exp(p[m + 1 :]))))
         margin = np.bincount(rows, p[at], minlength=n)
-        upper = np.where(grades < GRADES - 1, t[np.minimum(grades, GRADES - 2)] - margin, 40.0)
+        upper = np.where(grades < levels - 1, t[np.minimum(grades, levels - 2)] - margin, 40.0)
         lower = np.where(grades > 0, t[np.maximum(grades, 1) - 1] - margin, -40.0)
         a, b = sigmoid(upper), sigmoid(lower)
         q = np.maximum(a - b, 1e-12)
         if not slope:
             return -np.log(q).mean()
-        da, db = a * (1 - a) * (grades < GRADES - 1) / q, b * (1 - b) * (grades > 0) / q
+        da, db = a * (1 - a) * (grades < levels - 1) / q, b * (1 - b) * (grades > 0) / q
         g = np.zeros_like(p)
         g[:m] = np.bincount(at, (da - db)[rows], minlength=m)
-        dt = np.array([-da[grades == j].sum() + db[grades == j + 1].sum() for j in range(GRADES - 1)])
+        dt = np.array([-da[grades == j].sum() + db[grades == j + 1].sum() for j in range(levels - 1)])
         g[m] = dt.sum()
-        g[m + 1 :] = [dt[j:].sum() * np.exp(p[m + j]) for j in range(1, GRADES - 1)]
+        g[m + 1 :] = [dt[j:].sum() * np.exp(p[m + j]) for j in range(1, levels - 1)]
         return -np.log(q).mean(), g / n
 
     for _ in range(steps):
@@ -172,15 +178,18 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, chosen: np.ndarray, penalty:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, y, text) of about ``most`` labelled rows at most, drawn by a hash of doc_id.
+    """(doc_id, y, text) of about ``most`` labelled doc_ids at most, drawn by a hash of doc_id; one row each.
 
-    Null labels and ids are no labels; of several labels of a document the largest counts.
+    Null labels and ids are no labels; of several labels of a document the largest counts, of several texts
+    the one with the smallest digest.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     part = min(1.0, most / max(y.count(), 1))
     y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)))
     # At most about ``most`` narrow rows by construction, whatever the tables' size.
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(y), "doc_id")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(y), "doc_id")
+    least = F.min(F.struct(F.md5(F.encode("text", "UTF-8")).alias("d"), F.col("text").alias("text")))
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), least.alias("t")).select("doc_id", "y", "t.text")
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
     sample = labelled_sample(docs, labels, "toxic", most).select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
     schema = "h long, y int, bucket array<int>"
     sparse = cut(sample.mapInArrow(_sparse, schema))
-    features = select_features(sparse)
-    chosen = np.sort(np.array([r["f"] for r in features], np.int64))
+    chosen = np.sort(select_features(sparse).toArrow().column("f").to_numpy().astype(np.int64))
     rows = sparse.mapInArrow(_kept(chosen), schema).toArrow().sort_by("h")
+    drop(sparse)
     if not rows.num_rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([10.0, 20.0, 30.0]))
     sets = [x.values.to_numpy() for x in rows.column("bucket")]
-    marked = np.array([r["f"] for r in features if r["z"] > MARKED_Z], np.int64)
-    hits = np.array([int(np.isin(s, marked).sum()) for s in sets])
-    return fit(sets, derive_grades(hits, rows.column("y").to_numpy() > 0), chosen)
+    toxic, half = rows.column("y").to_numpy() > 0, mix(rows.column("h").to_numpy().view(np.uint64)) % np.uint64(2) == 1
+    return fit(sets, derive_grades(sets, toxic, half, chosen), chosen)
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -244,7 +252,9 @@ def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` without toxic rows; all columns pass through. One pass, nothing is shuffled."""
+    """``docs`` without toxic rows; all columns pass through, whatever their names. Null and empty texts have
+    no toxic word and stay, repeated rows fare alike, an empty table gives no rows. One pass, nothing is
+    shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

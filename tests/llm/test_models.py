@@ -97,6 +97,30 @@ def test_held_out_labels_change_nothing(docs, stored):
     assert one.bias == two.bias and (one.scores == two.scores).all()
 
 
+def test_one_row_of_a_labelled_id(docs, stored):
+    t = docs([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "x")])
+    found = toxicity.labelled_sample(t, table_of_labels(stored, [(1, 1, 1), (1, 0, 0), (2, 1, 0)]), "toxic", 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in found) == [(1, 1), (2, 0)] and all(r["text"] in "ab" for r in found)
+
+
+def test_training_by_parts(docs, stored):
+    rows, labels = sample(5, 400)
+    t, y = docs(rows), table_of_labels(stored, labels)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(t, quality.train(t, y, held=20_000)).collect()}
+    good, poor = [scored[d] for d, q, _ in labels if q], [scored[d] for d, q, _ in labels if not q]
+    assert np.mean([[a > b for b in poor] for a in good]) > 0.95
+
+
+def test_grades_follow_margins_of_the_other_half():
+    rng = np.random.default_rng(1)
+    toxic = np.arange(400) % 2 == 0
+    hits = np.where(toxic, 1 + np.arange(400) % 3, 0)
+    sets = [np.unique(np.concatenate((rng.integers(100, 140, 10), rng.choice(np.arange(7, 13), 2 * h, replace=False), rng.integers(7, 13, 1)))) for h in hits]
+    grades = toxicity.derive_grades(sets, toxic, rng.random(400) < 0.5, np.arange(200))
+    assert (grades[~toxic] == 0).all() and set(grades[toxic]) == {1, 2, 3}
+    assert [grades[hits == h].mean() for h in (1, 2, 3)] == sorted(grades[hits == h].mean() for h in (1, 2, 3))
+
+
 def test_features_by_hand():
     number, row = quality.features_of(["ab ab", "", "ab"])
     assert set(row) <= {0, 2} and (np.sort(number[row == 2]) == np.unique(number[row == 2])).all()
