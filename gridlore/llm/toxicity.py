@@ -6,8 +6,8 @@ family may be chance. One weight a feature is shared by all ordered thresholds:
 P(grade > k) = s(w . x - t_k), t_0 < t_1 < t_2; the result is the expected grade.
 
 Labels only say whether a text is toxic, so grades 1 to 3 of toxic texts are derived, by cross-fitting:
-the sample is halved, a model of two grades is fitted on each half, and the toxic texts of the other half
-are split in equal thirds by its margin. A grade thus says how surely words seen in other texts tell that
+the sample is cut into folds, and the toxic texts of each are split in equal thirds by their margin under a
+model of two grades that is fitted on the other folds. A grade thus says how surely words seen in other texts tell that
 a text is toxic; it has no meaning beyond that.
 
 The models are fitted by proximal gradient steps with an L1 penalty, which leaves the words that matter, on
@@ -37,6 +37,8 @@ TIMES = 3
 #: errors. There is no limit on their number beyond the sample's own.
 LEAST_Z = 3.0
 GRADES = 4
+#: Parts of the sample that grades are derived for, each from the others.
+FOLDS = 5
 #: A text is toxic where P(grade > 0) is at least this.
 TOXIC = 0.4
 
@@ -111,18 +113,18 @@ def select_features(rows: DataFrame) -> DataFrame:
     return counts.where(F.abs(z) >= LEAST_Z).select("f")
 
 
-def derive_grades(sets: list[np.ndarray], toxic: np.ndarray, half: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Grades from 0/1 labels: toxic texts of each half in thirds by their margin under the other half's model."""
+def derive_grades(sets: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Grades from 0/1 labels: toxic texts of each fold in thirds by their margin under a model of the others."""
     grades = np.zeros(len(sets), int)
-    for side in (False, True):
-        learn, judge = np.flatnonzero(half != side), np.flatnonzero((half == side) & toxic)
+    for k in np.unique(fold):
+        learn, judge = np.flatnonzero(fold != k), np.flatnonzero((fold == k) & toxic)
         if not len(judge) or not len(learn):
             grades[judge] = 1
             continue
-        model = fit([sets[k] for k in learn], toxic[learn].astype(int), chosen, steps=100, levels=2)
+        model = fit([sets[i] for i in learn], toxic[learn].astype(int), chosen, steps=100, levels=2)
         weight = np.zeros(TIMES * BUCKETS)
         weight[model.buckets] = model.weights
-        margin = np.array([weight[sets[k]].sum() for k in judge])
+        margin = np.array([weight[sets[i]].sum() for i in judge])
         cuts = np.quantile(margin, (1 / 3, 2 / 3))
         grades[judge] = 1 + (margin > cuts[0]).astype(int) + (margin > cuts[1])
     return grades
@@ -223,8 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
     if not rows.num_rows:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([10.0, 20.0, 30.0]))
     sets = [x.values.to_numpy() for x in rows.column("bucket")]
-    toxic, half = rows.column("y").to_numpy() > 0, mix(rows.column("h").to_numpy().view(np.uint64)) % np.uint64(2) == 1
-    return fit(sets, derive_grades(sets, toxic, half, chosen), chosen)
+    toxic, fold = rows.column("y").to_numpy() > 0, mix(rows.column("h").to_numpy().view(np.uint64)) % np.uint64(FOLDS)
+    return fit(sets, derive_grades(sets, toxic, fold, chosen), chosen)
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
