@@ -14,10 +14,11 @@ counts are summed; only the bucket where the sample closes is ranked row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import RID, WORD, cut, table, text_or_empty, with_row_id
+from gridlore.llm.sharding import numbered
 
 #: Weights of sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -66,23 +67,31 @@ def expectations(levels: DataFrame, limit: int = LIMIT) -> DataFrame:
     return at.drop("k", "capped")
 
 
-def uniform(name: str, seed: str = "mix") -> F.Column:
-    """A number strictly between 0 and 1 from 48 bits of a digest of ``name``; the same in every run."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(F.col(name).cast("string"), F.lit("")))
-    bits = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 12), 16, 10).cast("double")
-    return (bits + 0.5) / float(1 << 48)
+def same_rows() -> Column:
+    """A digest of doc_id, source and text: rows that have it in common may take each other's place."""
+    named = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    text = F.md5(F.encode(text_or_empty(), "UTF-8"))
+    return F.md5(F.encode(F.concat_ws(":", named("doc_id"), named("source"), text), "UTF-8"))
+
+
+def uniform(draw: Column) -> Column:
+    """A number strictly between 0 and 1 from 48 bits of a digest; the same in every run."""
+    return (F.conv(F.substring(draw, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """``__rid``, doc_id, size, source_size, target, copies and taken (words) for every row of ``docs``.
 
-    Size is the number of words, 0 for null texts. A null source is a source, the last. Equal rows get
-    equal draws and are ranked one after another; which of them a tie takes makes no difference.
-    Rows of size 0 are taken as often as is certain, which adds no words. ``docs`` must be a stored
-    table. Other columns are ignored; an empty table gives no rows.
+    Size is the number of words, 0 for null texts. A null source is a source, the last. A row's draw
+    comes from its doc_id, source and text, and for repeated rows from their number among these (in the
+    order of files and places), so that rows without doc_id or with a repeated one draw apart, and reruns
+    agree. Rows of size 0 are taken as often as is certain, which adds no words. ``docs`` must be a stored
+    Parquet table. Other columns are ignored; an empty table gives no rows.
     """
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    base = cut(with_row_id(docs).select(RID, "doc_id", "source", size.alias("size"), uniform("doc_id").alias("u")))
+    read = numbered(with_row_id(docs).select(RID, "doc_id", "source", size.alias("size"), same_rows().alias("sig")))
+    draw = F.md5(F.encode(F.concat(F.lit("mix:"), "sig", F.lit(":"), F.col("copy").cast("string")), "UTF-8"))
+    base = cut(read.select(RID, "doc_id", "source", "size", draw.alias("draw")))
     base = base.withColumn("level", (8 + F.least(F.lit(8), F.floor(F.col("size") / 8))).cast("long"))
     levels = cut(base.groupBy("source", "level").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
     goal = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
@@ -101,13 +110,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
         .withColumn("buckets", F.greatest(F.lit(1), F.floor(F.col("drawn") / BUCKET)))
         .select(F.col("source").alias("s"), F.col("level").alias("l"), "source_size", "target", "whole", "fraction", "gap", "odds", "buckets")
     )
-    order = F.col("u") / (1 - F.col("u")) / (F.col("fraction") / (1 - F.col("fraction")))
+    u = uniform(F.col("draw"))
+    order = u / (1 - u) / (F.col("fraction") / (1 - F.col("fraction")))
     even = F.col("order") * F.col("odds") / (1 + F.col("order") * F.col("odds"))
     rows = (
         base.join(levels, F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")))
         .withColumn("order", F.when((F.col("fraction") > 0) & (F.col("size") > 0), order))
         .withColumn("bucket", F.when(F.col("order").isNotNull(), F.least(F.floor(even * F.col("buckets")), F.col("buckets") - 1)))
-        .select(RID, "doc_id", "source", "size", "source_size", "target", "whole", "gap", "order", "bucket")
+        .select(RID, "doc_id", "source", "size", "source_size", "target", "whole", "gap", "order", "draw", "bucket")
     )
     sums = rows.where("order is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +134,7 @@ def _close(rows: DataFrame) -> DataFrame:
     """Adds ``more`` (0 or 1) to the rows of closing buckets: a prefix of the Pareto order that fits the
     gap, then twice the later ones that fit what is left, then one that comes nearer by overshooting."""
     bucket = Window.partitionBy("source", "bucket")
-    order = bucket.orderBy("order", F.col("doc_id").asc_nulls_first(), "size")
+    order = bucket.orderBy("order", "draw")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("left", F.col("gap") - F.col("before")).withColumn("more", F.lit(0))
     for _ in range(3):
@@ -134,7 +144,7 @@ def _close(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("more", F.when(F.col("now"), 1).otherwise(F.col("more")))
         rows = rows.withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(bucket))
     near = (F.col("more") == 0) & (F.col("size") < 2 * F.col("left"))
-    best = bucket.orderBy(F.col("near").desc(), "order", F.col("doc_id").asc_nulls_first(), "size")
+    best = bucket.orderBy(F.col("near").desc(), "order", "draw")
     last = F.col("near") & (F.row_number().over(best) == 1)
     return rows.withColumn("near", near).withColumn("more", F.when(last, 1).otherwise(F.col("more")))
 
@@ -144,9 +154,10 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = rf"""
-WITH b AS (SELECT row_number() OVER () AS r, doc_id, source,
-    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM documents),
+WITH a0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce('v' || doc_id::VARCHAR, 'n') || ':' || coalesce('v' || source, 'n') || ':' || md5(coalesce(text, ''))) AS sig FROM documents),
+b0 AS (SELECT *, md5('mix:' || sig || ':' || (row_number() OVER (PARTITION BY sig) - 1)) AS r FROM a0),
+b AS (SELECT doc_id, source, size, r, (('0x' || substr(r, 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM b0),
 d AS (SELECT *, 8 + least(8, size // 8) AS level FROM b),
 lv AS (SELECT source, level, sum(size)::BIGINT AS words, count(*) AS n FROM d GROUP BY ALL),
 s0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM lv GROUP BY ALL),
@@ -174,14 +185,14 @@ k0 AS (SELECT source, bucket, sum(size) AS words, any_value(gap) AS gap FROM r1
 k1 AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k0),
 r2 AS (SELECT r1.*, CASE WHEN k1.before IS NULL OR k1.before >= r1.gap THEN 'no' WHEN k1.before + k1.words > r1.gap THEN 'closes' ELSE 'all' END AS part,
     r1.gap - k1.before AS left0 FROM r1 LEFT JOIN k1 ON r1.source IS NOT DISTINCT FROM k1.source AND r1.bucket = k1.bucket),
-c1 AS (SELECT *, sum(size) OVER (PARTITION BY source, bucket ORDER BY q, doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING) <= left0 AS t1 FROM r2 WHERE part = 'closes'),
+c1 AS (SELECT *, sum(size) OVER (PARTITION BY source, bucket ORDER BY q, r ROWS UNBOUNDED PRECEDING) <= left0 AS t1 FROM r2 WHERE part = 'closes'),
 c2 AS (SELECT *, left0 - coalesce(sum(size) FILTER (t1) OVER (PARTITION BY source, bucket), 0) AS left1 FROM c1),
-c3 AS (SELECT *, NOT t1 AND size <= left1 AND sum(CASE WHEN NOT t1 AND size <= left1 THEN size ELSE 0 END) OVER (PARTITION BY source, bucket ORDER BY q, doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING) <= left1 AS t2 FROM c2),
+c3 AS (SELECT *, NOT t1 AND size <= left1 AND sum(CASE WHEN NOT t1 AND size <= left1 THEN size ELSE 0 END) OVER (PARTITION BY source, bucket ORDER BY q, r ROWS UNBOUNDED PRECEDING) <= left1 AS t2 FROM c2),
 c4 AS (SELECT *, t1 OR t2 AS t12, left1 - coalesce(sum(size) FILTER (t2) OVER (PARTITION BY source, bucket), 0) AS left2 FROM c3),
-c5 AS (SELECT *, NOT t12 AND size <= left2 AND sum(CASE WHEN NOT t12 AND size <= left2 THEN size ELSE 0 END) OVER (PARTITION BY source, bucket ORDER BY q, doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING) <= left2 AS t3 FROM c4),
+c5 AS (SELECT *, NOT t12 AND size <= left2 AND sum(CASE WHEN NOT t12 AND size <= left2 THEN size ELSE 0 END) OVER (PARTITION BY source, bucket ORDER BY q, r ROWS UNBOUNDED PRECEDING) <= left2 AS t3 FROM c4),
 c6 AS (SELECT *, t12 OR t3 AS t123, left2 - coalesce(sum(size) FILTER (t3) OVER (PARTITION BY source, bucket), 0) AS left3 FROM c5),
 c7 AS (SELECT *, t123 OR (NOT t123 AND size < 2 * left3 AND row_number() OVER (PARTITION BY source, bucket
-    ORDER BY (NOT t123 AND size < 2 * left3) DESC, q, doc_id NULLS FIRST, size, r) = 1) AS more FROM c6),
+    ORDER BY (NOT t123 AND size < 2 * left3) DESC, q, r) = 1) AS more FROM c6),
 a AS (SELECT doc_id, size, source_size, target, whole + (part = 'all')::INT AS copies FROM r2 WHERE part <> 'closes'
   UNION ALL SELECT doc_id, size, source_size, target, whole + more::INT FROM c7)
 SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM a

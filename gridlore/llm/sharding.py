@@ -230,7 +230,7 @@ def place_bundles(bundles: DataFrame, rows: int, shards: int) -> tuple[int, Data
     return size, found.select("sig", "piece", (lo + from_first).alias("lo"), (hi + from_first).alias("hi"), "shard", (F.col("slot") + lo - F.col("off")).alias("slot"))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``copy``: numbers from 0 within ``sig``. Copies are dealt into ``_SALT`` parts, which are counted
     and numbered apart, so that no task has all copies of a text."""
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(RID), F.lit(_SALT)).cast("int"))
@@ -258,7 +258,7 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int = 8) -> DataFram
     """
     keys = members.groupBy(RID).agg(F.sort_array(F.collect_set(F.col("key").cast("string"))).alias("keys"))
     sig = F.md5(F.coalesce(F.to_json("keys"), F.concat(F.lit("row "), F.hex(F.col(RID)))))
-    rows = cut(_numbered(rows.select(RID).join(keys, RID, "left").withColumn("sig", sig)))
+    rows = cut(numbered(rows.select(RID).join(keys, RID, "left").withColumn("sig", sig)))
     bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     return shard_bundled(rows.drop("keys"), bundles, shards)
 
@@ -279,7 +279,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         crc32_text().alias("text_crc32"),
         F.hex(digest()).alias("sig"),
     )
-    rows = cut(_numbered(base).drop(RID))
+    rows = cut(numbered(base).drop(RID))
     bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).withColumn("keys", F.array("sig"))
     placed = shard_bundled(rows, bundles, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -150,6 +150,14 @@ def test_mix_is_the_same_every_time_and_near_its_targets(docs):
     assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in sums)
 
 
+def test_rows_without_ids_and_repeated_rows_draw_apart(docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    t = docs([(None, f"w {k % 3} " * 5, "a") for k in range(900)] + [(7, "w " * 5, "a")] * 300 + [(k, "w " * 9, "b") for k in range(300)])
+    one, two = (sorted((r["__rid"], r["taken"]) for r in mixing.mix(t).collect()) for _ in range(2))
+    assert one == two and 300 < len({n for n, _ in one if _}) < 1500
+    _compare(mixing.mix(t).drop("__rid"), mixing.OP2_SQL.replace("drawn // 2000", "drawn // 50"), t, tmp_path)
+
+
 def test_mix_over_many_buckets(docs, monkeypatch, tmp_path):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     t = docs([(k, "w " * (k % 97), "a" if k % 3 else "b") for k in range(2000)])
