@@ -142,7 +142,9 @@ def repeated_spans(
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = cut(texts.mapInArrow(_units(line_words, unit_words, chain_words), f"{RID} binary, doc_id {kind}, digest long, words long, chars long"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("rid"), F.col("words").alias("words"))
-    later = over_key(found, "digest", RID, least=F.min(rank), n=F.count(F.lit(1))).where("n > 1").where(rank > F.col("least"))
+    # Most digests occur once: counts leave them out before ranks are shuffled.
+    shared = over_key(found, "digest", RID, n=F.count(F.lit(1))).where("n > 1").drop("n")
+    later = over_key(shared, "digest", RID, least=F.min(rank)).where(rank > F.col("least"))
     low = lambda packed: F.col(packed).bitwiseAND(F.lit((1 << 32) - 1))
     high = lambda packed: F.shiftright(packed, 32)
     later = later.select(
