@@ -3,12 +3,14 @@
 Merging is an ordered fold, neither commutative nor associative: records go by id, each into the first
 cluster whose merged state matches. The fold runs per block of records that no match can leave: one
 district, with or without an end, and starts without a gap beyond the widest tolerance between them (a
-merged start is always a member's start). Blocks are cut from counts by hour, so no district is gathered.
+merged start is always a member's start). Blocks are cut from counts by hour, so nothing is gathered to
+find them. Where a district has no such gap for long, its block is that long: the fold's order allows no cut.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,30 +38,37 @@ def same_event(a: str = "a", b: str = "b") -> Column:
     return (x("district") == y("district")) & ((exact & subset) | (near & F.arrays_overlap(x("area_keys"), y("area_keys"))))
 
 
+def _near(left: DataFrame, right: DataFrame, minutes: int) -> DataFrame:
+    """Pairs a, b of one district and place whose starts may be within ``minutes``: they meet on slots of that
+    length, b in its own and both neighbouring ones, so that candidates do not grow with the archive."""
+    slot = lambda c: F.floor(F.unix_micros(c) / (minutes * 60_000_000))
+    around = F.explode(F.array(*[slot(col("starts_at")) + k for k in (-1, 0, 1)]))
+    place = F.explode("area_keys").alias("__place")
+    a = left.select("*", place).select("*", slot(col("starts_at")).alias("__slot")).alias("a")
+    b = right.select("*", place).select("*", around.alias("__slot")).alias("b")
+    meet = (col("a.__place") == col("b.__place")) & (col("a.district") == col("b.district")) & (col("a.__slot") == col("b.__slot"))
+    return a.join(b, meet & same_event())
+
+
 def same_event_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """(a, b) ids of matching records. They meet on district, openness and place; times are checked in the
-    join's condition. Exact equals without places meet on their times."""
-    a, b = left.alias("a"), right.alias("b")
-    by_place = (
-        a.select("a.*", F.explode("area_keys").alias("__place"))
-        .alias("a")
-        .join(
-            b.select("b.*", F.explode("area_keys").alias("__place")).alias("b"),
-            (col("a.__place") == col("b.__place"))
-            & (col("a.district") == col("b.district"))
-            & (col("a.ends_at").isNull() == col("b.ends_at").isNull())
-            & same_event(),
-        )
-    )
-    empty = a.join(
-        b,
-        (col("a.district") == col("b.district"))
-        & (col("a.starts_at") == col("b.starts_at"))
-        & col("a.ends_at").eqNullSafe(col("b.ends_at"))
-        & ((F.size("a.area_keys") == 0) | (F.size("b.area_keys") == 0)),
+    """(a, b) ids of matching records. They meet on district, place and a slot of time as long as their
+    tolerance: that of records with an end, of open ones, and of open ones that one side continues. Exact
+    equals without places meet on their times."""
+    names = [key, "kind", "starts_at", "ends_at", "district", "area_keys", "continuation"]
+    left, right = left.select(*dict.fromkeys(names)), right.select(*dict.fromkeys(names))
+    is_open = col("ends_at").isNull()
+    goes_on = is_open & col("continuation")
+    met = (
+        _near(left.where(~is_open), right.where(~is_open), C.TIME_TOLERANCE),
+        _near(left.where(is_open), right.where(is_open), C.OPEN_FAULT_TOLERANCE),
+        _near(left.where(goes_on), right.where(is_open), C.NO_END_ASSUMED_OVER),
+        _near(left.where(is_open), right.where(goes_on), C.NO_END_ASSUMED_OVER),
     )
-    pick = [col(f"a.{key}").alias("a"), col(f"b.{key}").alias("b")]
-    return by_place.select(*pick).union(empty.select(*pick)).distinct()
+    a, b = left.alias("a"), right.alias("b")
+    times = (col("a.district") == col("b.district")) & (col("a.starts_at") == col("b.starts_at")) & col("a.ends_at").eqNullSafe(col("b.ends_at"))
+    without = (a.where(F.size("area_keys") == 0).join(b, times), a.join(b.where(F.size("area_keys") == 0), times))
+    pairs = [x.select(col(f"a.{key}").alias("a"), col(f"b.{key}").alias("b")) for x in (*met, *without)]
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def article_key(url: Column) -> Column:
@@ -268,38 +277,45 @@ def store(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return written.where("not untouched").withColumn("created", ~col("stored")).drop("stored", "untouched")
 
 
+def _cards(descending: bool):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["starts_at", "id"], ascending=[not descending, True])
+        start, end = (frame[c].to_numpy("datetime64[us]") for c in ("starts_at", "ends_at"))
+        ids, kinds, districts = (frame[c].to_numpy(object) for c in ("id", "kind", "district"))
+        apart = pd.Timedelta(minutes=C.SAME_START).to_timedelta64()
+        out, first = [], 0
+        for k in range(1, len(ids) + 1):
+            if k < len(ids) and abs(start[k] - start[first]) <= apart:
+                continue
+            members = range(first, k)
+            live = [m for m in members if pd.isna(end[m])]
+            lead = min(live, key=lambda m: start[m]) if live else max(members, key=lambda m: end[m])
+            rest = [m for m in members if m != lead]
+            out.append((ids[lead], kinds[lead], [districts[m] for m in rest], [ids[m] for m in rest]))
+            first = k
+        return pd.DataFrame(out, columns=["lead", "kind", "districts", "siblings"])
+
+    return run
+
+
 def group_siblings(records: DataFrame, descending: bool = False) -> DataFrame:
     """Cards of district-wide records of one kind that start within five minutes of an anchor, the first not
     yet taken in the direction of reading: (lead, siblings). Other records are cards of their own.
 
-    Anchors chain, so a kind's records are cut where more than five minutes lie between them and each cut is
-    folded on its own.
+    Anchors chain, so a kind's records may be cut only where more than five minutes lie between them; as
+    many neighbouring cuts as have some thousands of minutes with records go to one call.
     """
     wide = records.where("scope = 'district'").select("id", "kind", "district", "starts_at", "ends_at")
     minute = F.date_trunc("minute", col("starts_at"))
     spans = wide.groupBy("kind", minute.alias("__minute")).agg(F.min("starts_at").alias("lo"), F.max("starts_at").alias("hi"))
     order = Window.partitionBy("kind").orderBy("__minute")
     gap = (F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(order))) / 60e6 > C.SAME_START
-    spans = spans.withColumn("__cut", F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.withColumns({"__gap": F.coalesce(gap, F.lit(False)), "__nth": F.row_number().over(order)})
+    # A call begins at the last gap at or before each thousandth minute with records.
+    at_gap = F.when(col("__gap"), F.floor(col("__nth") / 1000))
+    spans = spans.withColumn("__cut", F.coalesce(F.last(at_gap, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     cut = wide.withColumn("__minute", minute).join(spans.select("kind", "__minute", "__cut"), ["kind", "__minute"])
-
-    def cards(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["starts_at", "id"], ascending=[not descending, True])
-        rows, anchor = [], None
-        for r in frame.itertuples():
-            if anchor is None or abs((r.starts_at - anchor).total_seconds()) > C.SAME_START * 60:
-                anchor, members = r.starts_at, []
-                rows.append(members)
-            members.append(r)
-        out = []
-        for members in rows:
-            live = [m for m in members if pd.isna(m.ends_at)]
-            lead = min(live, key=lambda m: m.starts_at) if live else max(members, key=lambda m: m.ends_at)
-            rest = [m for m in members if m.id != lead.id]
-            out.append((lead.id, lead.kind, [m.district for m in rest], [m.id for m in rest]))
-        return pd.DataFrame(out, columns=["lead", "kind", "districts", "siblings"])
-
-    grouped = cut.groupBy("kind", "__cut").applyInPandas(cards, "lead string, kind string, districts array<string>, siblings array<string>")
+    grouped = cut.groupBy("kind", "__cut").applyInPandas(_cards(descending), "lead string, kind string, districts array<string>, siblings array<string>")
     none = F.array().cast("array<string>")
     single = records.where("scope <> 'district'").select(col("id").alias("lead"), "kind", none.alias("districts"), none.alias("siblings"))
     return grouped.unionByName(single)
