@@ -83,31 +83,27 @@ def gazetteer(places: DataFrame) -> DataFrame:
     return spellings.groupBy(tx.fold_key(col("spelling")).alias("key")).agg(best).where("key <> ''").select("key", "b.*")
 
 
-def _shorter(text: Column) -> Column:
-    """All texts with one character less."""
-    place = F.sequence(F.lit(1), F.char_length(text))
-    less = F.transform(place, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text))))
-    return F.when(F.char_length(text) > 0, less).otherwise(F.array().cast("array<string>"))
-
-
 def fuzzy(words: DataFrame, spellings: DataFrame, threshold: float = C.FUZZY_THRESHOLD, least: int = C.MIN_FUZZY_LENGTH) -> DataFrame:
     """The best spelling of each word with a similarity of ``threshold`` or more.
 
-    words: word; spellings: key, ordinal, others. Texts within k edits of each other have a common text with
-    up to k characters less, so both sides meet on those, never all with all. At 0.9, texts of fewer than
-    ten characters must be equal, and each ten more allow one edit; four edits are as many as are looked for.
+    words: word; spellings: key, ordinal, others. A key of n characters may differ from its word by a fixed
+    number k of edits. It is cut into k + 1 segments, one of which must stand unchanged in the word, at most
+    k places off: both sides meet on segments, never all with all, and no pair is missed, however long.
     """
-
-    def variants(column: str) -> Column:
-        found = F.array(F.col(column))
-        for k in range(1, 5):
-            allows = F.char_length(column) * (1 - threshold) / threshold + 1e-9 >= k
-            found = F.when(allows, F.array_distinct(F.concat(found, F.flatten(F.transform(found, _shorter))))).otherwise(found)
-        return found
-
-    asked = words.where(F.char_length("word") >= least).select("word", F.explode(variants("word")).alias("__v"))
-    offered = spellings.select(*spellings.columns, F.explode(variants("key")).alias("__v"))
-    pairs = asked.join(offered, "__v").drop("__v").distinct()
+    edits = lambda n: F.floor(n * (1 - threshold) / threshold + 1e-9).cast("int")
+    edge = lambda n, i: F.floor(n * i / (edits(n) + 1)).cast("int")
+    n, i, at = col("__n"), col("__i"), col("__at")
+    length = F.char_length("key")
+    offered = spellings.select(*spellings.columns, length.alias("__n"), F.explode(F.sequence(F.lit(0), edits(length))).alias("__i"))
+    offered = offered.withColumn("__part", F.substring(col("key"), edge(n, i) + 1, edge(n, i + 1) - edge(n, i)))
+    long = F.char_length("word")
+    lengths = F.sequence(F.ceil(long * threshold - 1e-9).cast("int"), F.floor(long / threshold + 1e-9).cast("int"))
+    asked = words.where(long >= least).select("word", F.explode(lengths).alias("__n"))
+    asked = asked.select("word", "__n", F.explode(F.sequence(F.lit(0), edits(n))).alias("__i"))
+    first, last = F.greatest(F.lit(0), edge(n, i) - edits(n)), F.least(long - edge(n, i + 1) + edge(n, i), edge(n, i) + edits(n))
+    asked = asked.where(first <= last).select("word", "__n", "__i", F.explode(F.sequence(first, last)).alias("__at"))
+    asked = asked.select("word", "__n", "__i", F.substring(col("word"), at + 1, edge(n, i + 1) - edge(n, i)).alias("__part")).distinct()
+    pairs = asked.join(offered, ["__n", "__i", "__part"]).drop("__n", "__i", "__part").distinct()
     good = pairs.withColumn("score", tx.similarity(col("word"), col("key"))).where(col("score") >= threshold)
     rank = Window.partitionBy("word").orderBy(col("score").desc(), "ordinal", "key")
     return good.withColumn("__k", F.row_number().over(rank)).where("__k = 1").drop("__k")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridlore import constants as C
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
-from gridlore.operators import identity
+from gridlore.operators import identity, live
 
 col = F.col
 _KEPT = ("cancelled_at", "cancelled_reason")
@@ -121,17 +121,41 @@ def recompute_keys(stored: DataFrame, keys: Column) -> DataFrame:
     return stored.select("id", keys.alias("new_keys"), "area_keys").where(~col("new_keys").eqNullSafe(col("area_keys"))).select("id", col("new_keys").alias("area_keys"))
 
 
+def _cited(stored: DataFrame) -> DataFrame:
+    """(id, article_key) of the articles that records cite."""
+    return stored.select("id", F.explode("sources").alias("s")).select("id", identity.article_key(col("s.url")).alias("article_key")).distinct()
+
+
+def _supporting(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
+    """(id, by, scope): records that an article which they cite supports, read again as the same event."""
+    facts = reparsed.where("readable").withColumn("id", F.concat_ws("/", "article_key", "id"))
+    pairs = identity.same_event_pairs(stored, facts).select(col("a").alias("id"), F.substring_index("b", "/", 1).alias("article_key"), col("b").alias("by"))
+    return pairs.join(_cited(stored), ["id", "article_key"], "left_semi").join(facts.select(col("id").alias("by"), "scope"), "by")
+
+
 def audit(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
     """Each record's verdict against what its sources say now. reparsed: article_key, readable, and the fields
-    of a record. ``supported``: a reparsed record of one of its sources is the same event."""
-    cited = stored.select("id", F.explode("sources").alias("s")).select("id", identity.article_key(col("s.url")).alias("article_key")).distinct()
-    read = reparsed.groupBy("article_key").agg(F.bool_or("readable").alias("readable"))
-    by_id = cited.join(read, "article_key", "left").groupBy("id").agg(F.bool_or(F.coalesce("readable", F.lit(False))).alias("readable"))
-    facts = reparsed.where("readable").withColumn("id", F.concat_ws("/", "article_key", "id"))
-    pairs = identity.same_event_pairs(stored, facts).withColumn("article_key", F.substring_index("b", "/", 1)).withColumnRenamed("a", "id")
-    good = cited.join(pairs, ["id", "article_key"], "left_semi").select("id").distinct().withColumn("supported", F.lit(True))
-    verdict = F.when(~col("readable"), "unreadable").when(col("supported"), "supported").otherwise("unsupported")
-    return by_id.join(good, "id", "left").select("id", "readable", F.coalesce("supported", F.lit(False)).alias("supported")).withColumn("verdict", verdict)
+    of a record. ``supported``: a reparsed record of one of its sources is the same event. ``edited_since``: a
+    source was published anew after the record was taken in, so that what it says now is no evidence."""
+    read = reparsed.groupBy("article_key").agg(F.bool_or("readable").alias("readable"), F.max(F.when(col("readable"), col("published_at"))).alias("edited_at"))
+    cited = _cited(stored).join(stored.select("id", "ingested_at"), "id").join(read, "article_key", "left")
+    by_id = cited.groupBy("id").agg(
+        F.bool_or(F.coalesce("readable", F.lit(False))).alias("readable"), F.bool_or(F.coalesce(col("edited_at") > col("ingested_at"), F.lit(False))).alias("edited_since")
+    )
+    good = _supporting(stored, reparsed).select("id").distinct().withColumn("supported", F.lit(True))
+    verdict = F.when(~col("readable"), "unreadable").when(col("supported"), "supported").when(col("edited_since"), "edited since").otherwise("unsupported")
+    return by_id.join(good, "id", "left").select("id", "readable", F.coalesce("supported", F.lit(False)).alias("supported"), "edited_since").withColumn("verdict", verdict)
+
+
+def rederive_scope(stored: DataFrame, reparsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, scope) of the records whose scope changes: of those that name their own district among their
+    places, and may mean it or the town, the widest scope that their sources state when read again. Records
+    that no source supports any more keep theirs. ``known`` are the records as their sources knew them, where
+    ``stored`` has been edited."""
+    unsure = stored.where(live.names_own_district()).select("id", col("scope").alias("__old"))
+    read = _supporting(known if known is not None else stored, reparsed)
+    wide = read.groupBy("id").agg(F.when(F.bool_or(col("scope") == "district"), "district").otherwise("places").alias("scope"))
+    return unsure.join(wide, "id").where("scope <> __old").select("id", "scope")
 
 
 def changed_paths(written: DataFrame, pages: DataFrame, limit: int = C.URL_BATCH) -> DataFrame:

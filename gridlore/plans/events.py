@@ -70,11 +70,13 @@ def evt_group_desc(v):
 
 @query(
     "o_flt_card_district",
-    """WITH c AS (SELECT id, kind, district FROM v_outages WHERE scope <> 'district') SELECT id AS lead FROM c WHERE district = 'lefke'""",
+    f"""SELECT c.lead FROM ({_siblings(False)}) c JOIN (SELECT id, district FROM v_outages) o ON o.id = c.lead
+    WHERE o.district = 'lefke' OR list_contains(string_split(c.districts, '|'), 'lefke')""",
     "v_outages",
 )
 def flt_card_district(v):
-    cards = identity.group_siblings(v.outages.where("scope <> 'district'")).join(v.outages.select(F.col("id").alias("lead"), "district"), "lead")
+    """Cards whose lead or one of whose siblings is in the district."""
+    cards = identity.group_siblings(v.outages).join(v.outages.select(F.col("id").alias("lead"), "district"), "lead")
     return cards.where(F.array_contains(F.array_append("districts", F.col("district")), "lefke")).select("lead")
 
 
@@ -92,31 +94,32 @@ def src_1(v):
     return v.outages.select("id", identity.article_key(F.col("sources")[0]["url"]).alias("article"))
 
 
-_LISTED = f"WITH g AS (SELECT district, event_id, source_name AS n, {_KEY} AS k FROM v_outages WHERE event_id < 3000), f AS (SELECT *, row_number() OVER (PARTITION BY district, k ORDER BY event_id) AS first FROM g)"
+_HOUR = "strftime(hour, '%Y-%m-%dT%H:%M:%SZ') AS hour"
+_LISTED = f"WITH g AS (SELECT district, date_trunc('hour', starts_at) AS hour, event_id, source_name AS n, {_KEY} AS k FROM v_outages), f AS (SELECT *, row_number() OVER (PARTITION BY district, hour, k ORDER BY event_id) AS first FROM g)"
 
 
 def _grouped(v):
-    rows = v.outages.where("event_id < 3000").groupBy("district").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("sources")[0].alias("s")))).alias("g"))
-    return rows.select("district", F.transform("g", lambda x: x["s"]).alias("sources"))
+    """What each district's outlets said in an hour, in order."""
+    said = F.array_sort(F.collect_list(F.struct("event_id", F.col("sources")[0].alias("s"))))
+    rows = v.outages.groupBy("district", F.date_trunc("hour", F.col("starts_at")).alias("hour")).agg(said.alias("g"))
+    return rows.select("district", "hour", F.transform("g", lambda x: x["s"]).alias("sources"))
 
 
-@query("o_src_2", f"{_LISTED} SELECT district, count(*) AS n, array_to_string(list(k ORDER BY event_id), '|') AS articles FROM f WHERE first = 1 GROUP BY 1", "v_outages")
+@query("o_src_2", f"{_LISTED} SELECT district, {_HOUR}, count(*) AS n, array_to_string(list(k ORDER BY event_id), '|') AS articles FROM f WHERE first = 1 GROUP BY 1, f.hour", "v_outages")
 def src_2(v):
-    kept = _grouped(v).select("district", identity.dedupe_sources(F.col("sources")).alias("s"))
-    return kept.select("district", F.size("s").cast("long").alias("n"), F.transform("s", lambda s: identity.article_key(s["url"])).alias("articles"))
+    kept = _grouped(v).select("district", "hour", identity.dedupe_sources(F.col("sources")).alias("s"))
+    return kept.select("district", "hour", F.size("s").cast("long").alias("n"), F.transform("s", lambda s: identity.article_key(s["url"])).alias("articles"))
 
 
-@query(
-    "o_src_3",
-    """WITH g AS (SELECT event_id, source_name AS n, row_number() OVER (PARTITION BY source_name ORDER BY event_id) AS k, count(*) OVER (PARTITION BY source_name) AS c FROM v_outages WHERE event_id < 40)
-    SELECT array_to_string(list(CASE WHEN c > 1 THEN n || ' (' || k || ')' ELSE n END ORDER BY event_id), '|') AS labels FROM g""",
-    "v_outages",
-)
-@query("o_win_label", """WITH g AS (SELECT event_id, source_name AS n, row_number() OVER (PARTITION BY source_name ORDER BY event_id) AS k, count(*) OVER (PARTITION BY source_name) AS c FROM v_outages WHERE event_id < 40)
-    SELECT array_to_string(list(CASE WHEN c > 1 THEN n || ' (' || k || ')' ELSE n END ORDER BY event_id), '|') AS labels FROM g""", "v_outages")
+_LABELS = f"""WITH e AS (SELECT *, date_trunc('hour', starts_at) AS hour FROM v_outages),
+    g AS (SELECT district, hour, event_id, source_name AS n, row_number() OVER (PARTITION BY district, hour, source_name ORDER BY event_id) AS k, count(*) OVER (PARTITION BY district, hour, source_name) AS c FROM e)
+    SELECT district, {_HOUR}, array_to_string(list(CASE WHEN c > 1 THEN n || ' (' || k || ')' ELSE n END ORDER BY event_id), '|') AS labels FROM g GROUP BY 1, g.hour"""
+
+
+@query("o_src_3", _LABELS, "v_outages")
+@query("o_win_label", _LABELS, "v_outages")
 def src_3(v):
-    rows = v.outages.where("event_id < 40").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("sources")[0].alias("s")))).alias("g"))
-    return rows.select(identity.label_sources(F.transform("g", lambda x: x["s"])).alias("labels"))
+    return _grouped(v).select("district", "hour", identity.label_sources(F.col("sources")).alias("labels"))
 
 
 @query(

@@ -119,14 +119,14 @@ def jn_gaz(v):
 
 @query(
     "o_jn_fuzzy",
-    """WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, min(ordinal) OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))) AS ordinal FROM v_places WHERE ordinal <= 400),
+    """WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, min(ordinal) OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))) AS ordinal FROM v_places),
     w AS (SELECT DISTINCT substr(key, 1, length(key) - 1) || 'x' AS word FROM n),
     p AS (SELECT word, key, ordinal, 1 - levenshtein(word, key)::DOUBLE / greatest(length(word), length(key)) AS score FROM w, n WHERE length(word) >= 5)
     SELECT word, key, round(score, 6) AS score FROM p WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, ordinal, key) = 1""",
     "v_places",
 )
 def jn_fuzzy(v):
-    keys = v.places.where("ordinal <= 400").groupBy(tx.fold_key(F.col("name")).alias("key")).agg(F.min("ordinal").alias("ordinal"))
+    keys = v.places.groupBy(tx.fold_key(F.col("name")).alias("key")).agg(F.min("ordinal").alias("ordinal"))
     words = keys.select(F.concat(F.expr("substr(key, 1, length(key) - 1)"), F.lit("x")).alias("word")).distinct()
     return pl.fuzzy(words, keys).select("word", "key", F.round("score", 6).alias("score"))
 

@@ -127,9 +127,12 @@ def flt_candidates(v):
     return live.candidates(v.outages.where("event_id % 10 <> 3"), incoming).select("id")
 
 
-@query("o_flt_ambig", f"SELECT id FROM v_outages WHERE list_contains(area_keys, {_NAMES}[district])", "v_outages")
+@query("o_flt_ambig", "SELECT id FROM v_outages WHERE event_id % 13 = 0 OR (event_id % 13 = 1 AND district = 'lefke')", "v_outages")
 def flt_ambig(v):
-    return v.outages.where(live.names_own_district()).select("id")
+    """Every thirteenth record names its own district among its places, every next one names Lefke."""
+    said = F.expr("case event_id % 13 when 0 then district when 1 then 'lefke' end")
+    named = v.outages.withColumn("area_keys", F.when(said.isNull(), F.col("area_keys")).otherwise(F.array_append("area_keys", said)))
+    return named.where(live.names_own_district()).select("id")
 
 
 @query("o_flt_month", f"SELECT {_SQL_ROW} FROM v_outages WHERE district = 'lefke' AND strftime({_LOCAL}, '%Y-%m') = '2024-01'", "v_outages")
@@ -157,9 +160,9 @@ def flt_nearby(v):
     return live.nearby(v.outages, "iskele", "0").select(*_ROW)
 
 
-@query("o_flt_slug", "SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)a[0-9]|/p')")
+@query("o_flt_slug", "SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)/(EN|fr)/[0-9]*7|utm_')")
 def flt_slug(v):
-    return v.table("pages").where(tx.slug_about(F.col("url"), "a[0-9]|/p")).select("page_id")
+    return v.table("pages").where(tx.slug_about(F.col("url"), "/(EN|fr)/[0-9]*7|utm_")).select("page_id")
 
 
 @query("o_flt_outage_text", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'licen[cs]e|work') AND regexp_matches(lower(text), 'released|licensed')")
@@ -250,11 +253,12 @@ def srt_limit(v):
 
 @query(
     "o_srt_official",
-    """WITH g AS (SELECT district, list({'n': source_name, 'k': source_kind} ORDER BY event_id) AS s FROM v_outages WHERE event_id < 600 GROUP BY 1)
-    SELECT district, array_to_string(list_concat([x.n for x in s if x.k = 'official'], [x.n for x in s if x.k <> 'official']), '|') AS names FROM g""",
+    """WITH g AS (SELECT district, date_trunc('hour', starts_at) AS hour, list({'n': source_name, 'k': source_kind} ORDER BY event_id) AS s FROM v_outages GROUP BY 1, 2)
+    SELECT district, strftime(hour, '%Y-%m-%dT%H:%M:%SZ') AS hour, array_to_string(list_concat([x.n for x in s if x.k = 'official'], [x.n for x in s if x.k <> 'official']), '|') AS names FROM g""",
     "v_outages",
 )
 def srt_official(v):
-    early = v.outages.where("event_id < 600").groupBy("district").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("sources")[0].alias("s")))).alias("g"))
+    hour = F.date_trunc("hour", F.col("starts_at")).alias("hour")
+    heard = v.outages.groupBy("district", hour).agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("sources")[0].alias("s")))).alias("g"))
     ordered = live.official_first(F.transform("g", lambda x: x["s"]))
-    return early.select("district", F.transform(ordered, lambda s: s["name"]).alias("names"))
+    return heard.select("district", "hour", F.transform(ordered, lambda s: s["name"]).alias("names"))

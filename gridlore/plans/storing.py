@@ -149,22 +149,15 @@ def win_distinct_first(v):
     return v.table("documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query(
-    "o_retire",
-    """WITH p AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'ffffffff' || event_id ELSE substr(id, 1, 10) END AS prefix FROM v_outages WHERE event_id < 300),
-    m AS (SELECT prefix, count(id) AS n, min(id) AS id FROM p LEFT JOIN v_outages ON starts_with(id, prefix) GROUP BY 1)
-    SELECT prefix, CASE n WHEN 0 THEN 'not found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN id END AS id FROM m""",
-    "v_outages",
-)
-@query(
-    "o_jn_anti",
-    """WITH p AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'ffffffff' || event_id ELSE substr(id, 1, 10) END AS prefix FROM v_outages WHERE event_id < 300),
-    m AS (SELECT prefix, count(id) AS n, min(id) AS id FROM p LEFT JOIN v_outages ON starts_with(id, prefix) GROUP BY 1)
-    SELECT prefix, CASE n WHEN 0 THEN 'not found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN id END AS id FROM m""",
-    "v_outages",
-)
+_RETIRED = """WITH p AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'ffffffff' || event_id ELSE substr(id, 1, 10) END AS prefix FROM v_outages),
+    m AS (SELECT prefix, count(id) AS n, min(id) AS id FROM p LEFT JOIN v_outages ON substr(id, 1, 8) = substr(prefix, 1, 8) AND starts_with(id, prefix) GROUP BY 1)
+    SELECT prefix, CASE n WHEN 0 THEN 'not found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN id END AS id FROM m"""
+
+
+@query("o_retire", _RETIRED, "v_outages")
+@query("o_jn_anti", _RETIRED, "v_outages")
 def retire(v):
-    prefixes = v.outages.where("event_id < 300").select(F.expr("if(event_id % 3 = 0, 'ffffffff' || event_id, substr(id, 1, 10))").alias("prefix")).distinct()
+    prefixes = v.outages.select(F.expr("if(event_id % 3 = 0, 'ffffffff' || event_id, substr(id, 1, 10))").alias("prefix")).distinct()
     return store.retire(v.outages, prefixes, "bad_data", now())
 
 
@@ -175,36 +168,40 @@ def backfill_keys(v):
 
 
 _REPARSED = f"""WITH k AS (SELECT *, regexp_replace(regexp_extract(source_url, '^https?://([^/]+)', 1), '^www\\.', '') || '#' || regexp_extract(source_url, '/n([0-9]+)-', 1) AS article FROM v_outages),
-  r AS (SELECT *, event_id % 6 <> 0 AS readable FROM k WHERE event_id % 2 = 0),
-  byid AS (SELECT k.id, bool_or(coalesce(r2.readable, false)) AS readable FROM k LEFT JOIN (SELECT article, bool_or(readable) AS readable FROM r GROUP BY 1) r2 USING (article) GROUP BY 1),
+  r AS (SELECT *, event_id % 6 <> 0 AS readable, CASE WHEN event_id % 10 = 0 THEN starts_at + INTERVAL 1 DAY ELSE published_at END AS edited_at FROM k WHERE event_id % 2 = 0),
+  byid AS (SELECT k.id, bool_or(coalesce(r2.readable, false)) AS readable, bool_or(coalesce(r2.edited_at > k.ingested_at, false)) AS edited_since FROM k
+    LEFT JOIN (SELECT article, bool_or(readable) AS readable, max(edited_at) FILTER (readable) AS edited_at FROM r GROUP BY 1) r2 USING (article) GROUP BY 1),
   good AS (SELECT DISTINCT a.id FROM k a JOIN r b ON a.article = b.article AND b.readable AND {_SAME})"""
+_AUDITED = f"""{_REPARSED} SELECT id, readable, good.id IS NOT NULL AS supported, edited_since,
+  CASE WHEN NOT readable THEN 'unreadable' WHEN good.id IS NOT NULL THEN 'supported' WHEN edited_since THEN 'edited since' ELSE 'unsupported' END AS verdict FROM byid LEFT JOIN good USING (id)"""
+
+
+def _read_again(v):
+    """Every second record's article, read again; every tenth was edited a day later."""
+    from gridlore.operators.identity import article_key
+
+    again = v.outages.where("event_id % 2 = 0").withColumn("article_key", article_key(F.col("sources")[0]["url"])).withColumn("readable", F.expr("event_id % 6 <> 0"))
+    return again.withColumn("published_at", F.expr("if(event_id % 10 = 0, starts_at + interval 1 day, published_at)"))
+
+
+@query("o_audit", _AUDITED, "v_outages")
+@query("o_agg_audit", _AUDITED, "v_outages")
+@query("o_jn_rederive", _AUDITED, "v_outages")
+def audit(v):
+    return store.audit(v.outages, _read_again(v))
 
 
-@query(
-    "o_audit",
-    f"{_REPARSED} SELECT id, readable, good.id IS NOT NULL AS supported, CASE WHEN NOT readable THEN 'unreadable' WHEN good.id IS NOT NULL THEN 'supported' ELSE 'unsupported' END AS verdict FROM byid LEFT JOIN good USING (id)",
-    "v_outages",
-)
-@query(
-    "o_agg_audit",
-    f"{_REPARSED} SELECT id, readable, good.id IS NOT NULL AS supported, CASE WHEN NOT readable THEN 'unreadable' WHEN good.id IS NOT NULL THEN 'supported' ELSE 'unsupported' END AS verdict FROM byid LEFT JOIN good USING (id)",
-    "v_outages",
-)
-@query(
-    "o_jn_rederive",
-    f"{_REPARSED} SELECT id, readable, good.id IS NOT NULL AS supported, CASE WHEN NOT readable THEN 'unreadable' WHEN good.id IS NOT NULL THEN 'supported' ELSE 'unsupported' END AS verdict FROM byid LEFT JOIN good USING (id)",
-    "v_outages",
-)
 @query(
     "o_backfill_scope",
-    f"{_REPARSED} SELECT id, readable, good.id IS NOT NULL AS supported, CASE WHEN NOT readable THEN 'unreadable' WHEN good.id IS NOT NULL THEN 'supported' ELSE 'unsupported' END AS verdict FROM byid LEFT JOIN good USING (id)",
+    f"""{_REPARSED}, w AS (SELECT a.id, bool_or(b.event_id % 4 = 0) AS wide FROM k a JOIN r b ON a.article = b.article AND b.readable AND {_SAME} GROUP BY 1)
+    SELECT id, CASE WHEN wide THEN 'district' ELSE 'places' END AS scope FROM k JOIN w USING (id) WHERE event_id % 13 = 0 AND scope <> CASE WHEN wide THEN 'district' ELSE 'places' END""",
     "v_outages",
 )
-def audit(v):
-    from gridlore.operators.identity import article_key
-
-    again = v.outages.where("event_id % 2 = 0").withColumn("article_key", article_key(F.col("sources")[0]["url"])).withColumn("readable", F.expr("event_id % 6 <> 0"))
-    return store.audit(v.outages, again)
+def backfill_scope(v):
+    """Records that name their own district are ambiguous: what their sources say now decides."""
+    named = v.outages.withColumn("area_keys", F.when(F.expr("event_id % 13 = 0"), F.array_append("area_keys", F.col("district"))).otherwise(F.col("area_keys")))
+    again = _read_again(v).withColumn("scope", F.expr("if(event_id % 4 = 0, 'district', 'places')"))
+    return store.rederive_scope(named, again, v.outages)
 
 
 @query(

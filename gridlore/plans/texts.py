@@ -20,9 +20,9 @@ def str_ws(v):
     return v.table("documents").select("doc_id", F.md5(tx.collapse_space(F.col("text"))).alias("collapsed"))
 
 
-@query("o_str_lowertr", "SELECT doc_id, md5(lower(translate(text, 'İI', 'iı'))) AS low FROM documents WHERE lang = 'en'")
+@query("o_str_lowertr", "SELECT doc_id, md5(lower(translate(text, 'İI', 'iı'))) AS low FROM documents")
 def str_lowertr(v):
-    return v.table("documents").where("lang = 'en'").select("doc_id", F.md5(tx.lower_tr(F.col("text"))).alias("low"))
+    return v.table("documents").select("doc_id", F.md5(tx.lower_tr(F.col("text"))).alias("low"))
 
 
 @query("o_str_uppertr", "SELECT p_partkey, upper(translate(p_name, 'iı', 'İI')) AS up FROM part")
@@ -30,6 +30,20 @@ def str_uppertr(v):
     return v.table("part").select("p_partkey", tx.upper_tr(F.col("p_name")).alias("up"))
 
 
+@query("o_str_apos", "SELECT doc_id, md5(regexp_replace(text, '[''’´`][a-zçğıöşüA-ZÇĞİÖŞÜ]{1,6}\\b', '', 'g')) AS bare FROM documents")
+def str_apos(v):
+    return v.table("documents").select("doc_id", F.md5(tx.strip_apostrophe_suffix(F.col("text"))).alias("bare"))
+
+
+@query("o_src_content", "SELECT doc_id, trim(lang) AS lang, trim(source) AS source, md5(text) AS body FROM documents")
+def src_content(v):
+    from gridlore.sources.web import front_matter
+
+    page = F.concat(F.lit("---\nlang: "), "lang", F.lit("\nsource:  "), "source", F.lit("\n---\n"), "text")
+    read = v.table("documents").select("doc_id", front_matter(page).alias("p"))
+    return read.select("doc_id", F.col("p.fields")["lang"].alias("lang"), F.col("p.fields")["source"].alias("source"), F.md5("p.body").alias("body"))
+
+
 @query("o_str_token", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^0-9A-Za-zÇĞİıÖŞÜçğöşü]+'), lambda w: w <> '')) AS n FROM documents")
 def str_token(v):
     return v.table("documents").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n"))

@@ -152,3 +152,17 @@ def test_sources(spark):
 
 def test_fold_key_of_area_keys(spark):
     assert spark.range(1).select(tx.fold_key(F.lit("Gönyeli"))).first()[0] == "gonyeli"
+
+
+def test_pairs_over_a_dense_month_equal_all_pairs(spark):
+    """An event every other minute: candidates meet in slots of time, and none is lost at a slot's edge."""
+    rng = random.Random(3)
+    places = [f"Yer {k}" for k in range(12)]
+    rows = [
+        record(f"r{k:05}", kind=rng.choice(["planned", "fault"]), start=2 * k + rng.randrange(3), length=rng.choice([None, 30, 40]), areas=tuple(rng.sample(places, rng.choice([1, 2]))), continuation=rng.random() < 0.02)
+        for k in range(700)
+    ]
+    t = frame(spark, rows)
+    found = {tuple(r) for r in idn.same_event_pairs(t, t).where("a < b").collect()}
+    plain = [dict(zip(("id", "kind", "starts_at", "ends_at", "keys", "continuation"), (r[0], r[1], r[2], r[3], set(r[6]), r[12]))) for r in rows]
+    assert found == {(a["id"], b["id"]) for a in plain for b in plain if a["id"] < b["id"] and idn.match_rows(a, b)}
