@@ -34,7 +34,7 @@ def write_scratch(df: DataFrame, kind: str) -> str:
     """Write ``df`` to a new path of the shared folder; it goes when the session's JVM ends, if not before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, place = _hadoop(spark, path)
     files.deleteOnExit(place)
     return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.common import cut, drop
@@ -11,8 +11,8 @@ from gridlore.llm.common import cut, drop
 SALT = 64
 
 
-def salted(rows: DataFrame, by: str) -> DataFrame:
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")
 
 
 def over_key(rows: DataFrame, key: str, by: str, **values) -> DataFrame:
@@ -21,17 +21,17 @@ def over_key(rows: DataFrame, key: str, by: str, **values) -> DataFrame:
     A key may have most rows. They are aggregated before they are shuffled, and the values go back to each
     salted part that the key has, so that no task holds all rows of a key. ``by`` is a column that tells
     rows of a key apart."""
-    dealt = salted(rows, by)
-    has = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__salt"))).alias("__salts")
-    whole = dealt.groupBy(key).agg(*[value.alias(name) for name, value in values.items()], has)
+    has = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _salt(by))).alias("__salts")
+    whole = rows.groupBy(F.col(key).alias("__key")).agg(*[value.alias(name) for name, value in values.items()], has)
     every = F.sequence(F.lit(0), F.lit(SALT - 1))
     salts = F.filter(every, lambda k: F.getbit("__salts", k) == 1)
-    return dealt.join(whole.select(key, *values, F.explode(salts).alias("__salt")), [key, "__salt"]).drop("__salt")
+    back = whole.select("__key", *values, F.explode(salts).alias("__salt"))
+    return rows.join(back, (F.col(key) == F.col("__key")) & (_salt(by) == F.col("__salt"))).drop("__key", "__salt")
 
 
 def salted_join(rows: DataFrame, other: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``other``, one row a key, where a key may have most of ``rows``."""
-    dealt = salted(rows, by)
+    dealt = rows.withColumn("__salt", _salt(by))
     parts = dealt.select(key, "__salt").distinct().join(other, key, how)
     return dealt.join(parts, [key, "__salt"], how).drop("__salt")
 

@@ -124,8 +124,8 @@ def _units(line_words: int, unit_words: int, chain_words: int):
                 part = batch.slice(first, len(at) - 1)
                 words, lower = Words.of(data, at), Words.of(*utf8(_lower(part.column("text"))))
                 row, *found = units_of(words, lower, line_words, unit_words, chain_words)
-                kept = [part.column(c).take(pa.array(row)) for c in (RID, "doc_id")]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in found)], [RID, "doc_id", "digest", "words", "chars"])
+                units = [part.column(RID).take(pa.array(row)), *(pa.array(x, pa.int64()) for x in found)]
+                yield pa.RecordBatch.from_arrays(units, [RID, "digest", "words", "chars"])
 
     return run
 
@@ -138,12 +138,12 @@ def repeated_spans(
     Occurrences are ranked by doc_id (of any type that has an order; rows without one last), then row and
     place. ``kept_in`` names the doc_id of the earliest occurrence of the span's first unit.
     """
-    texts = with_row_id(docs).select(RID, "doc_id", text_or_empty().alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = cut(texts.mapInArrow(_units(line_words, unit_words, chain_words), f"{RID} binary, doc_id {kind}, digest long, words long, chars long"))
+    texts = with_row_id(docs).select(RID, text_or_empty().alias("text"))
+    found = cut(texts.mapInArrow(_units(line_words, unit_words, chain_words), f"{RID} binary, digest long, words long, chars long"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("rid"), F.col("words").alias("words"))
-    # Most digests occur once: counts leave them out before ranks are shuffled.
+    # Most digests occur once: counts leave them out before ids and ranks are shuffled.
     shared = over_key(found, "digest", RID, n=F.count(F.lit(1))).where("n > 1").drop("n")
+    shared = shared.join(with_row_id(docs).select(RID, "doc_id"), RID)
     later = over_key(shared, "digest", RID, least=F.min(rank)).where(rank > F.col("least"))
     low = lambda packed: F.col(packed).bitwiseAND(F.lit((1 << 32) - 1))
     high = lambda packed: F.shiftright(packed, 32)
