@@ -141,9 +141,10 @@ def repeated_spans(
     texts = with_row_id(docs).select(RID, text_or_empty().alias("text"))
     found = cut(texts.mapInArrow(_units(line_words, unit_words, chain_words), f"{RID} binary, digest long, words long, chars long"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(RID).alias("rid"), F.col("words").alias("words"))
-    # Most digests occur once: counts leave them out before ids and ranks are shuffled.
+    # Most digests occur once: counts leave them out before ids and ranks are shuffled. What is left is
+    # written, as it is read twice.
     shared = over_key(found, "digest", RID, n=F.count(F.lit(1))).where("n > 1").drop("n")
-    shared = shared.join(with_row_id(docs).select(RID, "doc_id"), RID)
+    shared = cut(shared.join(with_row_id(docs).select(RID, "doc_id"), RID))
     later = over_key(shared, "digest", RID, least=F.min(rank)).where(rank > F.col("least"))
     low = lambda packed: F.col(packed).bitwiseAND(F.lit((1 << 32) - 1))
     high = lambda packed: F.shiftright(packed, 32)
