@@ -136,7 +136,7 @@ def _running(clumps: DataFrame, group: str) -> DataFrame:
     """Adds ``before``: the weight of all clumps ahead in ``group``, heavier ones first, then by hash. Clumps
     fall into buckets in that order, buckets are summed, and their sums are summed in turn: at most
     64 x ``_BUCKETS`` of them a group."""
-    buckets = max(16, min(_BUCKETS, clumps.count() // _RANKED))
+    buckets = max(256, min(_BUCKETS, clumps.count() // _RANKED))
     tier = 63 - F.floor(F.log2("w")).cast("int")
     rows = clumps.withColumn("__b", tier * buckets + F.pmod(F.xxhash64("sig", "label", "off"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy(group, "__b").agg(F.sum("w").alias("__n"))
