@@ -25,6 +25,7 @@ ACCENTED, PLAIN = _plain_letters()
 #: White space as browsers understand it, which Java's class is not.
 SPACE = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 _WORD_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# Suffixes behind an apostrophe.
 _APOSTROPHE = "['’´`][a-zçğıöşüA-ZÇĞİÖŞÜ]{1,6}" + _WORD_EDGE
 # Named character references.
 ENTITIES = {
@@ -155,7 +156,7 @@ def site_url(value: Column, default: str) -> Column:
     return F.when(valid, F.regexp_replace(full, "/+$", "")).otherwise(F.lit(default))
 
 
-#: Texts about interruptions: power is named, and a cut or a restoration.
+# Words of texts about interruptions: power is named, and a cut or a restoration.
 _POWER = "elektrik|enerji"
 _CUT = "kesinti(?!siz)|kesil(ecek|di|iyor|mi[şs]|ir)|kesme"
 _RESTORED = r"gideril|yeniden\s+veril|enerji\s+veril|elektrik(ler)?\s+veril|normale\s+d[öo]n"
