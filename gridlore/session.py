@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: UTC everywhere; plans are adapted at run time. Nothing here depends on the size of a cluster.
@@ -16,3 +18,12 @@ SETTINGS = {
 def build(master: str | None = None, app: str = "gridlore", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir`` or, where that is unset,
+    in the warehouse; it goes when the session's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

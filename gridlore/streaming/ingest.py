@@ -6,6 +6,9 @@ same tables. Steps keep their order: store, retract, resolve, queue, mark read,
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,11 +26,14 @@ OUTAGES = (
 )
 QUEUE = "fingerprint string, source_url string, raw_text string, reason string, created_at timestamp"
 SEEN = "url string, content_hash string, attempts int, parsed_ok boolean, first_seen timestamp, last_seen timestamp"
-RUNS = "batch bigint, started_at timestamp, ok boolean, read bigint, created bigint, updated bigint, queued bigint"
+RUNS = "batch bigint, started_at timestamp, ok boolean, read bigint, created bigint, updated bigint, queued bigint, sources array<string>, failed array<string>"
 
 
-def run_batch(batch: DataFrame, version: int, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, now=None) -> None:
-    """One run over a batch of announcements. The run is logged even where it fails."""
+def run_batch(
+    batch: DataFrame, version: int, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, now=None, sources: Sequence[str] | None = None, failed_sources: Sequence[str] = ()
+) -> None:
+    """One run over a batch of announcements. The run is logged even where it fails; it is a success where
+    its records are stored and, with ``sources`` given, at least one of them was read."""
     spark = batch.sparkSession
     now = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
     started = spark.range(1).select(now.alias("n")).first()["n"]
@@ -48,7 +54,8 @@ def run_batch(batch: DataFrame, version: int, tables: Snapshots, extractor, gaze
         facts = [c for c in columns if c not in ("cancelled_at", "cancelled_reason", "updated_at")]
         after = store.upsert(stored, rows.select(*facts), now)
         after = store.retract(after.withColumn("continuation", F.lit(False)), parsed.where("role = 'retraction'"), now)
-        closing = parsed.where("role = 'resolution'").select("district", "area_keys", "resolved_at", F.monotonically_increasing_id().alias("ordinal"))
+        # Repairs count in the order in which they were announced, however the batch is stored.
+        closing = parsed.where("role = 'resolution'").select("district", "area_keys", "resolved_at", F.struct("published_at", "url", "entry").alias("ordinal"))
         tables.write("outages", version, store.resolve(after, closing).select(*columns))
         failed = outcomes.where("status = 'failed'").join(read, "url")
         text = tx.collapse_space(F.concat_ws(". ", "title", "body"))
@@ -59,24 +66,40 @@ def run_batch(batch: DataFrame, version: int, tables: Snapshots, extractor, gaze
         tables.write("seen", version, store.mark_read(seen, marked, now))
         counts = written.agg(F.count(F.when(col("created"), 1)).alias("created"), F.count(F.when(~col("created"), 1)).alias("updated")).first().asDict()
         counts |= {"read": read.count(), "queued": tables.read("queue", QUEUE, version + 1).count() - queue.count()}
-        ok = True
+        ok = sources is None or len(sources) > 0
     finally:
-        row = [(version, started, ok, *(counts.get(k, 0) for k in ("read", "created", "updated", "queued")))]
+        row = [(version, started, ok, *(counts.get(k, 0) for k in ("read", "created", "updated", "queued")), list(sources or ()), list(failed_sources))]
         tables.write("runs", version, tables.read("runs", RUNS, version).unionByName(spark.createDataFrame(row, RUNS)))
 
 
-def start(spark: SparkSession, source: str, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, checkpoint: str, once: bool = True, now=None):
-    """Stream JSON announcements from a folder; ``once`` takes what is there and stops."""
-    stream = spark.readStream.schema(ANNOUNCEMENT).json(source)
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, k: run_batch(batch, k + 1, tables, extractor, gazetteer, now)
-    )
+def run_sources(sources: Mapping[str, Callable[[], DataFrame]], version: int, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, now=None) -> None:
+    """One run over named sources of announcements. Each is read and written by itself before anything else
+    is done, so that one which fails is logged by its name and stops no other."""
+    read, failed = [], []
+    for name, fetch in sources.items():
+        try:
+            tables.write(f"fetched-{name}", version, fetch())
+            read.append(name)
+        except Exception:  # whatever a source does, the rest goes on; the run's row names it
+            failed.append(name)
+    fetched = [tables.spark.read.schema(ANNOUNCEMENT).parquet(f"{tables.root}/fetched-{name}/v={version}") for name in read]
+    batch = reduce(DataFrame.unionByName, fetched) if fetched else tables.spark.createDataFrame([], ANNOUNCEMENT)
+    run_batch(batch, version, tables, extractor, gazetteer, now, read, failed)
+
+
+def follow(announcements: DataFrame, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, checkpoint: str, once: bool = True, now=None):
+    """Runs over a stream of announcements; ``once`` takes what is there and stops."""
+    writer = announcements.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, k: run_batch(batch, k + 1, tables, extractor, gazetteer, now))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 hour")).start()
 
 
+def start(spark: SparkSession, source: str, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, checkpoint: str, once: bool = True, now=None):
+    """Stream JSON announcements from a folder."""
+    return follow(spark.readStream.schema(ANNOUNCEMENT).json(source), tables, extractor, gazetteer, checkpoint, once, now)
+
+
 def backfill(spark: SparkSession, archive: DataFrame, extractor, gazetteer: resolve.Gazetteer) -> DataFrame:
     """Records of an archive of announcements, one an event, without state and without a run row."""
     hashed = archive.withColumn("content_hash", tx.article_hash(col("title"), col("body")))
     parsed = resolve.resolve_announcements(resolve.extract(hashed, extractor), gazetteer)
     return store.identity.dedupe(parsed.where("role = 'record'"))
-
