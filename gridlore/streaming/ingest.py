@@ -41,14 +41,14 @@ def run_batch(
     try:
         seen = tables.read("seen", SEEN, version)
         last = batch.groupBy("url").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "url"]), "fetched_at").alias("r")).select("url", "r.*")
-        tables.write("read", version, resolve.extract(store.unread(last, seen), extractor))
-        read = tables.spark.read.parquet(f"{tables.root}/read/v={version}")
-        tables.write("parsed", version, resolve.resolve_announcements(read, gazetteer))
-        parsed = tables.spark.read.parquet(f"{tables.root}/parsed/v={version}")
-        outcomes = resolve.outcomes(read, gazetteer)
+        # What later steps read more than once is written: answers are paid for, and merging is the longest step.
+        read = tables.put("read", version, resolve.extract(store.unread(last, seen), extractor))
+        parsed = tables.put("parsed", version, resolve.resolve_announcements(read, gazetteer))
+        outcomes = tables.put("outcomes", version, resolve.outcomes(read, gazetteer))
         stored = tables.read("outages", OUTAGES, version)
         records = parsed.where("role = 'record'").dropDuplicates(["id", "url"])
-        written = store.identity.store(records, live.candidates(stored, records).withColumn("continuation", F.lit(False)))
+        merged = store.identity.store(records, live.candidates(stored, records).withColumn("continuation", F.lit(False)))
+        written = tables.put("written", version, merged)
         rows = written.withColumn("area_keys", live.area_keys(col("areas")))
         columns = StructType.fromDDL(OUTAGES).names
         facts = [c for c in columns if c not in ("cancelled_at", "cancelled_reason", "updated_at")]

@@ -32,3 +32,8 @@ class Snapshots:
     def write(self, table: str, version: int, rows: DataFrame) -> None:
         """Write a version; one that was left incomplete, or is written again by a repeated batch, is replaced."""
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
+
+    def put(self, table: str, version: int, rows: DataFrame) -> DataFrame:
+        """Write a version and read it."""
+        self.write(table, version, rows)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{table}/v={version}")

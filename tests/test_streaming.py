@@ -94,3 +94,34 @@ def test_unread_stream(spark, tmp_path):
         q = seen.unread_stream(stream).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: rows.extend((r["url"], r["body"], r["attempt"]) for r in df.collect())).start()
         q.awaitTermination()
     assert sorted(rows) == [("a", "x", 1), ("a", "x", 2), ("a", "x", 3), ("b", "x", 1), ("b", "y", 1)]
+
+
+def test_reading_in_the_stream(spark, tmp_path):
+    """Failures are tried three times, a text that was read is left, a changed text starts anew."""
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def read(title, body, day):
+        if body == "bad":
+            raise ValueError("no answer")
+        return body
+
+    rows = []
+    for k, batch in enumerate([[("a", "bad"), ("b", "x")], [("a", "bad"), ("b", "x")], [("a", "bad"), ("b", "y")], [("a", "bad")], [("a", "good")]]):
+        write(source, f"{k}.json", [{"url": u, "title": "t", "body": b} for u, b in batch])
+        stream = spark.readStream.schema("url string, title string, body string").json(str(source))
+        found = seen.unread_stream(stream, extractor=read)
+        found.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: rows.extend((r["url"], r["attempt"], r["payload"], r["error"]) for r in df.collect())).start().awaitTermination()
+    assert sorted(rows, key=str) == sorted([("a", 1, None, "no answer"), ("a", 2, None, "no answer"), ("a", 3, None, "no answer"), ("a", 1, "good", None), ("b", 1, "x", None), ("b", 1, "y", None)], key=str)
+
+
+def test_a_failing_source_stops_no_other(spark, tmp_path, gazetteer):
+    write(tmp_path, "a.json", [article(1, [entry()])])
+    tables = Snapshots(spark, str(tmp_path / "partial"))
+    good = lambda: spark.read.schema(ingest.ANNOUNCEMENT).json(str(tmp_path / "a.json"))
+    bad = lambda: spark.read.schema(ingest.ANNOUNCEMENT).parquet(str(tmp_path / "missing"))
+    ingest.run_sources({"bad": bad, "good": good}, 1, tables, extractor, gazetteer, NOW)
+    ingest.run_sources({"bad": bad}, 2, tables, extractor, gazetteer, NOW)
+    runs = tables.read("runs", ingest.RUNS).orderBy("batch").collect()
+    assert [(r["ok"], r["read"], r["sources"], r["failed"]) for r in runs] == [(True, 1, ["good"], ["bad"]), (False, 0, [], ["bad"])]
+    assert tables.read("outages", ingest.OUTAGES).count() == 1
