@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlore.llm.divergence import OP12_SQL, op12_source_divergence
 from gridlore.llm.licenses import OP3_SQL, op3_license_digests
 from gridlore.llm.media import op5_png_media
 from gridlore.llm.mixing import OP2_SQL, op2_pareto_mix
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_ordinal_toxicity": op9_ordinal_toxicity,
     "op10_subword_quality": op10_subword_quality,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mix": OP2_SQL,
     "op3_license_digests": OP3_SQL,
     "op7_rule_ledger": OP7_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
