@@ -11,6 +11,7 @@ from gridlore.llm.packing import op6_pack_tiers
 from gridlore.llm.passages import op8_passage_dedup
 from gridlore.llm.quality import op10_subword_quality
 from gridlore.llm.rules import OP7_SQL, op7_rule_ledger
+from gridlore.llm.search import OP11_SQL, op11_wand_search
 from gridlore.llm.sharding import op1_label_shards
 from gridlore.llm.toxicity import op9_ordinal_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_ordinal_toxicity": op9_ordinal_toxicity,
     "op10_subword_quality": op10_subword_quality,
+    "op11_wand_search": op11_wand_search,
     "op12_source_divergence": op12_source_divergence,
 }
 
@@ -32,5 +34,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_pareto_mix": OP2_SQL,
     "op3_license_digests": OP3_SQL,
     "op7_rule_ledger": OP7_SQL,
+    "op11_wand_search": OP11_SQL,
     "op12_source_divergence": OP12_SQL,
 }
