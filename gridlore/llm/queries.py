@@ -6,6 +6,7 @@ from gridlore.llm.divergence import OP12_SQL, op12_source_divergence
 from gridlore.llm.licenses import OP3_SQL, op3_license_digests
 from gridlore.llm.media import op5_png_media
 from gridlore.llm.mixing import OP2_SQL, op2_pareto_mix
+from gridlore.llm.near_vectors import op13_sign_hash_dedup
 from gridlore.llm.ngram_join import op4_ngram_join
 from gridlore.llm.packing import op6_pack_tiers
 from gridlore.llm.passages import op8_passage_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_subword_quality": op10_subword_quality,
     "op11_wand_search": op11_wand_search,
     "op12_source_divergence": op12_source_divergence,
+    "op13_sign_hash_dedup": op13_sign_hash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
