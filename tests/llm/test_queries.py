@@ -153,8 +153,10 @@ def test_mix_is_the_same_every_time_and_near_its_targets(docs):
 def test_rows_without_ids_and_repeated_rows_draw_apart(docs, tmp_path, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     t = docs([(None, f"w {k % 3} " * 5, "a") for k in range(900)] + [(7, "w " * 5, "a")] * 300 + [(k, "w " * 9, "b") for k in range(300)])
-    one, two = (sorted((r["__rid"], r["taken"]) for r in mixing.mix(t).collect()) for _ in range(2))
-    assert one == two and 300 < len({n for n, _ in one if _}) < 1500
+    one, two = (sorted((bytes(r["__rid"]), r["copies"], r["doc_id"] == 7) for r in mixing.mix(t).collect()) for _ in range(2))
+    # Every row has one certain copy; a second one is drawn, by each of the repeated rows for itself.
+    assert one == two and len({rid for rid, _, _ in one}) == 1500 and {n for _, n, _ in one} == {1, 2}
+    assert 300 < sum(n > 1 for _, n, _ in one) < 1200 and 0 < sum(n > 1 for _, n, seven in one if seven) < 300
     _compare(mixing.mix(t).drop("__rid"), mixing.OP2_SQL.replace("drawn // 2000", "drawn // 50"), t, tmp_path)
 
 
