@@ -1,15 +1,11 @@
 """Which records are one event, and what they merge into.
 
 Merging is an ordered fold, neither commutative nor associative: records go by id, each into the first
-cluster whose merged state matches. The fold runs per block of records that no match can leave: one
-district, with or without an end, and starts without a gap beyond the widest tolerance between them (a
-merged start is always a member's start). Blocks are cut from counts by hour, so nothing is gathered to
-find them. Where a district has no such gap for long, its block is that long: the fold's order allows no cut.
+event whose merged state matches. ``clusters`` finds its result in rounds of joins.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridlore import constants as C
 from gridlore.functions import text as tx
-from gridlore.functions import time as tm
+from gridlore.operators import clusters
 
 col = F.col
 
@@ -104,145 +100,6 @@ def area_union(a: Column, b: Column) -> Column:
     return F.filter(every, lambda x, i: F.array_position(keys, tx.fold_key(x)) == i + 1)
 
 
-#: Neighbouring blocks that are folded by one call.
-_TOGETHER = 100
-
-
-def with_blocks(records: DataFrame) -> DataFrame:
-    """Adds ``__open`` and ``__block``: records of different blocks of a district never match. Neighbouring
-    blocks share a number, so that a fold has more than a few rows."""
-    hour = F.date_trunc("hour", col("starts_at"))
-    records = records.withColumn("__open", col("ends_at").isNull()).withColumn("__hour", hour)
-    spans = records.groupBy("district", "__open", "__hour").agg(F.min("starts_at").alias("lo"), F.max("starts_at").alias("hi"))
-    order = Window.partitionBy("district", "__open").orderBy("__hour")
-    widest = F.when(col("__open"), C.NO_END_ASSUMED_OVER).otherwise(C.TIME_TOLERANCE)
-    gap = (F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(order))) / 60e6 > widest
-    spans = spans.withColumn("__gap", F.when(gap, 1).otherwise(0))
-    spans = spans.select("district", "__open", "__hour", F.floor(F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) / _TOGETHER).alias("__block"))
-    return records.join(spans, ["district", "__open", "__hour"]).drop("__hour")
-
-
-# --- the fold on plain rows -------------------------------------------------------------------------
-
-
-def _minutes(a, b) -> float:
-    return abs((a - b).total_seconds()) / 60
-
-
-def match_rows(a: dict, b: dict) -> bool:
-    """``same_event`` on two rows of one district, keys as sets."""
-    ax, bx = a["ends_at"], b["ends_at"]
-    if a["starts_at"] == b["starts_at"] and ax == bx and (a["keys"] <= b["keys"] or b["keys"] <= a["keys"]):
-        return True
-    if a["keys"].isdisjoint(b["keys"]):
-        return False
-    apart = _minutes(a["starts_at"], b["starts_at"])
-    if ax is None and bx is None and a["kind"] == b["kind"] == "fault":
-        return apart <= (C.NO_END_ASSUMED_OVER if a["continuation"] or b["continuation"] else C.OPEN_FAULT_TOLERANCE)
-    if apart > C.TIME_TOLERANCE:
-        return False
-    return ax is bx if ax is None or bx is None else _minutes(ax, bx) <= C.TIME_TOLERANCE
-
-
-def merge_rows(old: dict, new: dict) -> dict:
-    """The record that both are: facts of the official one, the old one's where both or neither are."""
-    official = lambda r: any(s["kind"] == "official" for s in r["sources"])
-    facts = new if official(new) and not official(old) else old
-    both_open = old["ends_at"] is None and new["ends_at"] is None and old["kind"] == new["kind"] == "fault"
-    areas = dict(zip(old["area_folds"], old["areas"], strict=True))
-    for key, name in zip(new["area_folds"], new["areas"], strict=True):
-        areas.setdefault(key, name)
-    sources = {}
-    for key, source in (*zip(old["source_keys"], old["sources"], strict=True), *zip(new["source_keys"], new["sources"], strict=True)):
-        sources.setdefault(key, source)
-    ordered = sorted(sources.items(), key=lambda x: x[1]["kind"] != "official")
-    return old | {
-        "kind": facts["kind"],
-        "starts_at": min(old["starts_at"], new["starts_at"]) if both_open else facts["starts_at"],
-        "ends_at": facts["ends_at"],
-        "area_folds": list(areas),
-        "areas": list(areas.values()),
-        "keys": old["keys"] | new["keys"],
-        "source_keys": [k for k, _ in ordered],
-        "sources": [s for _, s in ordered],
-        "published_at": min(old["published_at"], new["published_at"]),
-        "ingested_at": max(old["ingested_at"], new["ingested_at"]),
-        "confidence": "high" if "high" in (old["confidence"], new["confidence"]) else "low",
-        "scope": "district" if "district" in (old["scope"], new["scope"]) else "places",
-        "members": old["members"] + new["members"],
-    }
-
-
-def fold_rows(stored: list[dict], incoming: list[dict]) -> list[dict]:
-    """Incoming rows in the order of their ids into clusters; stored rows are clusters from the start, in the
-    order of their ids, after those of the batch. Clusters are looked up by place and time."""
-    clusters: list[dict] = []
-    index: dict[tuple, list[int]] = defaultdict(list)
-    wide = C.NO_END_ASSUMED_OVER
-
-    def step(row: dict) -> int:
-        return wide if row["ends_at"] is None else C.TIME_TOLERANCE
-
-    def slot(row: dict) -> int:
-        return int(row["starts_at"].timestamp() // 60 // step(row))
-
-    def put(k: int) -> None:
-        row = clusters[k]
-        for key in row["keys"] or {""}:
-            if k not in index[key, step(row), slot(row)]:
-                index[key, step(row), slot(row)].append(k)
-
-    def find(row: dict) -> int | None:
-        near = {k for key in (*row["keys"], "") for d in (-1, 0, 1) for k in index.get((key, step(row), slot(row) + d), ())}
-        if not row["keys"]:
-            near = set(range(len(clusters)))
-        rank = lambda k: (clusters[k]["id"] != row["id"] or not clusters[k]["stored"], clusters[k]["untouched"], k)
-        by_id = [k for k in ids.get(row["id"], ()) if clusters[k]["stored"]]
-        if by_id:
-            return by_id[0]
-        return min((k for k in near if match_rows(clusters[k], row)), key=rank, default=None)
-
-    ids: dict[str, list[int]] = defaultdict(list)
-    for row in sorted(stored, key=lambda r: r["id"]):
-        clusters.append(row | {"stored": True, "untouched": True})
-        ids[row["id"]].append(len(clusters) - 1)
-        put(len(clusters) - 1)
-    for row in sorted(incoming, key=lambda r: r["id"]):
-        k = find(row)
-        if k is None:
-            clusters.append(row | {"stored": False, "untouched": False})
-            k = len(clusters) - 1
-        else:
-            clusters[k] = merge_rows(clusters[k], row) | {"untouched": False}
-        put(k)
-    return clusters
-
-
-_SCHEMA = (
-    "id string, kind string, starts_at timestamp, ends_at timestamp, district string, areas array<string>, scope string,"
-    " sources array<struct<name:string,url:string,kind:string>>, published_at timestamp, ingested_at timestamp,"
-    " confidence string, continuation boolean, members array<string>, stored boolean, untouched boolean"
-)
-
-
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    rows = []
-    for r in frame.to_dict("records"):
-        r["ends_at"] = None if pd.isna(r["ends_at"]) else r["ends_at"]
-        r["areas"], r["area_folds"], r["source_keys"] = (list(r[c]) for c in ("areas", "area_folds", "source_keys"))
-        r["sources"] = [dict(s.asDict() if hasattr(s, "asDict") else s) for s in r["sources"]]
-        r["keys"], r["continuation"], r["members"] = {k for k in r["area_folds"] if k}, bool(r["continuation"]), [r["id"]]
-        rows.append(r)
-    return rows
-
-
-def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    names = [x.split()[0] for x in _SCHEMA.replace("name:string,url:string,kind:string", "").split(", ")]
-    mask = frame["is_stored"].to_numpy(bool)
-    out = pd.DataFrame(fold_rows(_rows(frame[mask]), _rows(frame[~mask])))
-    return out.reindex(columns=[n for n in names])
-
-
 def _prepared(records: DataFrame, stored: bool) -> DataFrame:
     return records.select(
         "id", "kind", "starts_at", "ends_at", "district", "areas", "scope", "sources", "published_at", "ingested_at", "confidence",
@@ -253,28 +110,39 @@ def _prepared(records: DataFrame, stored: bool) -> DataFrame:
     )
 
 
+_MERGED = ["kind", "starts_at", "ends_at", "district", "areas", "scope", "sources", "published_at", "ingested_at", "confidence", "continuation"]
+
+
+def _collapse(members: DataFrame) -> DataFrame:
+    """One record an event of clustered rows; a record that met no other stays as it is."""
+    size = members.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    sized = members.join(size, "c")
+    alone = sized.where("n = 1").select("id", *_MERGED, "is_stored", F.lit(1).cast("long").alias("n_members"))
+    return alone.unionByName(clusters.merged(sized.where("n > 1").drop("n")).select("id", *_MERGED, "is_stored", "n_members"))
+
+
 def dedupe(records: DataFrame) -> DataFrame:
-    """One record an event of a batch; ``members`` are the ids that it took in."""
-    blocks = with_blocks(_prepared(records, False))
-    return blocks.groupBy("district", "__open", "__block").applyInPandas(_fold, _SCHEMA).drop("stored", "untouched")
+    """One record an event of a batch, under the smallest id of its records; ``n_members`` counts them."""
+    return _collapse(clusters.cluster(clusters.ordered(_prepared(records, False)))).drop("is_stored")
+
+
+def membership(records: DataFrame) -> DataFrame:
+    """(id, event): the event of each record of a batch, by the id that ``dedupe`` gives it."""
+    members = clusters.cluster(clusters.ordered(_prepared(records, False)))
+    event = F.substring_index(F.expr("substring(c, 2)"), "\x01", 1)
+    return members.select("id", event.alias("event"))
 
 
 def store(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """What a batch writes: new records and stored ones with what matched them; ``created`` tells which.
 
-    A stored row of the same id is met first, wherever it lies; cancelled rows meet nothing.
+    A record with the id of a stored row goes there, wherever it lies; then come events that the batch has written
+    already, in the order in which it did, then stored rows by id. Cancelled rows meet nothing.
     """
     known = stored.where("cancelled_at is null")
-    old, new = _prepared(known, True), _prepared(incoming, False)
-    # An id match ignores time: such rows move to their stored row's block.
-    home = with_blocks(old.unionByName(new))
-    where = home.where("is_stored").select("id", col("district").alias("d"), col("__open").alias("o"), col("__block").alias("b"))
-    placed = home.join(where, "id", "left").withColumns(
-        {"__d": F.coalesce("d", "district"), "__o": F.coalesce("o", "__open"), "__b": F.coalesce("b", "__block")}
-    )
-    drop = ["d", "o", "b", "__open", "__block"]
-    written = placed.drop(*drop).groupBy("__d", "__o", "__b").applyInPandas(_fold, _SCHEMA)
-    return written.where("not untouched").withColumn("created", ~col("stored")).drop("stored", "untouched")
+    members = clusters.cluster(clusters.ordered(_prepared(known, True).unionByName(_prepared(incoming, False))))
+    touched = members.where("not is_stored").select("c").distinct()
+    return _collapse(members.join(touched, "c", "left_semi")).withColumn("created", ~col("is_stored")).drop("is_stored")
 
 
 def _cards(descending: bool):

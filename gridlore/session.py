@@ -27,3 +27,9 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{kind}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_folder`` gave, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
