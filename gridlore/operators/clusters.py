@@ -12,14 +12,16 @@ of the event was official, and of open faults the earliest start. So versions ar
 takes in, and windows over one event hold only the records that may make one. Nothing else is gathered: records of a
 district may follow each other without any gap.
 
-Blocks of records that no match can leave (one district, with or without an end, no gap longer than the widest
-tolerance) only save work: a block without a change is done, and later rounds leave it out.
+Two things only save work: the first round starts from a guess, and later rounds read no more than what lies near
+the events that the round before has changed.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,52 +39,133 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
 
 
 def ordered(records: DataFrame) -> DataFrame:
-    """``records`` (id, is_stored, ..), written, with ``ord``: stored ones first, then by id, content and place."""
-    content = F.hex(F.xxhash64(*[c for c in records.columns if c not in ("id", "is_stored")]))
-    at = F.concat(F.hex(F.xxhash64(col("_metadata.file_path"))), F.lpad(F.hex(col("_metadata.row_index")), 16, "0"))
-    turn = F.concat(F.when(col("is_stored"), "0").otherwise("1"), "id", F.lit("\x01"), F.lpad(content, 16, "0"), at)
-    return written(records, "records")[0].withColumn("ord", turn)
-
-
-def with_blocks(records: DataFrame) -> DataFrame:
-    """Adds ``block``: records of different blocks never match. Cut from counts by hour."""
-    records = records.withColumn("__open", col("ends_at").isNull()).withColumn("__hour", F.date_trunc("hour", col("starts_at")))
-    spans = records.groupBy("district", "__open", "__hour").agg(F.min("starts_at").alias("lo"), F.max("starts_at").alias("hi"))
-    order = Window.partitionBy("district", "__open").orderBy("__hour")
-    widest = F.when(col("__open"), C.NO_END_ASSUMED_OVER).otherwise(C.TIME_TOLERANCE)
-    gap = (F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(order))) / 60e6 > widest
-    number = F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = spans.select("district", "__open", "__hour", F.concat_ws("/", "district", col("__open").cast("string"), number).alias("block"))
-    return records.join(spans, ["district", "__open", "__hour"]).drop("__open", "__hour")
+    """``records`` (id, is_stored, ..), written, with ``ord``, a number in the order of the fold: stored ones first,
+    then by id and content. Equal rows are interchangeable."""
+    content = F.xxhash64(*[c for c in records.columns if c not in ("id", "is_stored")])
+    order = [~col("is_stored"), col("id"), col("__content"), col("__row")]
+    keyed = records.withColumns({"__content": content, "__row": F.monotonically_increasing_id()})
+    spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__content", "__row")
+    return written(spread.withColumn("ord", F.monotonically_increasing_id()), "records")[0]
+
+
+# --- the fold of few records -------------------------------------------------------------------------
+
+#: Records that are folded in one task.
+TOGETHER = 10_000
+#: Minutes of a tile of records with an end, and of one of open ones.
+_TILE, _OPEN_TILE = 6 * 60, 12 * 24 * 60
+
+
+def _fits(s: dict, r: dict) -> bool:
+    if s["starts_at"] == r["starts_at"] and s["ends_at"] == r["ends_at"] and (s["keys"] <= r["keys"] or r["keys"] <= s["keys"]):
+        return True
+    if (s["ends_at"] is None) != (r["ends_at"] is None) or s["keys"].isdisjoint(r["keys"]):
+        return False
+    both_of = s["is_of"] and r["is_of"]
+    reach = C.TIME_TOLERANCE if not both_of else C.NO_END_ASSUMED_OVER if s["continuation"] or r["continuation"] else C.OPEN_FAULT_TOLERANCE
+    near = lambda c, minutes: abs((s[c] - r[c]).total_seconds()) <= 60 * minutes
+    return near("starts_at", reach) and (r["ends_at"] is None or near("ends_at", C.TIME_TOLERANCE))
+
+
+def _take_in(s: dict, r: dict) -> None:
+    """What a record changes of a state."""
+    takes_over = r["official"] and not s["official"]
+    if s["is_of"] and r["is_of"]:
+        s["starts_at"] = min(s["starts_at"], r["starts_at"])
+    elif takes_over:
+        s |= {c: r[c] for c in ("is_of", "starts_at", "ends_at")}
+    for cited in (r["cited"],) if "articles" in s else (s["cited"], r["cited"]):
+        for x in cited:  # of each article the first source stays, and tells whether the event has an official one
+            s.setdefault("articles", {}).setdefault(x["source_key"], x["is_official"])
+    s["official"] = any(s.get("articles", {}).values())
+
+
+def _fold(frame: pd.DataFrame) -> pd.DataFrame:
+    """(ord, next): records in their order, those that are ``here`` decided by the states before them, the others
+    where they are."""
+    events, at_key, at_times, index = [], defaultdict(list), defaultdict(list), {}
+    out = []
+    for r in frame.sort_values("ord").to_dict("records"):
+        r["ends_at"], r["keys"], r["district"] = None if pd.isna(r["ends_at"]) else r["ends_at"], set(r["keys"]), r["zone"].split("/")[0]
+        fixed = r["is_stored"] or not pd.isna(r["home"]) or not r["here"]
+        if fixed:
+            k = index.get(r["c"])
+            if k is None and r["c"] != r["ord"]:
+                continue  # its event's first record has gone elsewhere
+        else:
+            near = dict.fromkeys(k for where in (*(at_key[x] for x in r["keys"]), at_times[r["starts_at"], r["ends_at"]]) for k in where)
+            fits = [k for k in near if events[k]["district"] == r["district"] and _fits(events[k], r)]
+            k = min(fits, key=lambda k: (events[k]["touched"] is None, events[k]["touched"] or 0, k), default=None)
+        if k is None:
+            k, s = len(events), r | {"touched": None, "keys": set()}
+            events.append(s)
+            index[r["ord"]] = k
+        else:
+            s = events[k]
+            _take_in(s, r)
+        s["touched"] = s["touched"] if s["touched"] is not None or r["is_stored"] else r["ord"]
+        for x in r["keys"] - s["keys"]:
+            at_key[x].append(k)
+        s["keys"] |= r["keys"]
+        at_times[s["starts_at"], s["ends_at"]].append(k)
+        out.append((r["ord"], s["ord"]))
+    return pd.DataFrame(out, columns=["ord", "next"])
+
+
+_FOLDED = ["ord", "c", "home", "here", "zone", "is_stored", "is_of", "starts_at", "ends_at", "continuation", "official", "keys", "cited"]
+
+
+def _folded(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).applyInPandas(lambda frame: _fold(frame), "ord long, next long")
+
+
+def guesses(rows: DataFrame) -> DataFrame:
+    """(ord, next): decisions that the fold of a tile of time by itself comes to, in groups of some thousand records.
+    They are right but at the edges of tiles; rounds find out, whatever the guess, so it only saves rounds."""
+    is_open = col("ends_at").isNull()
+    placed = rows.select(*_FOLDED, F.when(is_open, _slot(_OPEN_TILE)).otherwise(_slot(_TILE)).alias("tile"))
+    parts = placed.groupBy("zone", "tile").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    placed = placed.join(parts, ["zone", "tile"]).withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts"))).drop("parts")
+    return _folded(placed, "zone", "tile", "part")
 
 
 # --- the states of events ----------------------------------------------------------------------------
 
 
-def _first_official(sources: DataFrame, members: DataFrame) -> DataFrame:
+def _first_official(members: DataFrame) -> DataFrame:
     """(c, o_star): the member from which on a source of the event is official. Of each article the first
     source is kept, so an official one counts only where its article is new to the event."""
-    some = members.where("official").select("c").distinct()
-    of_event = sources.join(members.select("ord", "c").join(some, "c", "left_semi"), "ord")
-    first = of_event.groupBy("c", "source_key").agg(F.min(F.struct("ord", "pos", "is_official")).alias("f"))
+    cited = members.where("some_official").select("c", "ord", F.posexplode("cited").alias("pos", "s"))
+    first = cited.groupBy("c", "s.source_key").agg(F.min(F.struct("ord", "pos", "s.is_official")).alias("f"))
     return first.where("f.is_official").groupBy("c").agg(F.min("f.ord").alias("o_star"))
 
 
-def versions(members: DataFrame, sources: DataFrame) -> DataFrame:
-    """The states that events (c) go through: (c, since, upto, kind, is_of, starts_at, ends_at). A state holds for
-    records after ``since`` up to ``upto``, both places in the order."""
+def _about(members: DataFrame) -> DataFrame:
+    """One row an event (c) whose first record is among its members: what the decisions need to know of it."""
     is_root = col("ord") == col("c")
-    stats = members.groupBy("c").agg(
-        F.min(F.when(~is_root, col("ord"))).alias("second"), F.bool_or(is_root & col("official")).alias("root_official"), F.bool_and("is_of").alias("all_of")
+    root = F.struct("district", col("continuation").alias("goes_on"), "is_stored", col("official").alias("root_official"))
+    about = members.groupBy("c").agg(
+        F.min(F.when(~is_root, col("ord"))).alias("second"), F.bool_and("is_of").alias("all_of"), F.bool_or("official").alias("some_official"), F.max(F.when(is_root, root)).alias("root"),
+        F.min(F.when(F.size("keys") > 0, col("ord"))).alias("first_key"),
     )
-    m = members.join(stats, "c").join(_first_official(sources, members), "c", "left")
+    # Events of the batch come in the order of their records, stored ones that it has touched since then likewise.
+    touched = F.when(col("root.is_stored"), col("second")).otherwise(col("c"))
+    return about.where("root is not null").select("c", "second", "all_of", "some_official", "first_key", "root.*", touched.alias("touched"))
+
+
+def versions(members: DataFrame) -> DataFrame:
+    """The states that events go through: (c, since, upto, kind, is_of, starts_at, ends_at). A state holds for
+    records after ``since`` up to ``upto``, both places in the order. ``members`` carry what ``_about`` says."""
+    is_root = col("ord") == col("c")
+    m = members.where(is_root | col("official") | col("is_of")).join(_first_official(members), "c", "left")
     unsettled = col("o_star").isNull() | ((col("ord") <= col("o_star")) & (col("o_star") != col("c")))
     takes_over = ~is_root & col("official") & unsettled & ~((col("ord") == col("second")) & col("root_official"))
     m = m.withColumn("turns", is_root | takes_over).where(col("turns") | col("is_of"))
     # Where every member is an open fault only falling starts matter, and within a part of the order only its own.
-    part = Window.partitionBy("c", F.substring("ord", 1, 4)).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("part", F.when(col("all_of"), F.shiftright("ord", 12)))
+    part = Window.partitionBy("c", "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(col("starts_at") < F.min("starts_at").over(part), F.lit(True))
-    m = m.withColumn("lower", lower).where("turns or not all_of or lower")
+    m = m.repartition("c", "part").withColumn("lower", lower).where("turns or not all_of or lower")
     order = Window.partitionBy("c").orderBy("ord")
     so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     facts = F.struct("kind", "is_of", "starts_at", "ends_at")
@@ -99,6 +182,7 @@ def versions(members: DataFrame, sources: DataFrame) -> DataFrame:
         "facts.is_of",
         F.when(col("facts.is_of"), col("earliest")).otherwise(col("facts.starts_at")).alias("starts_at"),
         "facts.ends_at",
+        *[F.first(x).over(order).alias(x) for x in ("district", "goes_on", "touched", "first_key")],
     )
 
 
@@ -113,6 +197,10 @@ def _place(name: str, slot: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), slot.cast("long").alias("slot"))
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<name:string,slot:bigint>>")
+
+
 def _exact() -> Column:
     return F.xxhash64("starts_at", "ends_at")
 
@@ -122,35 +210,29 @@ def _exact() -> Column:
 _WITH_END, _OPEN, _EVENT_ON, _RECORD_ON, _ALL_TIMES, _NO_KEYS = "end", "open", "event on", "record on", "same times", "no keys"
 
 
-def _meeting_places(states: DataFrame, keys: DataFrame) -> DataFrame:
-    """States by (district, key, name, slot). A key holds from where it came in."""
-    none = F.array().cast("array<struct<name:string,slot:bigint>>")
+def _meeting_places(states: DataFrame, members: DataFrame) -> DataFrame:
+    """States by (district, key, name, slot). A key holds from where it came in. Under an empty key stand all states
+    by their times, as records without keys meet any, and those without keys yet, as any record meets these."""
+    keyed = members.select("c", "ord", F.explode(F.array_append("keys", "")).alias("key")).groupBy("c", "key").agg(F.min("ord").alias("key_since"))
     closed = F.array(_place(_WITH_END, _slot(C.TIME_TOLERANCE)))
     open_ = F.array(_place(_OPEN, _slot(C.OPEN_FAULT_TOLERANCE)), _place(_RECORD_ON, _slot(C.NO_END_ASSUMED_OVER)))
-    on = F.when(col("goes_on"), F.array(_place(_EVENT_ON, _slot(C.NO_END_ASSUMED_OVER)))).otherwise(none)
-    keyed = states.join(keys, "c").withColumn("since", F.greatest("since", "key_since"))
-    keyed = keyed.withColumn("at", F.when(col("ends_at").isNull(), F.concat(open_, on)).otherwise(closed)).drop("key_since")
-    first_key = keys.groupBy("c").agg(F.min("key_since").alias("first_key"))
-    # Records without keys meet any state of their times, and states without keys any record.
-    whole = states.join(first_key, "c", "left").withColumn("key", F.lit(""))
-    bare = whole.where(col("first_key").isNull() | (col("first_key") > col("since"))).withColumn("upto", F.least("upto", "first_key"))
-    met = reduce(
-        DataFrame.unionByName,
-        (keyed, whole.drop("first_key").withColumn("at", F.array(_place(_ALL_TIMES, _exact()))), bare.drop("first_key").withColumn("at", F.array(_place(_NO_KEYS, _exact())))),
-    )
-    return met.where("upto is null or since < upto").withColumn("at", F.explode("at")).select("*", "at.*").drop("at")
+    on = F.when(col("goes_on"), F.array(_place(_EVENT_ON, _slot(C.NO_END_ASSUMED_OVER)))).otherwise(_none())
+    by_key = F.when(col("ends_at").isNull(), F.concat(open_, on)).otherwise(closed)
+    by_times = F.array(_place(_ALL_TIMES, _exact()), _place(_NO_KEYS, _exact()))
+    met = states.join(keyed, "c").withColumn("at", F.explode(F.when(col("key") == "", by_times).otherwise(by_key))).select("*", "at.*")
+    met = met.withColumns({"since": F.greatest("since", "key_since"), "upto": F.when(col("name") == _NO_KEYS, F.least("upto", "first_key")).otherwise(col("upto"))})
+    return met.where("upto is null or since < upto").drop("at", "key_since", "first_key")
 
 
 def _records_at(records: DataFrame) -> DataFrame:
     """Records by (district, key, name, slot): in their own slot and both beside it."""
-    none = F.array().cast("array<struct<name:string,slot:bigint>>")
     around = lambda name, minutes: F.array(*[_place(name, _slot(minutes) + k) for k in (-1, 0, 1)])
     closed = around(_WITH_END, C.TIME_TOLERANCE)
-    on = F.when(col("continuation"), around(_RECORD_ON, C.NO_END_ASSUMED_OVER)).otherwise(none)
+    on = F.when(col("continuation"), around(_RECORD_ON, C.NO_END_ASSUMED_OVER)).otherwise(_none())
     open_ = F.concat(around(_OPEN, C.OPEN_FAULT_TOLERANCE), around(_EVENT_ON, C.NO_END_ASSUMED_OVER), on)
     columns = ["ord", "district", "is_of", "starts_at", "ends_at", "continuation"]
     keyed = records.withColumn("key", F.explode("keys")).withColumn("at", F.explode(F.when(col("ends_at").isNull(), open_).otherwise(closed)))
-    exact = F.concat(F.array(_place(_NO_KEYS, _exact())), F.when(F.size("keys") == 0, F.array(_place(_ALL_TIMES, _exact()))).otherwise(none))
+    exact = F.concat(F.array(_place(_NO_KEYS, _exact())), F.when(F.size("keys") == 0, F.array(_place(_ALL_TIMES, _exact()))).otherwise(_none()))
     bare = records.withColumn("key", F.lit("")).withColumn("at", F.explode(exact))
     both = keyed.select(*columns, "key", "at").unionByName(bare.select(*columns, "key", "at"))
     return both.select(*columns, "key", "at.*")
@@ -167,66 +249,80 @@ def _matches() -> Column:
     return in_order & F.when(col("s.name").isin(_ALL_TIMES, _NO_KEYS), same_times).otherwise(near)
 
 
-def decide(light: DataFrame, sources: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(ord, c) of the records that are not stored, from the assignments (ord, c) of the round before."""
-    # An event whose first record has gone elsewhere does not exist.
-    begun = assigned.where("ord = c").select("c")
-    members = light.join(assigned.select("ord", "c").join(begun, "c", "left_semi"), "ord")
-    roots = light.select(col("ord").alias("c"), "district", col("continuation").alias("goes_on"), "is_stored")
-    entered = members.where("ord <> c").groupBy("c").agg(F.min("ord").alias("entered"))
-    states = versions(members, sources).join(roots, "c").join(entered, "c", "left")
-    # Events of the batch come in the order of their records, stored ones that it has touched since then likewise;
-    # untouched stored ones come last, by their own order.
-    touched = F.when(col("is_stored"), col("entered")).otherwise(col("c"))
-    states = states.withColumn("touched", touched).drop("is_stored", "entered")
-    keys = members.select("c", "ord", F.explode("keys").alias("key")).groupBy("c", "key").agg(F.min("ord").alias("key_since"))
-    new = light.where("not is_stored")
+_NEVER = (1 << 63) - 1
+_ABOUT = ("second", "all_of", "some_official", "district", "goes_on", "root_official", "touched", "first_key")
+
+
+def _known(members: DataFrame) -> DataFrame:
+    """Members with what is known of their event, under its district; members of events that have not begun go."""
+    return members.drop("district").join(_about(members).select("c", *_ABOUT), "c")
+
+
+def decide(now: DataFrame) -> DataFrame:
+    """(ord, next) of the records that are not stored, from the assignments of the round before."""
+    members = _known(now)
     place = [col(f"r.{c}") == col(f"s.{c}") for c in ("district", "key", "name", "slot")]
-    met = _records_at(new.where("home is null")).alias("r").join(_meeting_places(states, keys).alias("s"), [*place, _matches()])
-    rank = F.struct(F.when(col("s.touched") < col("r.ord"), col("s.touched")).otherwise("~").alias("turn"), col("s.c").alias("c"))
-    best = met.groupBy(col("r.ord").alias("ord")).agg(F.min(rank).alias("best"))
-    return new.join(best, "ord", "left").select("ord", F.coalesce("home", "best.c", "ord").alias("c"))
+    met = _records_at(now.where("not is_stored and home is null")).alias("r").join(_meeting_places(versions(members), members).alias("s"), [*place, _matches()])
+    # Untouched stored events come last, by their own order.
+    rank = F.struct(F.when(col("s.touched") < col("r.ord"), col("s.touched")).otherwise(_NEVER).alias("turn"), col("s.c").alias("c"))
+    return met.groupBy(col("r.ord").alias("ord")).agg(F.min(rank).alias("best")).select("ord", col("best.c").alias("next"))
+
+
+def _active(assigned: DataFrame) -> DataFrame:
+    """The rows that the next round reads, with ``here`` where it decides anew: near a member of an event that
+    records have entered or left. Of the events near these it needs all members."""
+    changed = assigned.where("changed")
+    events = changed.select(F.explode(F.array("c", "was")).alias("c")).distinct()
+    zones = assigned.join(events, "c", "left_semi").select("zone", "slot").union(changed.select("zone", "slot")).distinct()
+    near = zones.select("zone", "slot", F.explode(F.array(*map(F.lit, range(-2, 3)))).alias("k")).groupBy("zone", (col("slot") + col("k")).alias("slot")).agg(F.bool_or(F.abs("k") < 2).alias("here"))
+    met = assigned.join(near.select("zone", "slot"), ["zone", "slot"], "left_semi").select("c").distinct()
+    return assigned.drop("here").join(met, "c", "left_semi").join(near, ["zone", "slot"], "left").withColumn("here", F.coalesce("here", F.lit(False)))
 
 
 def cluster(records: DataFrame) -> DataFrame:
-    """``ordered`` records with ``c``, the ``ord`` of the first record of their event, and ``versions`` columns no more.
+    """``ordered`` records with ``c``, the ``ord`` of the first record of their event, and the facts of its last state
+    as ``final_kind``, ``final_starts_at`` and ``final_ends_at``.
 
     records: ord, id, is_stored, kind, starts_at, ends_at, district, area_folds, sources, source_keys, continuation.
     Stored records are events from the start and never meet each other; a record with the id of one goes there."""
     spark = records.sparkSession
-    official = F.exists("sources", lambda s: s["kind"] == "official")
     is_of = (col("kind") == "fault") & col("ends_at").isNull()
-    keys = F.array_distinct(F.filter("area_folds", lambda k: k != ""))
-    light = with_blocks(records).select(
-        "ord", "id", "is_stored", "block", "district", "kind", is_of.alias("is_of"), "starts_at", "ends_at", "continuation", F.coalesce(official, F.lit(False)).alias("official"), F.coalesce(keys, F.array().cast("array<string>")).alias("keys")
-    )
-    stored = light.where("is_stored").groupBy("id").agg(F.min("ord").alias("home"), F.min("block").alias("home_block"))
-    homes = light.where("not is_stored").join(stored, "id").select("ord", "home", "home_block")
-    light, light_at = written(light.join(homes, "ord", "left").drop("id"), "light")
-    # Records that an id has brought to another block tie both blocks together: these stay in every round.
-    tied, tied_at = written(light.where("home is not null").select(F.explode(F.array("block", "home_block")).alias("block")).distinct(), "tied")
-    listed = records.select("ord", F.posexplode(F.arrays_zip("source_keys", "sources")).alias("pos", "s"))
-    listed = listed.select("ord", "pos", col("s.source_keys").alias("source_key"), (col("s.sources.kind") == "official").alias("is_official"))
-    only_official = light.where("official").select("block").distinct()
-    sources, sources_at = written(listed.join(light.select("ord", "block").join(only_official, "block", "left_semi"), "ord"), "sources")
-    assigned, at = written(light.select("ord", "block", F.coalesce("home", "ord").alias("c"), F.lit(True).alias("changed")), "assigned")
-    while True:
-        active = assigned.where("changed").select("block").union(tied).distinct()
-        now = assigned.join(active, "block", "left_semi")
-        here = light.join(active, "block", "left_semi")
-        decided = decide(here, sources.join(active, "block", "left_semi"), now).withColumnRenamed("c", "next")
-        both = assigned.join(decided, "ord", "left").select(
-            "ord", "block", F.coalesce("next", "c").alias("c"), F.coalesce(col("next") != col("c"), F.lit(False)).alias("changed")
-        )
-        (assigned, at), last = written(both, "assigned"), at
-        remove_folder(spark, last)
-        if assigned.where("changed").isEmpty():
+    keys = F.coalesce(F.array_distinct(F.filter("area_folds", lambda k: k != "")), F.array().cast("array<string>"))
+    cited = F.transform(F.arrays_zip("source_keys", "sources"), lambda s: F.struct(s["source_keys"].alias("source_key"), (s["sources"]["kind"] == "official").alias("is_official")))
+    official = F.coalesce(F.exists(cited, lambda s: s["is_official"]), F.lit(False))
+    light = records.select("ord", "id", "is_stored", "district", "kind", is_of.alias("is_of"), "starts_at", "ends_at", "continuation", official.alias("official"), keys.alias("keys"), cited.alias("cited"))
+    light, light_at = written(light, "light")
+    stored = light.where("is_stored").groupBy("id").agg(F.min_by(F.struct(col("ord").alias("home"), "district"), "ord").alias("to"))
+    homes = light.where("not is_stored").select("id", "ord").join(stored, "id").select("ord", "to.home", col("to.district").alias("__d"))
+    begin = light.join(homes, "ord", "left").drop("id")
+    # Where the times of a record can matter: in the district of its event, in a slot as long as the widest tolerance.
+    zone = F.concat_ws("/", F.coalesce("__d", "district"), col("ends_at").isNull().cast("string"))
+    slot = F.when(col("ends_at").isNull(), _slot(C.NO_END_ASSUMED_OVER)).otherwise(_slot(C.TIME_TOLERANCE))
+    begin = begin.withColumns({"zone": zone, "slot": slot}).drop("__d")
+    alone = {"c": F.coalesce("home", "ord"), "was": F.coalesce("home", "ord"), "changed": F.lit(True), "here": F.lit(True)}  # each an event
+    assigned, at = written(begin.withColumns(alone), "assigned")
+    size = whole = assigned.count()
+    active, guessed, read = assigned, whole <= TOGETHER, []
+    while size:
+        # Few records are folded in order, which is right at once but for what lies beyond them.
+        decided = (_folded(active.select(*_FOLDED, F.lit(0).alias("part")), "part") if size <= TOGETHER else decide(active)) if guessed else guesses(active)
+        both = assigned.drop("here").join(decided.join(active.where("here").select("ord", "here"), "ord", "right"), "ord", "left")
+        both = both.withColumn("next", F.when(col("here") & ~col("is_stored") & col("home").isNull(), F.coalesce("next", "ord")).otherwise(col("c")))
+        both = both.withColumns({"changed": col("next") != col("c"), "was": col("c"), "c": col("next")}).select(*assigned.columns)
+        (assigned, at), old = written(both, "assigned"), at
+        remove_folder(spark, old)
+        if size == whole <= TOGETHER:
             break
-    states = versions(light.join(assigned.select("ord", "c"), "ord"), sources).where("upto is null")
-    final = states.select("c", *[col(x).alias(f"final_{x}") for x in ("kind", "starts_at", "ends_at")])
-    out = records.join(assigned.select("ord", "c"), "ord").join(final, "c")
-    out, _ = written(out, "clustered")
-    for path in (light_at, tied_at, sources_at, at):
+        if guessed:
+            active, last = written(_active(assigned), "active")
+            read.append(last)
+        else:
+            active, guessed = assigned, True
+        size = active.count()
+    states = versions(_known(assigned)).where("upto is null")
+    final = assigned.select("ord", "c").join(states.select("c", *[col(x).alias(f"final_{x}") for x in ("kind", "starts_at", "ends_at")]), "c")
+    out, _ = written(records.join(final, "ord"), "clustered")
+    for path in (at, light_at, *read):
         remove_folder(spark, path)
     return out
 

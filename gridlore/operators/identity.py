@@ -129,8 +129,8 @@ def dedupe(records: DataFrame) -> DataFrame:
 def membership(records: DataFrame) -> DataFrame:
     """(id, event): the event of each record of a batch, by the id that ``dedupe`` gives it."""
     members = clusters.cluster(clusters.ordered(_prepared(records, False)))
-    event = F.substring_index(F.expr("substring(c, 2)"), "\x01", 1)
-    return members.select("id", event.alias("event"))
+    first = members.where("ord = c").select("c", col("id").alias("event"))
+    return members.select("id", "c").join(first, "c").select("id", "event")
 
 
 def store(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -22,25 +22,77 @@ def ded_same(v):
     return identity.same_event_pairs(v.outages, v.outages).where("a < b")
 
 
-@query("o_ded_batch")
-@query("o_agg_merge")
-@query("o_udaf_merge")
+_KEY = "regexp_replace(regexp_extract(source_url, '^https?://([^/]+)', 1), '^www\\.', '') || '#' || regexp_extract(source_url, '/n([0-9]+)-', 1)"
+
+
+def _fold(select: str, stored: str = "false", both: str = "true") -> str:
+    """The fold of v_outages as a recursive query: blocks that no match can leave, in each the records by id, the
+    state a list of events. ``stored`` says which rows are events from the start."""
+    r, c = "r", "c"
+    near = lambda field, minutes: f"abs(epoch_us({c}.{field}) - epoch_us({r}.{field})) <= {minutes}::BIGINT * 60000000"
+    match = f"""(({c}.s = {r}.s AND {c}.e IS NOT DISTINCT FROM {r}.e AND (list_has_all({c}.keys, {r}.keys) OR list_has_all({r}.keys, {c}.keys)))
+      OR (list_has_any({c}.keys, {r}.keys) AND CASE WHEN {c}.e IS NULL AND {r}.e IS NULL AND {c}.kind = 'fault' AND {r}.kind = 'fault' THEN {near("s", 360)}
+        ELSE {near("s", 15)} AND CASE WHEN {c}.e IS NULL OR {r}.e IS NULL THEN {c}.e IS NULL AND {r}.e IS NULL ELSE {near("e", 15)} END END))"""
+    once = lambda x: f"CASE WHEN len({x}) = 2 AND {x}[1] = {x}[2] THEN {x}[1:1] ELSE {x} END"
+    takes = "(r.off AND NOT c.off)"
+    begun = lambda t: f"{{'id': r.id, 'kind': r.kind, 's': r.s, 'e': r.e, 'keys': r.keys, 'areas': r.areas, 'urls': [r.url], 'off': r.off, 'ids': [r.id], 'wide': r.wide, 'sure': r.sure, 'p': r.p, 'i': r.i, 't': {t}}}"
+    merged = f"""{{'id': c.id, 'kind': CASE WHEN {takes} THEN r.kind ELSE c.kind END,
+      's': CASE WHEN c.e IS NULL AND r.e IS NULL AND c.kind = 'fault' AND r.kind = 'fault' THEN least(c.s, r.s) WHEN {takes} THEN r.s ELSE c.s END,
+      'e': CASE WHEN {takes} THEN r.e ELSE c.e END, 'keys': list_distinct(list_concat(c.keys, r.keys)),
+      'areas': list_concat({once("c.areas")}, list_filter({once("r.areas")}, lambda x: NOT list_contains(c.areas, x))),
+      'urls': CASE WHEN list_contains(c.urls, r.url) THEN c.urls ELSE list_append(c.urls, r.url) END, 'off': c.off OR (r.off AND NOT list_contains(c.urls, r.url)),
+      'ids': list_append(c.ids, r.id), 'wide': c.wide OR r.wide, 'sure': c.sure OR r.sure, 'p': least(c.p, r.p), 'i': greatest(c.i, r.i), 't': CASE WHEN c.t = 0 THEN r.n ELSE c.t END}}"""
+    return f"""WITH RECURSIVE o AS (SELECT *, {_KEY} AS url, source_kind = 'official' AS off, ({stored}) AS known, ends_at IS NULL AS is_open,
+      coalesce(date_diff('microsecond', lag(starts_at) OVER b, starts_at) > CASE WHEN ends_at IS NULL THEN 4320 ELSE 15 END::BIGINT * 60000000, true)::INT AS gap
+      FROM v_outages WHERE {both} WINDOW b AS (PARTITION BY district, ends_at IS NULL ORDER BY starts_at)),
+    m AS (SELECT *, district || '/' || is_open || '/' || sum(gap) OVER (PARTITION BY district, is_open ORDER BY starts_at RANGE UNBOUNDED PRECEDING) AS block FROM o),
+    r AS (SELECT block, district, id, kind, starts_at AS s, ends_at AS e, area_keys AS keys, areas, url, off, known, scope = 'district' AS wide, confidence = 'high' AS sure,
+      published_at AS p, ingested_at AS i, row_number() OVER (PARTITION BY block, known ORDER BY id) AS n FROM m),
+    f AS (SELECT block, any_value(district) AS district, 0::BIGINT AS n, coalesce(list({begun("0::BIGINT")} ORDER BY id) FILTER (known), []) AS cs FROM r GROUP BY block
+      UNION ALL SELECT block, district, n, CASE WHEN k IS NULL THEN list_append(cs, {begun("r.n")})
+        ELSE list_transform(cs, lambda c, i: CASE WHEN i = k THEN {merged} ELSE c END) END
+      FROM (SELECT f.block, f.district, r.n, f.cs, r, list_min(list_filter(list_transform(f.cs, lambda c, i: CASE WHEN {match} THEN {{'u': c.t = 0, 't': c.t, 'i': i}} END), lambda x: x IS NOT NULL)).i AS k
+        FROM f JOIN r ON r.block = f.block AND r.n = f.n + 1 AND NOT r.known)),
+    z AS (SELECT district, unnest(arg_max(cs, n)) AS c FROM f GROUP BY block, district)
+    {select}"""
+
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
+_FACTS = f"c.id AS id, c.kind AS kind, district, {_ISO.format('c.s')} AS starts_at, {_ISO.format('c.e')} AS ends_at, array_to_string(c.areas, '|') AS areas, len(c.ids) AS n_members"
+_MERGED = f"""SELECT {_FACTS}, len(c.urls) AS n_sources, {_ISO.format('c.p')} AS published_at, {_ISO.format('c.i')} AS ingested_at,
+  CASE WHEN c.sure THEN 'high' ELSE 'low' END AS confidence, CASE WHEN c.wide THEN 'district' ELSE 'places' END AS scope FROM z"""
+
+
+@query("o_ded_batch", _fold("SELECT unnest(c.ids) AS id, c.id AS event FROM z"), "v_outages")
 def ded_batch(v):
-    """An ordered fold, tested against its plain form; its invariants have an oracle below."""
-    return identity.dedupe(v.outages).select("id", "kind", "district", "starts_at", "ends_at", "areas", "confidence", "scope", "members")
+    """The event of each record."""
+    return identity.membership(v.outages)
+
+
+@query("o_agg_merge", _fold(_MERGED), "v_outages")
+@query("o_udaf_merge", _fold(_MERGED), "v_outages")
+def agg_merge(v):
+    """The records that events merge into."""
+    merged = identity.dedupe(v.outages).withColumn("n_sources", F.size("sources"))
+    return merged.select("id", "kind", "district", "starts_at", "ends_at", "areas", "n_members", "n_sources", "published_at", "ingested_at", "confidence", "scope")
 
 
 @query("o_ded_invariants", "SELECT district, count(*) AS members, array_to_string(list_sort(list_distinct(flatten(list(area_keys)))), '|') AS keys FROM v_outages GROUP BY 1", "v_outages")
 def ded_invariants(v):
-    merged = identity.dedupe(v.outages).select("district", "members", live.area_keys(F.col("areas")).alias("keys"))
-    return merged.groupBy("district").agg(F.sum(F.size("members")).alias("members"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+    merged = identity.dedupe(v.outages).select("district", "n_members", live.area_keys(F.col("areas")).alias("keys"))
+    keys = merged.select("district", F.explode("keys").alias("key")).groupBy("district").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return merged.groupBy("district").agg(F.sum("n_members").alias("members")).join(keys, "district")
 
 
-@query("o_ded_store")
-@query("o_jn_stored")
+_WRITTEN = _fold(f"SELECT {_FACTS}, NOT c.known AS created FROM (SELECT district, c, c.id IN (SELECT id FROM r WHERE known) AS k FROM z WHERE c.t > 0)".replace("c.known", "k"), "event_id % 10 <> 3", "(event_id % 10 = 3 OR cancelled_at IS NULL)")
+
+
+@query("o_ded_store", _WRITTEN, "v_outages")
+@query("o_jn_stored", _WRITTEN, "v_outages")
 def ded_store(v):
+    """What a batch of a tenth of the records writes to a table of the others."""
     written = identity.store(v.outages.where("event_id % 10 = 3"), v.outages.where("event_id % 10 <> 3"))
-    return written.select("id", "created", "district", "starts_at", "ends_at", "areas", "members")
+    return written.select("id", "created", "kind", "district", "starts_at", "ends_at", "areas", "n_members")
 
 
 def _siblings(descending: bool) -> str:
@@ -86,9 +138,6 @@ def scope(v):
     return v.outages.select("id", F.when(kept, "district").otherwise("places").alias("scope"))
 
 
-_KEY = "regexp_replace(regexp_extract(source_url, '^https?://([^/]+)', 1), '^www\\.', '') || '#' || regexp_extract(source_url, '/n([0-9]+)-', 1)"
-
-
 @query("o_src_1", f"SELECT id, {_KEY} AS article FROM v_outages", "v_outages")
 def src_1(v):
     return v.outages.select("id", identity.article_key(F.col("sources")[0]["url"]).alias("article"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlore.functions import text as tx
+from gridlore.operators import clusters
 from gridlore.operators import identity as idn
 from tests.plain_identity import fold, match_rows
 
@@ -95,8 +96,9 @@ def _random(rng, n, starts, ids=None, articles=None):
     ]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_rounds_equal_the_fold(spark, seed):
+@pytest.mark.parametrize("seed, together", [(0, 10_000), (1, 10_000), (2, 10_000), (3, 10_000), (2, 25), (3, 25)])
+def test_rounds_equal_the_fold(spark, seed, together, monkeypatch):
+    monkeypatch.setattr(clusters, "TOGETHER", together)
     rng = random.Random(seed)
     starts = (lambda: rng.choice([0, 5, 10, 20, 400, 4000, 9000]) + rng.randrange(12)) if seed % 2 else (lambda: rng.randrange(1500))
     rows = _random(rng, 150, starts, articles=40 if seed > 1 else None)
@@ -108,8 +110,9 @@ def test_rounds_equal_the_fold(spark, seed):
     assert {r["id"]: r["event"] for r in idn.membership(frame(spark, rows)).collect()} == events
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_rounds_equal_the_fold_into_stored_rows(spark, seed):
+@pytest.mark.parametrize("seed, together", [(0, 10_000), (1, 10_000), (2, 20)])
+def test_rounds_equal_the_fold_into_stored_rows(spark, seed, together, monkeypatch):
+    monkeypatch.setattr(clusters, "TOGETHER", together)
     rng = random.Random(10 + seed)
     starts = lambda: rng.randrange(900)
     stored = _random(rng, 60, starts, articles=30)
@@ -121,8 +124,9 @@ def test_rounds_equal_the_fold_into_stored_rows(spark, seed):
     assert sorted(str((*_shown(r, r["n_members"]), r["created"])) for r in found) == sorted(str((*_shown(e, len(e["members"])), e["created"])) for e in expected)
 
 
-def test_one_event_of_most_records(spark):
+def test_one_event_of_most_records(spark, monkeypatch):
     """An open fault that falls back and back, with a third of all rows: no block and no event is gathered."""
+    monkeypatch.setattr(clusters, "TOGETHER", 50)
     rng = random.Random(4)
     rows = [record(f"{k:05d}", "fault", 60 * 24 * 10 - 3 * k, None, "girne", ("Alfa",), official=False) for k in range(400)]
     rows += [record(f"x{k:05d}", "fault", rng.randrange(60 * 24 * 10), None, "girne", ("Beta", "Gama")[k % 2 :], official=False) for k in range(300)]
