@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
-from gridlore.plans import crawling, events, places, reading, sources, storing, streams, texts, times, totals  # noqa: E402,F401
+from gridlore.plans import crawling, events, outlets, places, reading, sources, storing, streams, texts, times, totals  # noqa: E402,F401
