@@ -166,35 +166,56 @@ def _meta(html: Column, key: str, *named_by: str) -> Column:
     return attribute(F.get(wanted, F.lit(0)), "content")
 
 
+def _line(markup: Column) -> Column:
+    return tx.collapse_space(tx.html_to_text(F.coalesce(markup, F.lit(""))))
+
+
+def _headline(html: Column, bare: Column) -> Column:
+    shown = F.filter(F.transform(elements(bare, "h1"), lambda e: _line(e["inner"])), lambda x: x != "")
+    declared = _line(F.coalesce(_meta(html, "og:title", "property", "name"), _inner(html, "title")))
+
+    def chosen(h: Column) -> Column:
+        agreeing = F.filter(h["shown"], lambda x: (h["declared"] != "") & (h["declared"].startswith(x) | x.startswith(h["declared"])))
+        return F.coalesce(F.when(F.size(h["shown"]) > 1, F.get(agreeing, F.lit(0))), F.get(h["shown"], F.lit(0)), h["declared"])
+
+    return tm.once(F.struct(shown.alias("shown"), declared.alias("declared")), chosen)
+
+
 def headline(html: Column) -> Column:
     """The first h1; of several the one that agrees with the declared title; the declared title without any."""
-    line = lambda x: tx.collapse_space(tx.html_to_text(F.coalesce(x, F.lit(""))))
-    shown = F.filter(F.transform(elements(without_chrome(html), "h1"), lambda e: line(e["inner"])), lambda x: x != "")
-    declared = line(F.coalesce(_meta(html, "og:title", "property", "name"), _inner(html, "title")))
-    agreeing = F.filter(shown, lambda x: (declared != "") & (declared.startswith(x) | x.startswith(declared)))
-    return F.coalesce(F.when(F.size(shown) > 1, F.get(agreeing, F.lit(0))), F.get(shown, F.lit(0)), declared)
+    return tm.once(F.struct(html.alias("html"), without_chrome(html).alias("bare")), lambda x: _headline(x["html"], x["bare"]))
 
 
-def summary(html: Column) -> Column:
-    """The page's summary, or nothing: what is marked as its description, or by its class, or declared."""
-    bare = without_chrome(html)
-    stated = (
+def _summary(html: Column, bare: Column) -> Column:
+    stated = F.array(
         content_of(bare, lambda h: attribute(h, "itemprop") == "description"),
         content_of(bare, lambda h: attribute(h, "class").rlike("|".join(_SUMMARY_CLASSES))),
         F.coalesce(_meta(html, "og:description", "property"), _meta(html, "description", "name")),
     )
-    long = lambda t: F.when(F.char_length(t) > _LEAST_TEXT, t)
-    return F.coalesce(*[long(tx.html_to_text(x)) for x in stated], F.lit(""))
+    plain = F.filter(F.transform(stated, tx.html_to_text), lambda t: F.char_length(t) > _LEAST_TEXT)
+    return F.coalesce(F.get(plain, F.lit(0)), F.lit(""))
+
+
+def summary(html: Column) -> Column:
+    """The page's summary, or nothing: what is marked as its description, or by its class, or declared."""
+    return tm.once(F.struct(html.alias("html"), without_chrome(html).alias("bare")), lambda x: _summary(x["html"], x["bare"]))
 
 
 def article(html: Column) -> Column:
     """(title, body): the paragraphs, led by the summary unless one of them has it."""
-    paragraphs = F.transform(elements(without_chrome(html), "p"), lambda e: tx.html_to_text(e["inner"]))
-    paragraphs = F.filter(paragraphs, lambda x: F.char_length(x) > _LEAST_TEXT)
-    lead = summary(html)
-    known = (lead == "") | F.exists(paragraphs, lambda p: p.contains(F.substring(lead, 1, _LEAD)))
-    body = F.array_join(F.when(known, paragraphs).otherwise(F.array_prepend(paragraphs, lead)), "\n")
-    return F.struct(headline(html).alias("title"), body.alias("body"))
+
+    def parts(x: Column) -> Column:
+        paragraphs = F.transform(elements(x["bare"], "p"), lambda e: tx.html_to_text(e["inner"]))
+        paragraphs = F.filter(paragraphs, lambda p: F.char_length(p) > _LEAST_TEXT)
+        return F.struct(_headline(x["html"], x["bare"]).alias("title"), paragraphs.alias("paragraphs"), _summary(x["html"], x["bare"]).alias("lead"))
+
+    def whole(a: Column) -> Column:
+        known = (a["lead"] == "") | F.exists(a["paragraphs"], lambda p: p.contains(F.substring(a["lead"], 1, _LEAD)))
+        body = F.array_join(F.when(known, a["paragraphs"]).otherwise(F.array_prepend(a["paragraphs"], a["lead"])), "\n")
+        return F.struct(a["title"].alias("title"), body.alias("body"))
+
+    bare = F.struct(html.alias("html"), without_chrome(html).alias("bare"))
+    return tm.once(tm.once(bare, parts), whole)
 
 
 def article_date(html: Column) -> Column:
@@ -202,11 +223,15 @@ def article_date(html: Column) -> Column:
     structured data (with the rank of its name), its time tag."""
     stated = F.filter(heads(html), lambda h: attribute(h, "content").isNotNull())
     named = F.transform(stated, lambda h: F.struct(F.lower(F.trim(attribute(h, "property", "name", "itemprop"))).alias("key"), attribute(h, "content").alias("value")))
-    of_key = lambda key: F.get(F.filter(named, lambda n: n["key"] == key), F.lit(0))["value"]
     linked = _first(html, r'(?i)"datePublished"\s*:\s*"([^"]+)"')
     timed = F.get(F.filter(F.transform(heads(html, "time"), lambda h: attribute(h, "datetime")), lambda x: x.isNotNull()), F.lit(0))
-    ranked = [F.coalesce(of_key(k), linked) if k == "datepublished" else of_key(k) for k in _DATE_KEYS]
-    return F.coalesce(*map(stated_instant, [*ranked, timed]))
+
+    def ranked(found: Column) -> Column:
+        of_key = lambda key: F.get(F.filter(found["named"], lambda n: n["key"] == key), F.lit(0))["value"]
+        return F.array(*[F.coalesce(of_key(k), found["linked"]) if k == "datepublished" else of_key(k) for k in _DATE_KEYS], found["timed"])
+
+    candidates = tm.once(F.struct(named.alias("named"), linked.alias("linked"), timed.alias("timed")), ranked)
+    return F.get(F.filter(F.transform(candidates, stated_instant), lambda t: t.isNotNull()), F.lit(0))
 
 
 def robots_rules(text: Column) -> Column:
