@@ -6,18 +6,23 @@ same tables. Steps keep their order: store, retract, resolve, queue, mark read,
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
+from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridlore import constants as C
 from gridlore.functions import text as tx
+from gridlore.functions import time as tm
 from gridlore.operators import live, resolve, store
 from gridlore.streaming.snapshots import Snapshots
 
 col = F.col
+log = logging.getLogger(__name__)
 _SOURCE = "struct<name:string,url:string,kind:string>"
 ANNOUNCEMENT = f"url string, source {_SOURCE}, title string, body string, published_at timestamp, fetched_at timestamp"
 OUTAGES = (
@@ -29,11 +34,57 @@ SEEN = "url string, content_hash string, attempts int, parsed_ok boolean, first_
 RUNS = "batch bigint, started_at timestamp, ok boolean, read bigint, created bigint, updated bigint, queued bigint, sources array<string>, failed array<string>"
 
 
+def _day(at: str) -> Column:
+    return F.date_format(at, "yyyy-MM-dd")
+
+
+#: What a batch writes for itself; gone when it has come to its end.
+_OWN = ("read", "parsed", "outcomes", "written", "after")
+
+
+def _reach(parsed: DataFrame) -> set[str] | None:
+    """Days of stored records that the records, retractions and repairs of a batch can mean."""
+    low, high = F.min(F.least("starts_at", "resolved_at")), F.max(F.greatest("starts_at", "resolved_at"))
+    found = parsed.agg((low - tm.minutes(C.RESOLUTION_WINDOW)).alias("low"), (high + tm.minutes(C.CANDIDATE_WINDOW)).alias("high")).first()
+    if found["low"] is None:
+        return set()
+    first, last = found["low"].date(), found["high"].date()
+    return {(first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1)}
+
+
+def _store(parsed: DataFrame, version: int, tables: Snapshots, now: Column) -> tuple[DataFrame, Observation]:
+    """Store, retract and resolve: reads the days that the batch can mean, rewrites those that it changes."""
+    stored = tables.read("outages", OUTAGES, version, _reach(parsed))
+    records = parsed.where("role = 'record'").dropDuplicates(["id", "url"])
+    counts = Observation()
+    merged = store.identity.store(records, live.candidates(stored, records).withColumn("continuation", F.lit(False)))
+    merged = merged.observe(counts, F.count(F.when(col("created"), 1)).alias("created"), F.count(F.when(~col("created"), 1)).alias("updated"))
+    written = tables.put("written", version, merged)
+    rows = written.withColumn("area_keys", live.area_keys(col("areas")))
+    columns = StructType.fromDDL(OUTAGES).names
+    facts = [c for c in columns if c not in ("cancelled_at", "cancelled_reason", "updated_at")]
+    after = store.upsert(stored, rows.select(*facts), now)
+    after = store.retract(after.withColumn("continuation", F.lit(False)), parsed.where("role = 'retraction'"), now)
+    # Repairs count in the order in which they were announced, however the batch is stored.
+    closing = parsed.where("role = 'resolution'").select("district", "area_keys", "resolved_at", F.struct("published_at", "url", "entry").alias("ordinal"))
+    after = tables.put("after", version, store.resolve(after, closing).select(*columns))
+    # A record changes the day where it is and, where its start moves, the day where it was.
+    image = lambda df, name: df.select("id", F.struct(_day("starts_at").alias("day"), F.xxhash64(*columns).alias("hash")).alias(name))
+    both = image(stored, "was").join(image(after, "now"), "id", "full_outer").where(~col("was").eqNullSafe(col("now")))
+    days = [r["day"] for r in both.select(F.explode(F.array("was.day", "now.day")).alias("day")).where("day is not null").distinct().collect()]
+    tables.replace("outages", version, after.where(_day("starts_at").isin(days)), _day("starts_at"), days)
+    return written, counts
+
+
 def run_batch(
     batch: DataFrame, version: int, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, now=None, sources: Sequence[str] | None = None, failed_sources: Sequence[str] = ()
 ) -> None:
     """One run over a batch of announcements. The run is logged even where it fails; it is a success where
-    its records are stored and, with ``sources`` given, at least one of them was read."""
+    its records are stored and, with ``sources`` given, at least one of them was read.
+
+    What it writes grows with the batch: records by the day of their start and seen addresses by the day when they
+    were first seen, of which those days are rewritten that the batch changes; the queue and the log are appended to.
+    Counts are observed as the rows are written."""
     spark = batch.sparkSession
     now = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
     started = spark.range(1).select(now.alias("n")).first()["n"]
@@ -42,34 +93,27 @@ def run_batch(
         seen = tables.read("seen", SEEN, version)
         last = batch.groupBy("url").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "url"]), "fetched_at").alias("r")).select("url", "r.*")
         # What later steps read more than once is written: answers are paid for, and merging is the longest step.
-        read = tables.put("read", version, resolve.extract(store.unread(last, seen), extractor))
+        read_count, queue_count = Observation(), Observation()
+        unread = resolve.extract(store.unread(last, seen), extractor).observe(read_count, F.count(F.lit(1)).alias("read"))
+        read = tables.put("read", version, unread)
         parsed = tables.put("parsed", version, resolve.resolve_announcements(read, gazetteer))
         outcomes = tables.put("outcomes", version, resolve.outcomes(read, gazetteer))
-        stored = tables.read("outages", OUTAGES, version)
-        records = parsed.where("role = 'record'").dropDuplicates(["id", "url"])
-        merged = store.identity.store(records, live.candidates(stored, records).withColumn("continuation", F.lit(False)))
-        written = tables.put("written", version, merged)
-        rows = written.withColumn("area_keys", live.area_keys(col("areas")))
-        columns = StructType.fromDDL(OUTAGES).names
-        facts = [c for c in columns if c not in ("cancelled_at", "cancelled_reason", "updated_at")]
-        after = store.upsert(stored, rows.select(*facts), now)
-        after = store.retract(after.withColumn("continuation", F.lit(False)), parsed.where("role = 'retraction'"), now)
-        # Repairs count in the order in which they were announced, however the batch is stored.
-        closing = parsed.where("role = 'resolution'").select("district", "area_keys", "resolved_at", F.struct("published_at", "url", "entry").alias("ordinal"))
-        tables.write("outages", version, store.resolve(after, closing).select(*columns))
+        _, store_count = _store(parsed, version, tables, now)
         failed = outcomes.where("status = 'failed'").join(read, "url")
         text = tx.collapse_space(F.concat_ws(". ", "title", "body"))
-        queue = tables.read("queue", QUEUE, version)
-        new = store.enqueue(queue, failed.select(col("url").alias("source_url"), text.alias("raw_text"), "reason"), now)
-        tables.write("queue", version, queue.unionByName(new))
+        new = store.enqueue(tables.read("queue", QUEUE, version), failed.select(col("url").alias("source_url"), text.alias("raw_text"), "reason"), now)
+        tables.append("queue", version, new.observe(queue_count, F.count(F.lit(1)).alias("queued")), _day("created_at"))
         marked = read.join(outcomes, "url").select("url", "content_hash", (col("status") != "failed").alias("ok"), F.lit(0).alias("ordinal"))
-        tables.write("seen", version, store.mark_read(seen, marked, now))
-        counts = written.agg(F.count(F.when(col("created"), 1)).alias("created"), F.count(F.when(~col("created"), 1)).alias("updated")).first().asDict()
-        counts |= {"read": read.count(), "queued": tables.read("queue", QUEUE, version + 1).count() - queue.count()}
+        again = store.mark_read(seen, marked, now)
+        days = [r["day"] for r in again.join(marked.select("url"), "url", "left_semi").select(_day("first_seen").alias("day")).distinct().collect()]
+        tables.replace("seen", version, again.where(_day("first_seen").isin(days)), _day("first_seen"), days)
+        counts = {k: v for o in (read_count, store_count, queue_count) for k, v in o.get.items()}
         ok = sources is None or len(sources) > 0
     finally:
         row = [(version, started, ok, *(counts.get(k, 0) for k in ("read", "created", "updated", "queued")), list(sources or ()), list(failed_sources))]
-        tables.write("runs", version, tables.read("runs", RUNS, version).unionByName(spark.createDataFrame(row, RUNS)))
+        tables.append("runs", version, spark.createDataFrame(row, RUNS), F.lit("all"))
+        for table in _OWN:
+            tables.drop(table)
 
 
 def run_sources(sources: Mapping[str, Callable[[], DataFrame]], version: int, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, now=None) -> None:
@@ -80,11 +124,14 @@ def run_sources(sources: Mapping[str, Callable[[], DataFrame]], version: int, ta
         try:
             tables.write(f"fetched-{name}", version, fetch())
             read.append(name)
-        except Exception:  # whatever a source does, the rest goes on; the run's row names it
+        except Exception as why:  # whatever a source does, the rest goes on; the run's row names it
+            log.warning("source %s failed: %s", name, why)
             failed.append(name)
-    fetched = [tables.spark.read.schema(ANNOUNCEMENT).parquet(f"{tables.root}/fetched-{name}/v={version}") for name in read]
+    fetched = [tables.read(f"fetched-{name}", ANNOUNCEMENT, version + 1) for name in read]
     batch = reduce(DataFrame.unionByName, fetched) if fetched else tables.spark.createDataFrame([], ANNOUNCEMENT)
     run_batch(batch, version, tables, extractor, gazetteer, now, read, failed)
+    for name in read:
+        tables.drop(f"fetched-{name}")
 
 
 def follow(announcements: DataFrame, tables: Snapshots, extractor, gazetteer: resolve.Gazetteer, checkpoint: str, once: bool = True, now=None):
