@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from gridlore.operators import resolve
 from gridlore.plans.registry import query
 from gridlore.session import shared_folder
-from gridlore.streaming import ingest, seen
+from gridlore.streaming import ingest, late, seen
 from gridlore.streaming.snapshots import Snapshots
-from gridlore.views import NOW
+from gridlore.constants import DISTRICT_IDS
+from gridlore.views import NOW, _at
 
 _NOW = datetime.fromisoformat(NOW)
 _ENTRY = """concat('{"outages":[{"kind":"', if(r = 2, 'fault', 'planned'), '","date":"', day, '","start":"', if(r = 2, '22:00', '09:00'), '",',
@@ -162,3 +163,46 @@ def str_match(v):
     """Places of sentences, in the order in which they are named."""
     said = F.expr("array('Works in Place ' || user_id % 40 || ' and near PLACE ' || event_id % 40 || ', not in place 41')")
     return v.table("events").select("event_id", F.transform(resolve.match_areas(said, _gazetteer(v)), lambda m: m["name"]).alias("names"))
+
+
+_HOUR = "3600000"
+
+
+@query(
+    "o_stm_late",
+    f"""WITH RECURSIVE e AS (SELECT event_id::VARCHAR AS id, ['lefkosa', 'girne', 'gazimagusa', 'guzelyurt', 'iskele', 'lefke'][user_id % 6 + 1] AS district, 'place ' || event_id % 8 AS place_key,
+      epoch_ms(date_trunc('minute', ts)) AS w, event_type = 'signup' AS repair, CASE WHEN event_id % 3 = 0 THEN 72 ELSE 6 END * {_HOUR} AS reach FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY district, place_key ORDER BY w, id) AS n FROM e),
+    s AS (SELECT DISTINCT district, place_key, 0::BIGINT AS n, []::STRUCT(id VARCHAR, w BIGINT, k BIGINT)[] AS o, []::STRUCT(id VARCHAR, w BIGINT, k BIGINT, e BIGINT)[] AS d FROM e
+      UNION ALL SELECT district, place_key, n, CASE WHEN repair THEN [] WHEN hit IS NULL THEN list_append(o, {{'id': id, 'w': w, 'k': 1::BIGINT}})
+          ELSE list_transform(o, lambda f, i: CASE WHEN i = hit THEN {{'id': f.id, 'w': f.w, 'k': f.k + 1}} ELSE f END) END,
+        list_concat(d, CASE WHEN repair THEN list_transform(o, lambda f: {{'id': f.id, 'w': f.w, 'k': f.k, 'e': w}}) ELSE [] END)
+      FROM (SELECT s.district, s.place_key, r.n, r.id, r.w, r.repair, list_filter(s.o, lambda f: r.w - f.w <= 144 * {_HOUR}) AS o,
+          list_concat(s.d, list_transform(list_filter(s.o, lambda f: r.w - f.w > 144 * {_HOUR}), lambda f: {{'id': f.id, 'w': f.w, 'k': f.k, 'e': NULL::BIGINT}})) AS d,
+          list_position(list_transform(list_filter(s.o, lambda f: r.w - f.w <= 144 * {_HOUR}), lambda f: r.w - f.w <= r.reach), true) AS hit
+        FROM s JOIN r ON r.district = s.district AND r.place_key = s.place_key AND r.n = s.n + 1)),
+    z AS (SELECT district, place_key, arg_max(list_concat(d, list_transform(o, lambda f: {{'id': f.id, 'w': f.w, 'k': f.k, 'e': NULL::BIGINT}})), n) AS d FROM s GROUP BY ALL),
+    f AS (SELECT district, place_key, unnest(d) AS f FROM z)
+    SELECT district, place_key, f.id AS id, strftime(make_timestamp(f.w * 1000), '%Y-%m-%dT%H:%M:%SZ') AS starts_at, strftime(make_timestamp(f.e * 1000), '%Y-%m-%dT%H:%M:%SZ') AS ends_at, f.k::INT AS reports FROM f""",
+)
+def stm_late(v):
+    """Faults with their follow-ups and repairs of a stream in which a fifth of the reports comes a day late."""
+    own = late.session(v.spark)
+    source, to = shared_folder(v.spark, "reports"), shared_folder(v.spark, "late")
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    e = v.table("events").select(
+        F.col("event_id").cast("string").alias("id"), _at(DISTRICT_IDS, "user_id % 6").alias("district"), F.expr("'place ' || event_id % 8").alias("place_key"), minute.alias("at"),
+        F.expr("event_type = 'signup'").alias("repair"), F.expr("event_id % 3 = 0").alias("continuation"), F.expr("event_id % 5 = 0").alias("late"),
+    )
+    # Delivered four days at a time, in order; two rows of a far day let all that waits come to its end.
+    chunk = F.floor((F.unix_timestamp("at") / 86400 + F.when(F.col("late"), 1).otherwise(0)) / 4)
+    e = e.withColumn("chunk", chunk)
+    for c in sorted(r["chunk"] for r in e.select("chunk").distinct().collect()):
+        e.where(F.col("chunk") == c).drop("late", "chunk").write.mode("append").parquet(source)
+    far = v.spark.range(1).select(F.lit("far").alias("id"), F.lit("none").alias("district"), F.lit("none").alias("place_key"), F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(True).alias("repair"), F.lit(False).alias("continuation"))
+    for day in (0, 1):
+        far.withColumn("at", F.col("at") + F.make_dt_interval(F.lit(day))).write.mode("append").parquet(source)
+    reports = own.readStream.schema("id string, district string, place_key string, at timestamp, repair boolean, continuation boolean").option("maxFilesPerTrigger", 4).parquet(source)
+    out = late.follow_ups(reports).writeStream.outputMode("append").option("checkpointLocation", f"{to}/checkpoint")
+    out.trigger(availableNow=True).start(f"{to}/faults", format="parquet").awaitTermination()
+    return v.spark.read.schema(late.FAULTS).parquet(f"{to}/faults")
