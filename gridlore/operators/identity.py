@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore import constants as C
 from gridlore.functions import text as tx
-from gridlore.operators import clusters
+from gridlore.operators import cards, clusters
 
 col = F.col
 
@@ -145,45 +144,14 @@ def store(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return _collapse(members.join(touched, "c", "left_semi")).withColumn("created", ~col("is_stored")).drop("is_stored")
 
 
-def _cards(descending: bool):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["starts_at", "id"], ascending=[not descending, True])
-        start, end = (frame[c].to_numpy("datetime64[us]") for c in ("starts_at", "ends_at"))
-        ids, kinds, districts = (frame[c].to_numpy(object) for c in ("id", "kind", "district"))
-        apart = pd.Timedelta(minutes=C.SAME_START).to_timedelta64()
-        out, first = [], 0
-        for k in range(1, len(ids) + 1):
-            if k < len(ids) and abs(start[k] - start[first]) <= apart:
-                continue
-            members = range(first, k)
-            live = [m for m in members if pd.isna(end[m])]
-            lead = min(live, key=lambda m: start[m]) if live else max(members, key=lambda m: end[m])
-            rest = [m for m in members if m != lead]
-            out.append((ids[lead], kinds[lead], [districts[m] for m in rest], [ids[m] for m in rest]))
-            first = k
-        return pd.DataFrame(out, columns=["lead", "kind", "districts", "siblings"])
-
-    return run
-
-
 def group_siblings(records: DataFrame, descending: bool = False) -> DataFrame:
     """Cards of district-wide records of one kind that start within five minutes of an anchor, the first not
     yet taken in the direction of reading: (lead, siblings). Other records are cards of their own.
 
-    Anchors chain, so a kind's records may be cut only where more than five minutes lie between them; as
-    many neighbouring cuts as have some thousands of minutes with records go to one call.
+    ``cards`` finds the anchors.
     """
     wide = records.where("scope = 'district'").select("id", "kind", "district", "starts_at", "ends_at")
-    minute = F.date_trunc("minute", col("starts_at"))
-    spans = wide.groupBy("kind", minute.alias("__minute")).agg(F.min("starts_at").alias("lo"), F.max("starts_at").alias("hi"))
-    order = Window.partitionBy("kind").orderBy("__minute")
-    gap = (F.unix_micros("lo") - F.unix_micros(F.lag("hi").over(order))) / 60e6 > C.SAME_START
-    spans = spans.withColumns({"__gap": F.coalesce(gap, F.lit(False)), "__nth": F.row_number().over(order)})
-    # A call begins at the last gap at or before each thousandth minute with records.
-    at_gap = F.when(col("__gap"), F.floor(col("__nth") / 1000))
-    spans = spans.withColumn("__cut", F.coalesce(F.last(at_gap, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    cut = wide.withColumn("__minute", minute).join(spans.select("kind", "__minute", "__cut"), ["kind", "__minute"])
-    grouped = cut.groupBy("kind", "__cut").applyInPandas(_cards(descending), "lead string, kind string, districts array<string>, siblings array<string>")
+    grouped = cards.cards(wide, descending)
     none = F.array().cast("array<string>")
     single = records.where("scope <> 'district'").select(col("id").alias("lead"), "kind", none.alias("districts"), none.alias("siblings"))
     return grouped.unionByName(single)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
+from gridlore.operators import resolve
 from gridlore.plans.registry import query
 from gridlore.sources import feeds, web
 from gridlore.views import NOW, now
@@ -154,10 +155,32 @@ def json_sources(v):
     return v.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("o_flt_validate", "SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events WHERE (json_extract_string(props, '$.k'))::BIGINT > 3")
-@query("o_json_extract", "SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events WHERE (json_extract_string(props, '$.k'))::BIGINT > 3")
+#: Answers of an extractor, one kind of defect for each remainder: no JSON, no list, no object, an unknown kind, a day that the calendar has
+#: not, an unknown weekday, a start and an end that are no clock, no area of two letters, an unknown scope, a restoration that is no clock, flags
+#: that are missing. Two entries stand in each list, the second without a defect.
+_ANSWER = """case event_id % 14 when 0 then 'no answer at all' when 1 then '{"outages":"none"}' else concat('{"outages":[', case when event_id % 14 = 2 then 'null'
+  else concat('{"kind":"', if(event_id % 14 = 3, 'weather', if(event_id % 2 = 0, 'planned', 'fault')), '","date":"', if(event_id % 14 = 4, '2026-02-31', concat('2026-02-', lpad(1 + event_id % 28, 2, '0'))), '","weekday":',
+    if(event_id % 14 = 5, '"someday"', if(event_id % 3 = 0, '"monday"', 'null')), ',"start":', if(event_id % 14 = 6, '"24:00"', if(event_id % 5 = 0, 'null', '"9:05"')), ',"end":', if(event_id % 14 = 7, '"12:60"', '"17:30"'),
+    ',"areas":', if(event_id % 14 = 8, '["x"," "]', concat('["Place ', event_id % 40, '","y"]')), ',"scope":"', if(event_id % 14 = 9, 'island', if(event_id % 4 = 0, 'district', 'places')), '"', if(event_id % 14 = 11, '', concat(',"cancelled":', event_id % 6 = 0, ',"resolved":', event_id % 6 = 1)),
+    ',"restoredAt":', if(event_id % 14 = 10, '"late"', '"23:15"'), '}') end, ',{"kind":"rotating","date":"2026-03-01","weekday":null,"start":null,"end":null,"areas":["Place ', event_id % 7, '"]}]}') end"""
+_VALID = """WITH a AS (SELECT event_id, event_id % 14 AS d FROM events WHERE event_id % 14 > 1),
+  e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'planned' ELSE 'fault' END AS kind, '2026-02-' || lpad((1 + event_id % 28)::VARCHAR, 2, '0') AS date, CASE WHEN event_id % 3 = 0 THEN 'monday' END AS weekday,
+      CASE WHEN event_id % 5 <> 0 THEN '9:05' END AS start, '17:30' AS "end", 'Place ' || event_id % 40 AS areas, CASE WHEN d <> 9 AND event_id % 4 = 0 THEN 'district' ELSE 'places' END AS scope,
+      d <> 11 AND event_id % 6 = 0 AS cancelled, d <> 11 AND event_id % 6 = 1 AS resolved, CASE WHEN d <> 10 THEN '23:15' END AS restored_at FROM a WHERE d > 8
+    UNION ALL SELECT event_id, 'rotating', '2026-03-01', NULL, NULL, NULL, 'Place ' || event_id % 7, 'places', false, false, NULL FROM a) """
+
+
+@query("o_flt_validate", _VALID + "SELECT a.event_id, count(e.event_id) AS kept FROM (SELECT event_id FROM events WHERE event_id % 14 <> 0 AND event_id % 14 <> 1) a LEFT JOIN e ON e.event_id = a.event_id GROUP BY ALL UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 14 < 2")
 def flt_validate(v):
-    return v.table("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k > 3")
+    """How many entries of each answer are usable; null where it is no answer."""
+    return v.table("events").select("event_id", resolve.valid_entries(F.expr(_ANSWER)).alias("e")).select("event_id", F.when(F.col("e").isNotNull(), F.size("e")).alias("kept"))
+
+
+@query("o_json_extract", _VALID + 'SELECT event_id, kind, date, weekday, start, "end", areas, scope, cancelled, resolved, restored_at FROM e')
+def json_extract(v):
+    """The usable entries of answers, field by field."""
+    e = v.table("events").select("event_id", F.explode(resolve.valid_entries(F.expr(_ANSWER))).alias("e")).select("event_id", "e.*")
+    return e.select("event_id", "kind", "date", "weekday", "start", "end", "areas", "scope", "cancelled", "resolved", F.col("restoredAt").alias("restored_at"))
 
 
 @query("o_set_breadcrumbs", "SELECT id FROM v_outages", "v_outages")

@@ -62,3 +62,22 @@ def fold(incoming, stored=()):
             e["touched"] = True
             written.append(e)
     return events
+
+
+def plain_cards(rows, descending):
+    """Cards of district-wide rows, read one after the other."""
+    out = []
+    for kind in {r["kind"] for r in rows}:
+        sign = -1 if descending else 1
+        order = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (sign * r["starts_at"].timestamp(), r["id"]))
+        groups = []
+        for r in order:
+            if groups and _minutes(groups[-1][0]["starts_at"], r["starts_at"]) <= C.SAME_START:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        for g in groups:
+            live = [r for r in g if r["ends_at"] is None]
+            lead = min(live, key=lambda r: r["starts_at"]) if live else max(g, key=lambda r: r["ends_at"])
+            out.append((lead["id"], kind, tuple(r["district"] for r in g if r is not lead), tuple(r["id"] for r in g if r is not lead)))
+    return sorted(out)

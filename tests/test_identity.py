@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as tx
 from gridlore.operators import clusters
 from gridlore.operators import identity as idn
-from tests.plain_identity import fold, match_rows
+from tests.plain_identity import fold, match_rows, plain_cards
 
 T0 = datetime(2026, 8, 23, 6)
 SCHEMA = (
@@ -159,6 +159,17 @@ def test_siblings_depend_on_direction(spark):
     assert cards(True) == [("a", ()), ("b", ("c",))]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_cards_without_any_gap(spark, descending):
+    """A start a minute or two, days on end, and a third of all rows at one of them."""
+    rng = random.Random(5)
+    rows = [record(f"{k:05d}", rng.choice(["fault", "planned"]), 2 * k + rng.randrange(2), rng.choice([None, 60, 90]), rng.choice(["girne", "lefke"]), scope="district") for k in range(600)]
+    rows += [record(f"x{k:05d}", "fault", 700, rng.choice([60, 90]), "iskele", scope="district") for k in range(200)]
+    rows += [record(f"y{k}", "rotating", 5 * k + (k > 6), None, "girne", scope="district") for k in range(12)]
+    found = idn.group_siblings(frame(spark, rows), descending).collect()
+    assert sorted((r["lead"], r["kind"], tuple(r["districts"]), tuple(r["siblings"])) for r in found) == plain_cards(_plain(rows), descending)
+
+
 def test_open_records_lead(spark):
     rows = frame(spark, [record("a", "fault", 0, None, "girne", scope="district"), record("b", "fault", 0, 60, "lefke", scope="district"), record("c", "fault", 2, None, "guzelyurt", scope="district")])
     card = idn.group_siblings(rows).first()
