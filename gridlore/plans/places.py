@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlore import constants as C
@@ -81,29 +84,34 @@ def jn_searchlist(v):
     return pl.search_list(v.settlements, pl.eligible(v.settlements, _counts(v)), pl.darkness(_active(v), v.settlements))
 
 
-@query("o_jn_slug", "SELECT name, district FROM v_settlements WHERE replace(lower(name), ' ', '-') = 'place-12'", "v_settlements")
+@query("o_jn_slug", "SELECT name, district FROM v_sites WHERE replace(key, ' ', '-') = 'safak-17'", "v_sites")
 def jn_slug(v):
-    return v.settlements.where(tx.hyphens(F.col("name")) == "place-12").select("name", "district")
+    return v.sites.where(tx.hyphens(F.col("name")) == "safak-17").select("name", "district")
+
+
+def _ranked(rows, *order):
+    """The place of each row in the order of its district's page."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("district").orderBy(*order)))
 
 
-@query("o_srt_tr", "SELECT name FROM v_settlements", "v_settlements")
+@query("o_srt_tr", "SELECT district, name, row_number() OVER (PARTITION BY district ORDER BY c_custkey % 10, c_custkey::VARCHAR) AS rank FROM v_sites", "v_sites")
 def srt_tr(v):
-    return v.settlements.orderBy(F.collate(F.col("name"), "tr")).select("name")
+    return _ranked(v.sites, F.collate(F.col("name"), "tr")).select("district", "name", "rank")
 
 
-@query("o_srt_lng", "SELECT name, lng FROM v_settlements", "v_settlements")
+@query("o_srt_lng", "SELECT district, name, lng, row_number() OVER (PARTITION BY district ORDER BY lng, key) AS rank FROM v_sites", "v_sites")
 def srt_lng(v):
-    return v.settlements.orderBy("lng", "name").select("name", "lng")
+    return _ranked(v.sites, "lng", tx.fold_key(F.col("name"))).select("district", "name", "lng", "rank")
 
 
 @query(
     "o_srt_search",
-    """WITH r AS (SELECT name, CASE WHEN lower(name) LIKE '1%' OR lower(name) LIKE '% 1%' THEN 0 WHEN lower(name) LIKE '%1%' THEN 1 END AS rank FROM v_settlements)
-    SELECT name, rank FROM (SELECT * FROM r WHERE rank IS NOT NULL ORDER BY rank, name LIMIT 6)""",
-    "v_settlements",
+    """WITH r AS (SELECT *, CASE WHEN key LIKE 's%' OR key LIKE '% s%' THEN 0 WHEN key LIKE '%s%' THEN 1 END AS rank FROM v_sites)
+    SELECT name, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, c_custkey % 10, c_custkey::VARCHAR LIMIT 6""",
+    "v_sites",
 )
 def srt_search(v):
-    return pl.search(v.settlements, "1").select("name", "rank")
+    return pl.search(v.sites, "s").select("name", "rank")
 
 
 @query(
@@ -131,27 +139,32 @@ def jn_fuzzy(v):
     return pl.fuzzy(words, keys).select("word", "key", F.round("score", 6).alias("score"))
 
 
-@query("o_geo_4", "SELECT district, array_to_string(list_sort(list(lower(name))), '|') AS keys FROM v_settlements GROUP BY 1", "v_settlements")
+@query("o_geo_4", "SELECT DISTINCT district, key FROM v_sites", "v_sites")
 def geo_4(v):
-    return v.settlements.groupBy("district").agg(F.array_sort(F.collect_set(tx.fold_key(F.col("name")))).alias("keys"))
+    return v.sites.select("district", tx.fold_key(F.col("name")).alias("key")).distinct()
 
 
-_RING = [[32.6, 35.05], [33.2, 35.02], [33.5, 35.3], [32.9, 35.35]]
 _S = f"cos({pl._LATITUDE} * pi() / 180)"
 
 
 @query(
     "o_geo_1",
-    f"""WITH e(ax, ay, bx, b_y) AS (VALUES {", ".join(f"({a[0]}::DOUBLE * {_S}, {a[1]}::DOUBLE, {b[0]}::DOUBLE * {_S}, {b[1]}::DOUBLE)" for a, b in zip(_RING[1:] + _RING[:1], _RING, strict=True))}),
-    p AS (SELECT name, lng * {_S} AS x, lat AS y FROM v_settlements),
-    t AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) ** 2 + (b_y - ay) ** 2))) AS t FROM p, e)
+    f"""WITH v AS (SELECT n_regionkey AS region, n_nationkey // 5 AS k, 32.7::DOUBLE + 0.25::DOUBLE * n_regionkey + 0.2::DOUBLE * cos(2 * pi() * (n_nationkey // 5) / 5) AS lng, 35.2::DOUBLE + 0.12::DOUBLE * sin(2 * pi() * (n_nationkey // 5) / 5) AS lat FROM nation),
+    e AS (SELECT a.region, a.lng * {_S} AS ax, a.lat AS ay, b.lng * {_S} AS bx, b.lat AS b_y FROM v a JOIN v b ON a.region = b.region AND a.k = (b.k + 1) % 5),
+    p AS (SELECT name, n_regionkey AS region, lng * {_S} AS x, lat AS y FROM v_sites JOIN nation ON n_nationkey = c_nationkey),
+    t AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) ** 2 + (b_y - ay) ** 2))) AS t FROM p JOIN e USING (region))
     SELECT name, round(CASE WHEN count(*) FILTER ((ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax) % 2 = 1 THEN 0
       ELSE sqrt(min((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (b_y - ay)) ** 2)) * {pl._KM} END, 6) AS km FROM t GROUP BY name""",
-    "v_settlements",
+    "v_sites",
 )
 def geo_1(v):
-    ring = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in _RING])
-    return v.settlements.select("name", F.round(pl.ring_distance_km(ring, F.col("lng"), F.col("lat")), 6).alias("km"))
+    """Kilometres from each site to the polygon of its region, whose vertices are the region's nations."""
+    k = F.expr("cast(n_nationkey div 5 as double)")
+    vertex = F.array(0.25 * F.col("n_regionkey") + 32.7 + 0.2 * F.cos(2 * math.pi * k / 5), 0.12 * F.sin(2 * math.pi * k / 5) + 35.2)
+    nations = v.table("nation")
+    rings = nations.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), vertex.alias("at")))), lambda x: x["at"]).alias("ring"))
+    regions = nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey").join(rings, "n_regionkey")
+    return v.sites.join(regions, "c_nationkey").select("name", F.round(pl.ring_distance_km(F.col("ring"), F.col("lng"), F.col("lat")), 6).alias("km"))
 
 
 @query(
@@ -170,8 +183,8 @@ def geo_2(v):
 
 @query(
     "o_geo_3",
-    "SELECT name, round(lng * pi() / 180 * 100, 1) AS x, round(-ln(tan(pi() / 4 + lat * pi() / 360)) * 100, 1) AS y FROM v_settlements",
-    "v_settlements",
+    "SELECT name, round(lng * pi() / 180 * 100, 1) AS x, round(-ln(tan(pi() / 4 + lat * pi() / 360)) * 100, 1) AS y FROM v_sites",
+    "v_sites",
 )
 def geo_3(v):
-    return v.settlements.select("name", pl.mercator(F.col("lng"), F.col("lat")).alias("m")).select("name", "m.*")
+    return v.sites.select("name", pl.mercator(F.col("lng"), F.col("lat")).alias("m")).select("name", "m.*")

@@ -12,14 +12,13 @@ _NOW = f"TIMESTAMP '{NOW}'"
 _L = "timezone('Europe/Nicosia', timezone('UTC', {}))"
 _U = "timezone('UTC', timezone('Europe/Nicosia', {}))"
 _ISO = lambda c, a: f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ') AS {a}"
-#: Wall clocks every 20 minutes around both changes of a year.
-_WALLS = "SELECT k, TIMESTAMP '2026-10-25 00:00:00' + to_minutes(20 * k) AS w FROM range(24) AS t(k) UNION ALL SELECT 100 + k, TIMESTAMP '2027-03-28 00:00:00' + to_minutes(20 * k) FROM range(24) AS t(k)"
+#: A wall clock for each order: of a fourth of them on the day when clocks go back, of a fourth when they go forward.
+_WALLS = """SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN TIMESTAMP '2026-10-25' WHEN 1 THEN TIMESTAMP '2027-03-28' ELSE o_orderdate END + to_minutes((o_orderkey * 7 % 480)::INT) AS w FROM orders"""
 
 
 def _walls(v):
-    k = v.spark.range(24)
-    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp") + tm.minutes((F.col("id") * 20).cast("int"))
-    return k.select(F.col("id").alias("k"), at("2026-10-25").alias("w")).union(k.select(F.col("id") + 100, at("2027-03-28")))
+    day = F.expr("case o_orderkey % 4 when 0 then timestamp'2026-10-25' when 1 then timestamp'2027-03-28' else cast(o_orderdate as timestamp) end")
+    return v.table("orders").select(F.col("o_orderkey").alias("k"), (day + tm.minutes((F.col("o_orderkey") * 7 % 480).cast("int"))).alias("w"))
 
 
 @query("o_dt_local", f"SELECT id, {_ISO(_L.format('starts_at'), 'wall')} FROM v_outages", "v_outages")
@@ -108,10 +107,10 @@ def dt_iso(v):
     return v.table("events").select("event_id", tm.instant_of(F.date_format("ts", "yyyy-MM-dd"), F.lit("13:45")).alias("at"))
 
 
-@query("o_dt_valid", "SELECT k, try_strptime(d, '%Y-%m-%d') IS NOT NULL AS ok FROM (SELECT k, '2026-' || lpad((k // 32 % 13)::VARCHAR, 2, '0') || '-' || lpad((k % 32)::VARCHAR, 2, '0') AS d FROM range(416) AS t(k))")
+@query("o_dt_valid", "SELECT event_id AS k, try_strptime(d, '%Y-%m-%d') IS NOT NULL AS ok FROM (SELECT event_id, '2026-' || lpad((event_id // 32 % 13)::VARCHAR, 2, '0') || '-' || lpad((event_id % 32)::VARCHAR, 2, '0') AS d FROM events)")
 def dt_valid(v):
-    date = F.format_string("2026-%02d-%02d", (F.floor(F.col("id") / 32) % 13).cast("int"), (F.col("id") % 32).cast("int"))
-    return v.spark.range(416).select(F.col("id").alias("k"), tm.valid_date(date).alias("ok"))
+    date = F.format_string("2026-%02d-%02d", (F.floor(F.col("event_id") / 32) % 13).cast("int"), (F.col("event_id") % 32).cast("int"))
+    return v.table("events").select(F.col("event_id").alias("k"), tm.valid_date(date).alias("ok"))
 
 
 @query("o_dt_pubday", f"SELECT id, strftime({_L.format('published_at')}, '%Y-%m-%d %A') AS day FROM v_outages", "v_outages")

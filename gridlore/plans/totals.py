@@ -59,9 +59,16 @@ def agg_totalhours(v):
     return tt.total_and_peak(tt.monthly_totals(v.history.where("district = 'girne'"), now(HISTORY_NOW), "district"))
 
 
-@query("o_dt_spine", f"WITH {_SPINE} SELECT month FROM spine")
+@query(
+    "o_dt_spine",
+    f"WITH {_SPINE}, d AS (SELECT DISTINCT district FROM v_history), n AS (SELECT district, {_MONTH} AS month, count(*) AS n FROM v_history GROUP BY ALL) SELECT d.district, month, coalesce(n.n, 0) AS n FROM d CROSS JOIN spine LEFT JOIN n USING (district, month)",
+    "v_history",
+)
 def dt_spine(v):
-    return tt.month_spine(v.spark, now(HISTORY_NOW))
+    """Records of each district by month, months without any included."""
+    counts = v.history.groupBy("district", F.date_format(tm.local(F.col("starts_at")), "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    every = v.history.select("district").distinct().select("district", F.explode(tt.last_months(now(HISTORY_NOW))).alias("month"))
+    return every.join(counts, ["district", "month"], "left").select("district", "month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("o_mth_bar", f"WITH m AS ({_monthly()}) SELECT district, month, greatest(1, round(planned_hours / greatest(1, max(planned_hours + fault_hours) OVER (PARTITION BY district)) * 100))::INT AS bar FROM m", "v_history")

@@ -13,6 +13,10 @@ NOW = "2024-01-20 12:00:00"
 HISTORY_NOW = "1998-06-15 09:00:00"
 
 
+SITE_NAMES = ("Cihan", "Çatal", "Işık", "İnce", "Oba", "Ördek", "Su", "Şafak", "Uzun", "Ünlü")
+SITE_KEYS = ("cihan", "catal", "isik", "ince", "oba", "ordek", "su", "safak", "uzun", "unlu")
+
+
 def now(text: str = NOW):
     return F.lit(text).cast("timestamp")
 
@@ -76,6 +80,15 @@ class Views:
             F.expr("35.0 + id / 100.0").cast("double").alias("lat"), F.expr("32.5 + id * 7 % 40 * 3 / 100.0").cast("double").alias("lng"),
         )
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """A place for each customer, under names in the order of the Turkish alphabet."""
+        c = self.table("customer")
+        return c.select(
+            "c_custkey", "c_nationkey", F.concat(_at(SITE_NAMES, "c_custkey % 10"), F.lit(" "), "c_custkey").alias("name"), _at(DISTRICT_IDS, "c_custkey % 6").alias("district"),
+            F.expr("35.0D + cast(c_custkey * 37 % 500 as double) / 1000").alias("lat"), F.expr("32.4D + cast(c_custkey * 53 % 1300 as double) / 1000").alias("lng"),
+        )
+
     @cached_property
     def announcements(self) -> DataFrame:
         """The later half of events, one announcement an address: its last."""
@@ -136,6 +149,8 @@ SQL = {
   FROM orders JOIN (SELECT l_orderkey, min(l_shipdate)::TIMESTAMP AS e FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""",
     "v_settlements": f"""SELECT 'Place ' || k AS name, {_DISTRICT("k % 6")} AS district, 35.0::DOUBLE + k / 100.0 AS lat,
   32.5::DOUBLE + k * 7 % 40 * 3 / 100.0 AS lng FROM range(40) AS t(k)""",
+    "v_sites": f"""SELECT c_custkey, c_nationkey, {list(SITE_NAMES)}[c_custkey % 10 + 1] || ' ' || c_custkey AS name, {list(SITE_KEYS)}[c_custkey % 10 + 1] || ' ' || c_custkey AS key, {_DISTRICT("c_custkey % 6")} AS district,
+  35.0::DOUBLE + (c_custkey * 37 % 500)::DOUBLE / 1000 AS lat, 32.4::DOUBLE + (c_custkey * 53 % 1300)::DOUBLE / 1000 AS lng FROM customer""",
     "v_announce": """SELECT url, 'Notice ' || user_id AS title, props AS body, ts AS published_at, event_id FROM (
   SELECT *, 'https://www.outlet' || event_id % 5 || '.example/n' || event_id % 4000 AS url FROM events WHERE event_id % 2 = 1)
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY event_id DESC) = 1""",
