@@ -183,8 +183,11 @@ def json_extract(v):
     return e.select("event_id", "kind", "date", "weekday", "start", "end", "areas", "scope", "cancelled", "resolved", F.col("restoredAt").alias("restored_at"))
 
 
-@query("o_set_breadcrumbs", "SELECT id FROM v_outages", "v_outages")
+@query(
+    "o_set_breadcrumbs",
+    f"""SELECT id, '{{"@type":"BreadcrumbList","itemListElement":[{{"@type":"ListItem","position":1,"name":"home","item":"{_SITE}/"}},{{"@type":"ListItem","position":2,"name":"' || {_NAME} || '","item":"{_SITE}/district/' || district
+      || '"}},{{"@type":"ListItem","position":3,"name":"' || {_AREAS} || '","item":"{_SITE}/outage/' || {_SLUG} || '"}}]}}' AS json FROM v_outages""",
+    "v_outages",
+)
 def breadcrumbs(v):
-    return feeds.breadcrumbs_json(v.outages, _SITE).where(F.col("json").contains("BreadcrumbList")).select("id")
-
-
+    return feeds.breadcrumbs_json(v.outages, _SITE).select("id", "json")

@@ -8,6 +8,9 @@ from gridlore.functions import text as tx
 from gridlore.operators import live, store
 from gridlore.plans.events import _SAME
 from gridlore.plans.registry import query
+from gridlore.session import shared_folder
+from gridlore.streaming import ingest
+from gridlore.streaming.snapshots import Snapshots
 from gridlore.views import NOW, now
 
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -60,10 +63,18 @@ def snk_queue(v):
     return store.enqueue(queue, items.union(items), now()).select("fingerprint", "source_url", F.char_length("raw_text").cast("long").alias("n"))
 
 
-@query("o_snk_run", f"SELECT {_ISO('started_at')}, ok, created, queued FROM v_runs UNION ALL SELECT strftime({_NOW}, '%Y-%m-%dT%H:%M:%SZ'), true, 3, 1", "v_runs")
+@query("o_snk_run", f"SELECT {_ISO('started_at')}, ok, created, queued FROM v_runs", "v_runs")
 def snk_run(v):
-    row = v.spark.range(1).select(now().alias("started_at"), F.lit(True).alias("ok"), F.lit(3).cast("long").alias("created"), F.lit(1).cast("long").alias("queued"))
-    return v.runs.select("started_at", "ok", "created", "queued").unionByName(row)
+    """The log after its rows were appended by two batches, of which the second was repeated."""
+    none = F.array().cast("array<string>")
+    rows = v.runs.select(
+        F.lit(0).cast("long").alias("batch"), "started_at", "ok", F.lit(0).cast("long").alias("read"), "created", F.lit(0).cast("long").alias("updated"), "queued", none.alias("sources"), none.alias("failed")
+    )
+    tables, day = Snapshots(v.spark, shared_folder(v.spark, "runs")), F.date_format("started_at", "yyyy-MM")
+    odd = F.dayofmonth("started_at") % 2 == 1
+    for version, part in ((1, odd), (2, ~odd), (2, ~odd)):
+        tables.append("runs", version, rows.where(part), day)
+    return tables.read("runs", ingest.RUNS).select("started_at", "ok", "created", "queued")
 
 
 _HASH = "substr(sha256(title || chr(0) || body), 1, 32)"

@@ -91,8 +91,8 @@ class Views:
 
     @cached_property
     def announcements(self) -> DataFrame:
-        """The later half of events, one announcement an address: its last."""
-        e = self.table("events").where("event_id % 2 = 1").withColumn("url", F.expr("'https://www.outlet' || event_id % 5 || '.example/n' || event_id % 4000"))
+        """One announcement an address of events: its last."""
+        e = self.table("events").withColumn("url", F.expr("'https://www.outlet' || event_id % 5 || '.example/n' || event_id % 4000"))
         last = e.groupBy("url").agg(F.max_by(F.struct("event_id", "user_id", "props", "ts"), "event_id").alias("e")).select("url", "e.*")
         return last.select("url", F.expr("'Notice ' || user_id").alias("title"), F.col("props").alias("body"), F.col("ts").cast("timestamp").alias("published_at"), "event_id")
 
@@ -152,7 +152,7 @@ SQL = {
     "v_sites": f"""SELECT c_custkey, c_nationkey, {list(SITE_NAMES)}[c_custkey % 10 + 1] || ' ' || c_custkey AS name, {list(SITE_KEYS)}[c_custkey % 10 + 1] || ' ' || c_custkey AS key, {_DISTRICT("c_custkey % 6")} AS district,
   35.0::DOUBLE + (c_custkey * 37 % 500)::DOUBLE / 1000 AS lat, 32.4::DOUBLE + (c_custkey * 53 % 1300)::DOUBLE / 1000 AS lng FROM customer""",
     "v_announce": """SELECT url, 'Notice ' || user_id AS title, props AS body, ts AS published_at, event_id FROM (
-  SELECT *, 'https://www.outlet' || event_id % 5 || '.example/n' || event_id % 4000 AS url FROM events WHERE event_id % 2 = 1)
+  SELECT *, 'https://www.outlet' || event_id % 5 || '.example/n' || event_id % 4000 AS url FROM events)
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY event_id DESC) = 1""",
     "v_seen": """SELECT url, substr(sha256(title || chr(0) || body || CASE WHEN event_id % 4 = 0 OR event_id % 5 = 1 THEN '!' ELSE '' END), 1, 32) AS content_hash,
   (event_id % 5)::INT AS attempts, event_id % 7 < 3 AS parsed_ok, published_at AS first_seen, published_at AS last_seen FROM v_announce WHERE event_id % 3 <> 0""",
