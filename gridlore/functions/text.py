@@ -111,17 +111,20 @@ def collapse_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+# What markup turns into, step by step: elements without text, ends of blocks, line breaks, other tags.
+_MARKUP = (
+    (r"(?is)<script.*?</script>", " "),
+    (r"(?is)<style.*?</style>", " "),
+    (r"(?i)</(p|div|li|tr|h[1-6])>", "\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"<[^>]+>", " "),
+)
+
+
 def html_to_text(html: Column) -> Column:
     """Text of HTML: one line a block, scripts and styles dropped, references decoded."""
-    for pattern, by in (
-        (r"(?is)<script.*?</script>", " "),
-        (r"(?is)<style.*?</style>", " "),
-        (r"(?i)</(p|div|li|tr|h[1-6])>", "\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"<[^>]+>", " "),
-    ):
-        html = F.regexp_replace(html, pattern, by)
-    return collapse_lines(decode_entities(html))
+    bare = reduce(lambda text, step: F.regexp_replace(text, *step), _MARKUP, html)
+    return collapse_lines(decode_entities(bare))
 
 
 def sha256_prefix(text: Column, length: int = 32) -> Column:

@@ -51,29 +51,30 @@ def ordered(records: DataFrame) -> DataFrame:
 # --- the fold of few records -------------------------------------------------------------------------
 
 #: Records that are folded in one task.
-TOGETHER = 10_000
+TOGETHER = 30_000
 #: Minutes of a tile of records with an end, and of one of open ones.
 _TILE, _OPEN_TILE = 6 * 60, 12 * 24 * 60
+#: Stands for no end where times are numbers.
+_OPEN_END = -(1 << 62)
 
 
 def _fits(s: dict, r: dict) -> bool:
-    if s["starts_at"] == r["starts_at"] and s["ends_at"] == r["ends_at"] and (s["keys"] <= r["keys"] or r["keys"] <= s["keys"]):
+    if s["starts"] == r["starts"] and s["ends"] == r["ends"] and (s["keys"] <= r["keys"] or r["keys"] <= s["keys"]):
         return True
-    if (s["ends_at"] is None) != (r["ends_at"] is None) or s["keys"].isdisjoint(r["keys"]):
+    if (s["ends"] == _OPEN_END) != (r["ends"] == _OPEN_END) or s["keys"].isdisjoint(r["keys"]):
         return False
     both_of = s["is_of"] and r["is_of"]
     reach = C.TIME_TOLERANCE if not both_of else C.NO_END_ASSUMED_OVER if s["continuation"] or r["continuation"] else C.OPEN_FAULT_TOLERANCE
-    near = lambda c, minutes: abs((s[c] - r[c]).total_seconds()) <= 60 * minutes
-    return near("starts_at", reach) and (r["ends_at"] is None or near("ends_at", C.TIME_TOLERANCE))
+    return abs(s["starts"] - r["starts"]) <= 60_000_000 * reach and (r["ends"] == _OPEN_END or abs(s["ends"] - r["ends"]) <= 60_000_000 * C.TIME_TOLERANCE)
 
 
 def _take_in(s: dict, r: dict) -> None:
     """What a record changes of a state."""
     takes_over = r["official"] and not s["official"]
     if s["is_of"] and r["is_of"]:
-        s["starts_at"] = min(s["starts_at"], r["starts_at"])
+        s["starts"] = min(s["starts"], r["starts"])
     elif takes_over:
-        s |= {c: r[c] for c in ("is_of", "starts_at", "ends_at")}
+        s |= {c: r[c] for c in ("is_of", "starts", "ends")}
     for cited in (r["cited"],) if "articles" in s else (s["cited"], r["cited"]):
         for x in cited:  # of each article the first source stays, and tells whether the event has an official one
             s.setdefault("articles", {}).setdefault(x["source_key"], x["is_official"])
@@ -86,14 +87,14 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
     events, at_key, at_times, index = [], defaultdict(list), defaultdict(list), {}
     out = []
     for r in frame.sort_values("ord").to_dict("records"):
-        r["ends_at"], r["keys"], r["district"] = None if pd.isna(r["ends_at"]) else r["ends_at"], set(r["keys"]), r["zone"].split("/")[0]
-        fixed = r["is_stored"] or not pd.isna(r["home"]) or not r["here"]
+        r["keys"], r["district"] = set(r["keys"]), r["zone"].split("/")[0]
+        fixed = r["is_stored"] or r["has_home"] or not r["here"]
         if fixed:
             k = index.get(r["c"])
             if k is None and r["c"] != r["ord"]:
                 continue  # its event's first record has gone elsewhere
         else:
-            near = dict.fromkeys(k for where in (*(at_key[x] for x in r["keys"]), at_times[r["starts_at"], r["ends_at"]]) for k in where)
+            near = dict.fromkeys(k for where in (*(at_key[x] for x in r["keys"]), at_times[r["starts"], r["ends"]]) for k in where)
             fits = [k for k in near if events[k]["district"] == r["district"] and _fits(events[k], r)]
             k = min(fits, key=lambda k: (events[k]["touched"] is None, events[k]["touched"] or 0, k), default=None)
         if k is None:
@@ -107,12 +108,15 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
         for x in r["keys"] - s["keys"]:
             at_key[x].append(k)
         s["keys"] |= r["keys"]
-        at_times[s["starts_at"], s["ends_at"]].append(k)
+        at_times[s["starts"], s["ends"]].append(k)
         out.append((r["ord"], s["ord"]))
     return pd.DataFrame(out, columns=["ord", "next"])
 
 
-_FOLDED = ["ord", "c", "home", "here", "zone", "is_stored", "is_of", "starts_at", "ends_at", "continuation", "official", "keys", "cited"]
+def _for_fold(rows: DataFrame, *more: Column) -> DataFrame:
+    ends = F.coalesce(F.unix_micros("ends_at"), F.lit(_OPEN_END))
+    same = ["ord", "c", "here", "zone", "is_stored", "is_of", "continuation", "official", "keys", "cited"]
+    return rows.select(*same, col("home").isNotNull().alias("has_home"), F.unix_micros("starts_at").alias("starts"), ends.alias("ends"), *more)
 
 
 def _folded(rows: DataFrame, *key: str) -> DataFrame:
@@ -123,7 +127,7 @@ def guesses(rows: DataFrame) -> DataFrame:
     """(ord, next): decisions that the fold of a tile of time by itself comes to, in groups of some thousand records.
     They are right but at the edges of tiles; rounds find out, whatever the guess, so it only saves rounds."""
     is_open = col("ends_at").isNull()
-    placed = rows.select(*_FOLDED, F.when(is_open, _slot(_OPEN_TILE)).otherwise(_slot(_TILE)).alias("tile"))
+    placed = _for_fold(rows, F.when(is_open, _slot(_OPEN_TILE)).otherwise(_slot(_TILE)).alias("tile"))
     parts = placed.groupBy("zone", "tile").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
     placed = placed.join(parts, ["zone", "tile"]).withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts"))).drop("parts")
     return _folded(placed, "zone", "tile", "part")
@@ -305,7 +309,7 @@ def cluster(records: DataFrame) -> DataFrame:
     active, guessed, read = assigned, whole <= TOGETHER, []
     while size:
         # Few records are folded in order, which is right at once but for what lies beyond them.
-        decided = (_folded(active.select(*_FOLDED, F.lit(0).alias("part")), "part") if size <= TOGETHER else decide(active)) if guessed else guesses(active)
+        decided = (_folded(_for_fold(active, F.lit(0).alias("part")), "part") if size <= TOGETHER else decide(active)) if guessed else guesses(active)
         both = assigned.drop("here").join(decided.join(active.where("here").select("ord", "here"), "ord", "right"), "ord", "left")
         both = both.withColumn("next", F.when(col("here") & ~col("is_stored") & col("home").isNull(), F.coalesce("next", "ord")).otherwise(col("c")))
         both = both.withColumns({"changed": col("next") != col("c"), "was": col("c"), "c": col("next")}).select(*assigned.columns)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
 
@@ -31,25 +32,43 @@ class Extractor(Protocol):
     def __call__(self, title: str, body: str, published_day: str) -> str: ...
 
 
-def extract(announcements: DataFrame, extractor: Extractor) -> DataFrame:
+class Passing(Exception):
+    """A failure of an extractor that may pass: too many requests, or a fault of the service."""
+
+
+# Further requests after a failure that may pass, and seconds before the first of them, which the second
+# doubles.
+RETRIES, RETRY_SECONDS = 2, 1.5
+
+
+def asked(extractor: Extractor, title: str, body: str, day: str, pause: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
+    """(answer, error) of one announcement. Failures that may pass, those of the network among them, are asked again;
+    others fail the same way every time."""
+    error = None
+    for attempt in range(RETRIES + 1):
+        if attempt:
+            pause(RETRY_SECONDS * attempt)
+        try:
+            return extractor(title, body, day), None
+        except (Passing, OSError) as e:
+            error = str(e) or type(e).__name__
+        except Exception as e:
+            return None, str(e) or type(e).__name__
+    return None, error
+
+
+def extract(announcements: DataFrame, extractor: Extractor, pause: Callable[[float], None] = time.sleep) -> DataFrame:
     """Adds ``payload`` and ``error``: what the extractor says, or why it could not. Keep the filters before
     this step; nothing is moved through it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            payloads, errors = [], []
-            for r in frame.itertuples():
-                try:
-                    payloads.append(extractor(r.title, r.body, r.published_day))
-                    errors.append(None)
-                except Exception as e:
-                    payloads.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield frame.assign(payload=payloads, error=errors)
+            found = [asked(extractor, r.title, r.body, r.published_day, pause) for r in frame.itertuples()]
+            yield frame.assign(payload=[x for x, _ in found], error=[e for _, e in found])
 
     day = F.date_format(tm.local(col("published_at")), "yyyy-MM-dd EEEE")
-    asked = announcements.withColumn("published_day", day)
-    return asked.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", payload string, error string")
+    asking = announcements.withColumn("published_day", day)
+    return asking.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asking.schema) + ", payload string, error string")
 
 
 def valid_entries(payload: Column) -> Column:

@@ -121,6 +121,30 @@ def test_extractor_errors_are_rows(spark):
     assert "2026-08-26 Wednesday" in rows["a"]["payload"] and rows["a"]["error"] is None
 
 
+def test_failures_that_may_pass_are_asked_again(spark):
+    waits, calls = [], []
+
+    def flaky(title, body, day):
+        calls.append(body)
+        if body == "busy" and len(calls) < 3:
+            raise resolve.Passing("responded 429")
+        if body == "down":
+            raise ConnectionError("no route")
+        if body == "bad":
+            raise ValueError("responded 400")
+        return "{}"
+
+    assert resolve.asked(flaky, "t", "busy", "d", waits.append) == ("{}", None) and waits == [1.5, 3.0] and len(calls) == 3
+    assert resolve.asked(flaky, "t", "down", "d", waits.append) == (None, "no route") and len(calls) == 6
+    assert resolve.asked(flaky, "t", "bad", "d", waits.append) == (None, "responded 400") and len(calls) == 7
+
+    def refuses(title, body, day):
+        raise resolve.Passing(body)
+
+    df = spark.createDataFrame([("a", "T", "still busy", datetime(2026, 8, 25, 22))], "url string, title string, body string, published_at timestamp")
+    assert resolve.extract(df, refuses, pause=lambda s: None).first()["error"] == "still busy"
+
+
 def test_monthly_totals(spark):
     at = lambda *a: datetime(2026, *a)
     rows = [("fault", at(8, 29, 9, 29), None), ("fault", at(8, 30), None), ("fault", at(8, 29, 9, 29), at(9, 1, 5, 45)), ("planned", at(8, 1), None), ("planned", at(8, 2, 2), at(8, 2, 1)), ("planned", datetime(2025, 1, 1), datetime(2025, 1, 2))]
