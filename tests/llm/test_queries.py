@@ -1,5 +1,6 @@
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,13 +15,13 @@ def test_query_matches_oracle(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def _compare(df, sql, table, tmp_path):
     folder = tmp_path / "oracle"
     folder.mkdir()
-    table.toPandas().to_parquet(folder / "documents.parquet")
+    pq.write_table(table.toArrow(), folder / "documents.parquet")  # ids beside nulls stay whole numbers
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == oracle_rows(sql, str(folder))
 
 
