@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import time
-import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore import constants as C
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
 from gridlore.operators import live, places
 
 col = F.col
-#: Spellings that a job may carry to every task.
-MOST_SPELLINGS = 100_000
 ENTRY = (
     "kind string, date string, weekday string, start string, end string, areas array<string>, scope string,"
     " cancelled boolean, ongoing boolean, continuation boolean, resolved boolean, restoredAt string"
@@ -93,126 +88,108 @@ def valid_entries(payload: Column) -> Column:
     return F.transform(F.filter(listed, lambda e: e.isNotNull() & F.coalesce(good(e), F.lit(False))), clean)
 
 
-# --- place names in free text, on plain values ---------------------------------------------------------
+# --- place names in free text --------------------------------------------------------------------------
 
-
-@lru_cache(maxsize=100_000)
-def fold_text(text: str) -> str:
-    """``fold_key`` on a plain text."""
-    low = text.translate({0x130: "i", 0x49: "i", 0x131: "i"}).lower()
-    bare = "".join(c for c in unicodedata.normalize("NFD", low) if not 0x300 <= ord(c) <= 0x36F)
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in bare).split())
-
-
-def words_of(text: str) -> list[str]:
-    import re
-
-    edge = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-    bare = re.sub("['’´`][a-zçğıöşüA-ZÇĞİÖŞÜ]{1,6}" + edge, "", text)
-    return [w for w in re.split("[^0-9A-Za-zÇĞİıÖŞÜçğöşü]+", bare) if w]
-
-
-def _alike(a: str, b: str, threshold: float) -> float:
-    """Similarity, or 0 where it is below the threshold."""
-    longest = max(len(a), len(b))
-    most = int(longest * (1 - threshold) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return 0.0
-    return 1 - row[-1] / longest if row[-1] <= most else 0.0
+MATCH = "array<struct<name:string,district:string,fuzzy:boolean,words:string>>"
 
 
 class Gazetteer:
-    """Place names by key; a few thousand spellings, carried to every task."""
+    """Place names of any number, as tables that texts are joined with: ``keys`` (key, name, district) for exact
+    names, ``spellings`` (key, ordinal, name, district) for near ones. No task carries them."""
 
-    def __init__(self, rows: list[tuple[str, str, str]], order: list[tuple[str, str, str]]):
-        self.by_key = {key: (name, district) for key, name, district in rows}
-        self.spellings = order  # key, name, district in the order of the file
-        self.most_words = max((len(name.split()) for _, name, _ in order), default=0)
+    def __init__(self, keys: DataFrame, spellings: DataFrame, most_words: int):
+        self.keys, self.spellings, self.most_words = keys, spellings, most_words
 
     @classmethod
     def of(cls, place_rows: DataFrame) -> Gazetteer:
-        """From (name, district, aliases, ordinal); refuses what is no small dimension."""
-        spelled = place_rows.select("ordinal", F.posexplode(F.concat(F.array("name"), "aliases")).alias("k", "s"), "name", "district")
-        order = spelled.select("ordinal", "k", tx.fold_key(col("s")).alias("key"), "name", "district").limit(MOST_SPELLINGS + 1).collect()
-        if len(order) > MOST_SPELLINGS:
-            raise ValueError(f"more than {MOST_SPELLINGS} spellings: join by key instead")
-        order.sort(key=lambda r: (r["ordinal"], r["k"]))
-        rows = places.gazetteer(place_rows).collect()
-        return cls([(r["key"], r["name"], r["district"]) for r in rows], [(r["key"], r["name"], r["district"]) for r in order])
-
-    def match(self, text: str) -> list[tuple[str, str, bool, str]]:
-        """(name, district, fuzzy, words) of the places in a text: from each capital the longest known run of
-        words, else a word that is nearly a spelling."""
-        words, found, at = words_of(text), {}, 0
-        capital = lambda w: w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZÇĞİÖŞÜ"
-        while at < len(words):
-            took = 1
-            if capital(words[at]):
-                for n in range(min(self.most_words, len(words) - at), 0, -1):
-                    said = " ".join(words[at : at + n])
-                    if place := self.by_key.get(fold_text(said)):
-                        found.setdefault(place[0], (*place, False, said))
-                        took = n
-                        break
-                else:
-                    key = fold_text(words[at])
-                    if len(key) >= C.MIN_FUZZY_LENGTH:
-                        score, name, district = max(
-                            ((_alike(key, k, C.FUZZY_THRESHOLD), n, d) for k, n, d in self.spellings), key=lambda x: x[0], default=(0.0, "", "")
-                        )
-                        if score >= C.FUZZY_THRESHOLD:
-                            found.setdefault(name, (name, district, True, words[at]))
-            at += took
-        return list(found.values())
-
-    def match_areas(self, areas: list[str]) -> list[tuple[str, str, bool, str]]:
-        """Places of a list of names. A name that is none is read together with its neighbour, the left one
-        first, where the two say more than the neighbour alone."""
-        alone = [self.match(a) for a in areas]
-        joined: dict[int, list] = {}
-        for i in range(len(areas)):
-            if alone[i]:
-                continue
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(areas):
-                    both = self.match(f"{areas[min(i, j)]} {areas[max(i, j)]}")
-                    if both and not {m[0] for m in both} <= {m[0] for m in alone[j]}:
-                        joined[i], joined[j] = both, []
-                        break
-        found = {}
-        for i in range(len(areas)):
-            for m in joined.get(i, alone[i]):
-                found.setdefault(m[0], m)
-        return list(found.values())
-
-
-MATCH = "array<struct<name:string,district:string,fuzzy:boolean,words:string>>"
-
+        """From (name, district, aliases, ordinal). Of near spellings that are as near, the first in the order of
+        ``ordinal`` wins."""
+        spelled = place_rows.select("name", "district", "ordinal", F.posexplode(F.concat(F.array("name"), "aliases")).alias("k", "s"))
+        spellings = spelled.select(tx.fold_key(col("s")).alias("key"), F.struct("ordinal", "k").alias("ordinal"), "name", "district").where("key <> ''")
+        words = F.size(F.filter(F.split("name", tx.SPACE), lambda w: w != ""))
+        return cls(places.gazetteer(place_rows), spellings, place_rows.agg(F.max(words)).first()[0] or 0)
+
+    def match(self, texts: DataFrame) -> DataFrame:
+        """(text_id, found) of different texts (column ``text``) that name a place: from each capital the longest known
+        run of words, else a word that is nearly a spelling; each place once, in the order of the text.
+
+        ``text_id`` is the text's SHA-256: texts are not carried along. Runs of words meet the names on their keys, and
+        words that are no name meet near spellings on segments, each different word once, so the cost of a text does
+        not grow with the gazetteer. Null texts and texts without a capital have no row.
+        """
+        most = F.lit(max(self.most_words, 1))
+        cut = texts.where("text is not null").select(F.sha2("text", 256).alias("text_id"), tx.tokens(col("text")).alias("w"))
+        starts = F.filter(F.transform("w", lambda x, i: F.when(tx.proper(x), i)), lambda i: i.isNotNull())
+        run = lambda at, n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("w", at + 1, n), " ").alias("words"))
+        runs = F.flatten(F.transform(starts, lambda at: F.transform(F.sequence(F.lit(1), F.least(most, F.size("w") - at)), lambda n: run(at, n))))
+        runs = cut.select("text_id", F.inline(runs)).withColumn("key", tx.fold_key(col("words")))
+        said = runs.groupBy("key").agg((F.min("n") == 1).alias("one"))
+        exact = said.join(self.keys, "key").select("key", "name", "district", F.lit(False).alias("fuzzy"))
+        unknown = said.where("one").join(self.keys, "key", "left_anti").select(col("key").alias("word"))
+        near = places.fuzzy(unknown, self.spellings).select(col("word").alias("key"), "name", "district", F.lit(True).alias("fuzzy"))
+        hits = runs.join(exact.union(near), "key").where(~col("fuzzy") | (col("n") == 1))
+        hit = F.struct("at", (-col("n")).alias("less"), "name", "district", "fuzzy", "words")
+        return hits.groupBy("text_id").agg(F.array_sort(F.collect_list(hit)).alias("hits")).select("text_id", _read(col("hits")).alias("found"))
+
+    def match_areas(self, rows: DataFrame, areas: Column, name: str = "m") -> DataFrame:
+        """``rows`` with a column of the places of a list of names. A name that is none is read together with its
+        neighbour, the left one first, where the two say more than the neighbour alone.
+
+        Equal lists and equal names are matched once. ``rows`` are read twice, so what is not stored and is dear, or may
+        change, is to be written first. Null and empty lists, and null names, have no places.
+        """
+        listed = rows.withColumn("__areas", F.coalesce(areas, F.array().cast("array<string>")))
+        listed = listed.withColumn("__list", F.when(F.size("__areas") > 0, F.sha2(F.to_json("__areas"), 256)))
+        each = listed.where("__list is not null").select("__list", "__areas").dropDuplicates(["__list"])
+        alone_and_both = F.transform("__areas", lambda x, i: F.array(x, F.concat(x, F.lit(" "), F.get("__areas", i + 1))))
+        said = each.select("__list", F.posexplode(F.flatten(alone_and_both)).alias("at", "text")).where("text is not null")
+        found = self.match(said.select("text").distinct())
+        hits = said.select("__list", "at", F.sha2("text", 256).alias("text_id")).join(found, "text_id")
+        by_list = hits.groupBy("__list").agg(F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("__found"))
+        return listed.join(by_list, "__list", "left").withColumn(name, _joined(F.size("__areas"), col("__found"))).drop("__list", "__areas", "__found")
+
+
+def _distinct_names(found: Column) -> Column:
+    """The first of each name."""
+    return F.aggregate(found, F.array().cast(MATCH), lambda kept, m: F.when(F.exists(kept, lambda k: k["name"] == m["name"]), kept).otherwise(F.array_append(kept, m)))
+
+
+def _read(hits: Column) -> Column:
+    """Hits in order of place, the longest first, read from the left: what a run takes is not read again."""
+    match = lambda h: F.struct(h["name"].alias("name"), h["district"].alias("district"), h["fuzzy"].alias("fuzzy"), h["words"].alias("words"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(MATCH).alias("took"))
+    take = lambda s, h: F.struct((h["at"] - h["less"]).alias("next"), F.array_append(s["took"], match(h)).alias("took"))
+    return F.aggregate(hits, start, lambda s, h: F.when(h["at"] < s["next"], s).otherwise(take(s, h)), lambda s: _distinct_names(s["took"]))
+
+
+def _joined(n: Column, found: Column) -> Column:
+    """Places of a list of n names from those of each (at 2i) and of each with the next (at 2i + 1)."""
+    none = F.array().cast(MATCH)
+    get = lambda k: F.coalesce(found[k], none)
+    alone, both = lambda i: get(2 * i), lambda i: get(2 * i + 1)
+    names = lambda ms: F.transform(ms, lambda m: m["name"])
+    adds = lambda pair, neighbour: F.size(F.array_except(names(pair), names(neighbour))) > 0
+    side = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.when(F.size(alone(i)) > 0, "").when((i > 0) & adds(both(i - 1), alone(i - 1)), "left").when((i < n - 1) & adds(both(i), alone(i + 1)), "right").otherwise(""),
+    )
 
-def match_areas(areas: Column, gazetteer: Gazetteer) -> Column:
-    @F.pandas_udf(MATCH)
-    def run(lists: pd.Series) -> pd.Series:
-        keys = ("name", "district", "fuzzy", "words")
-        return lists.map(lambda a: [dict(zip(keys, m, strict=True)) for m in gazetteer.match_areas(list(a))])
+    def of(i: Column, own: Column) -> Column:
+        before, after = F.coalesce(F.get(side, i - 1), F.lit("")), F.coalesce(F.get(side, i + 1), F.lit(""))
+        return F.when(after == "left", none).when(own == "left", both(i - 1)).when(own == "right", both(i)).when(before == "right", none).otherwise(alone(i))
 
-    return run(areas)
+    return F.when(found.isNull(), none).otherwise(_distinct_names(F.flatten(F.transform(side, lambda own, i: of(i, own)))))
 
 
 def resolve_announcements(announcements: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """One row a district of each entry: role (record, retraction, resolution) and the record's fields.
 
     announcements: url, source (name, url, kind), title, body, published_at, fetched_at, payload. Entries
-    without a usable time or without a known place give no row; ``outcomes`` counts them.
+    without a usable time or without a known place give no row; ``outcomes`` counts them. Announcements are read
+    twice: an extractor's answers are to be stored first.
     """
     read = announcements.select("url", "source", "published_at", "fetched_at", F.posexplode(valid_entries(col("payload"))).alias("entry", "e"))
-    matched = read.withColumn("m", match_areas(col("e.areas"), gazetteer)).withColumn("s", tm.schedule(col("e"), col("published_at")))
+    matched = gazetteer.match_areas(read, col("e.areas")).withColumn("s", tm.schedule(col("e"), col("published_at")))
     usable = matched.where((F.size("m") > 0) & (col("e.resolved") | col("s").isNotNull()))
     parts = usable.withColumn("district", F.explode(F.array_distinct(F.transform("m", lambda m: m["district"]))))
     areas = F.transform(F.filter("m", lambda m: m["district"] == col("district")), lambda m: m["name"])
@@ -240,7 +217,7 @@ def outcomes(announcements: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """(url, status, reason): parsed, skipped or failed, and why."""
     entries = valid_entries(col("payload"))
     listed = announcements.select("url", "published_at", F.col("error"), entries.isNull().alias("unreadable"), F.explode_outer(entries).alias("e"))
-    told = listed.withColumn("m", F.when(col("e").isNotNull(), match_areas(F.coalesce("e.areas", F.array().cast("array<string>")), gazetteer)))
+    told = gazetteer.match_areas(listed, col("e.areas"))
     untimed = col("e").isNotNull() & ~col("e.resolved") & tm.schedule(col("e"), col("published_at")).isNull()
     unplaced = col("e").isNotNull() & ~untimed & (F.size("m") == 0)
     by_url = told.groupBy("url").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridlore.operators import resolve
 from gridlore.plans.registry import query
-from gridlore.session import shared_folder
+from gridlore.session import shared_folder, written
 from gridlore.streaming import ingest, late, seen
 from gridlore.streaming.snapshots import Snapshots
 from gridlore.constants import DISTRICT_IDS
@@ -138,7 +138,8 @@ def stm_backfill(v):
 )
 def udtf_parse(v):
     """Announcements into records, withdrawals and repairs."""
-    parsed = resolve.resolve_announcements(resolve.extract(announced(v.table("events")), answer), _gazetteer(v))
+    read = written(resolve.extract(announced(v.table("events")), answer), "read")
+    parsed = resolve.resolve_announcements(read, _gazetteer(v))
     scheduled = lambda c: F.when(F.col("role") != "resolution", F.col(c)).alias(c)
     return parsed.select("url", "role", "district", "areas", scheduled("starts_at"), scheduled("ends_at"), "resolved_at")
 
@@ -152,17 +153,30 @@ def str_matchareas(v):
     """Places of lists of names; a third of the lists have a name in two parts."""
     e = v.table("events")
     lists = F.expr("if(event_id % 3 = 0, array('Place', cast(event_id % 40 as string)), array('Place ' || user_id % 40, 'Place ' || event_id % 40))")
-    return e.select("event_id", F.transform(resolve.match_areas(lists, _gazetteer(v)), lambda m: m["name"]).alias("names"))
+    return _gazetteer(v).match_areas(e, lists).select("event_id", F.transform("m", lambda m: m["name"]).alias("names"))
+
+
+_WORD = "CASE r WHEN 0 THEN town WHEN 1 THEN left(town, 10) || 'x' WHEN 2 THEN town || 'x' ELSE 'Q' || reverse(town) END"
 
 
 @query(
     "o_str_match",
-    """SELECT event_id, CASE WHEN user_id % 40 = event_id % 40 THEN 'Place ' || user_id % 40 ELSE 'Place ' || user_id % 40 || '|Place ' || event_id % 40 END AS names FROM events""",
+    f"""WITH n AS (SELECT count(*) AS n FROM part), t AS (SELECT 'T' || substr(md5(p_partkey::VARCHAR), 1, 10) AS town, p_partkey AS k FROM part),
+    e AS (SELECT event_id, user_id % 40 AS a, event_id % n AS k, event_id // 7 % 4 AS r FROM events, n), w AS (SELECT DISTINCT k, r, {_WORD} AS word FROM e JOIN t USING (k)),
+    h AS (SELECT w.k, r, t.town, 1 - levenshtein(lower(word), lower(t.town))::DOUBLE / greatest(length(word), length(t.town)) AS s FROM w, t WHERE s >= 0.9
+      QUALIFY row_number() OVER (PARTITION BY w.k, r ORDER BY s DESC, t.k) = 1)
+    SELECT event_id, coalesce(town || '|', '') || 'Place ' || a AS names, coalesce(s < 1, false) AS fuzzy FROM e LEFT JOIN h USING (k, r)""",
 )
 def str_match(v):
-    """Places of sentences, in the order in which they are named."""
-    said = F.expr("array('Works in Place ' || user_id % 40 || ' and near PLACE ' || event_id % 40 || ', not in place 41')")
-    return v.table("events").select("event_id", F.transform(resolve.match_areas(said, _gazetteer(v)), lambda m: m["name"]).alias("names"))
+    """Places of sentences, in the order in which they are named, of a gazetteer with a town a part: names as they are,
+    with a letter changed, with a letter more, and names of no place."""
+    parts, n = v.table("part"), v.table("part").agg(F.count(F.lit(1)).alias("n"))
+    towns = parts.select(F.expr("'T' || substr(md5(cast(p_partkey as string)), 1, 10)").alias("town"), "p_partkey")
+    known = v.settlements.selectExpr("name", "district", "cast(array() as array<string>) as aliases", "-1L as ordinal").union(towns.selectExpr("town", "'lefke'", "cast(array() as array<string>)", "p_partkey"))
+    e = v.table("events").join(F.broadcast(n)).selectExpr("event_id", "user_id % 40 as a", "event_id % n as p_partkey", "event_id div 7 % 4 as r")
+    said = e.join(towns, "p_partkey").withColumn("text", F.expr(f"'Works near ' || {_WORD} || ' and in PLACE ' || a || ', not in place 41'"))
+    found = resolve.Gazetteer.of(known).match_areas(said, F.array("text"))
+    return found.select("event_id", F.array_join(F.transform("m", lambda m: m["name"]), "|").alias("names"), F.exists("m", lambda m: m["fuzzy"]).alias("fuzzy"))
 
 
 _HOUR = "3600000"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere; plans are adapted at run time. Nothing here depends on the size of a cluster.
 SETTINGS = {
@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return path.toString()
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """A table written once and read again: what is dear, or may differ when it is computed anew."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``shared_folder`` gave, once nothing reads it any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

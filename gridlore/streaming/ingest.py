@@ -19,6 +19,7 @@ from gridlore import constants as C
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
 from gridlore.operators import live, resolve, store
+from gridlore.session import written
 from gridlore.streaming.snapshots import Snapshots
 
 col = F.col
@@ -146,7 +147,7 @@ def start(spark: SparkSession, source: str, tables: Snapshots, extractor, gazett
 
 
 def backfill(spark: SparkSession, archive: DataFrame, extractor, gazetteer: resolve.Gazetteer) -> DataFrame:
-    """Records of an archive of announcements, one an event, without state and without a run row."""
+    """Records of an archive of announcements, one an event, without state and without a run row. Each is extracted once."""
     hashed = archive.withColumn("content_hash", tx.article_hash(col("title"), col("body")))
-    parsed = resolve.resolve_announcements(resolve.extract(hashed, extractor), gazetteer)
+    parsed = resolve.resolve_announcements(written(resolve.extract(hashed, extractor), "read"), gazetteer)
     return store.identity.dedupe(parsed.where("role = 'record'"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
-from gridlore.operators.resolve import fold_text
+from tests.plain_places import fold_text
 
 ALPHABET = "abcçdefgğhıijklmnoöprsştuüvyzABCÇDEFGĞHIİJKLMNOÖPRSŞTUÜVYZ âîû'-.0159ß"
 

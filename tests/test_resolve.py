@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlore.operators import live, places, resolve, totals
 from gridlore.operators import store as st
+from tests.plain_places import Plain, alike
 from tests.test_identity import T0, frame, record
 
 PLACES = [
@@ -35,15 +37,40 @@ def gazetteer(place_rows):
         ("", []),
     ],
 )
-def test_match(gazetteer, text, names):
-    assert [m[0] for m in gazetteer.match(text)] == names
+def test_match(spark, gazetteer, text, names):
+    found = gazetteer.match(spark.createDataFrame([(text,)], "text string")).first()
+    assert [m["name"] for m in (found["found"] if found else [])] == names == [m[0] for m in Plain(PLACES).match(text)]
 
 
-def test_match_areas_joins_neighbours(gazetteer):
-    assert [m[0] for m in gazetteer.match_areas(["Küçük", "Kaymaklı"])] == ["Küçük Kaymaklı"]
-    assert [m[0] for m in gazetteer.match_areas(["Boğaz", "Girne"])] == ["Boğaz", "Girne"]
-    assert [m[0] for m in gazetteer.match_areas(["Girne", "Boğaz"])] == ["Girne", "Boğaz"]
-    assert gazetteer.match_areas([]) == []
+def matched(spark, gazetteer, lists):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, areas array<string>")
+    return [[tuple(m) for m in r["m"]] for r in gazetteer.match_areas(rows, F.col("areas")).orderBy("k").collect()]
+
+
+def test_match_areas_joins_neighbours(spark, gazetteer):
+    found = matched(spark, gazetteer, [["Küçük", "Kaymaklı"], ["Boğaz", "Girne"], ["Girne", "Boğaz"], [], None, ["Boğaz", None], ["Küçük", "Kaymaklı"]])
+    assert [[m[0] for m in x] for x in found] == [["Küçük Kaymaklı"], ["Boğaz", "Girne"], ["Girne", "Boğaz"], [], [], ["Boğaz"], ["Küçük Kaymaklı"]]
+
+
+def test_matching_equals_the_plain_form(spark, gazetteer):
+    draw, plain = random.Random(7), Plain(PLACES)
+    words = "Küçük Kaymaklı Kaymakli Gönyeli Gonyelı Gonyelx Geunyeli Geunyelı Boğaz Girne Boğazı GIRNE Girne'de Dipkarpazyukarl Dipkarpaz Yukarı Lefkoşa'nın Lefkoşalı bölgesi ve, Ev 12".split(" ")
+    lists = [[" ".join(draw.choices(words, k=draw.choice((0, 1, 1, 1, 2, 4, 30)))) for _ in range(draw.choice((1, 2, 3, 5)))] for _ in range(300)]
+    assert matched(spark, gazetteer, lists) == [plain.match_areas(x) for x in lists]
+
+
+def test_an_empty_gazetteer_and_no_texts(spark, gazetteer, place_rows):
+    none = resolve.Gazetteer.of(place_rows.limit(0))
+    assert matched(spark, none, [["Girne", "Boğaz"]]) == [[]]
+    assert matched(spark, gazetteer, []) == []
+
+
+def test_a_gazetteer_of_any_size_and_long_texts(spark):
+    """More names than a task would carry, and a text of 40,000 words."""
+    rows = spark.range(150_000).selectExpr("'Town' || upper(substr(sha2(cast(id as string), 256), 1, 12)) as name", "'lefke' as district", "cast(array() as array<string>) as aliases", "id as ordinal")
+    names = [r["name"] for r in rows.where("id in (5, 77777, 149999)").orderBy("id").collect()]
+    text = "Filler " * 40_000 + f"{names[2]} {names[0][:-1]}Z {names[1]}"
+    assert [(m[0], m[2]) for m in matched(spark, resolve.Gazetteer.of(rows), [[text]])[0]] == [(names[2], False), (names[0], True), (names[1], False)]
 
 
 def test_longer_name_wins_a_key(spark):
@@ -58,7 +85,7 @@ def test_fuzzy_join_equals_all_pairs(spark):
     found = {r["word"]: r["key"] for r in df.collect()}
     expected = {}
     for w in words:
-        scores = [(resolve._alike(w, k, 0.9), -o, k) for k, o in keys]
+        scores = [(alike(w, k, 0.9), -o, k) for k, o in keys]
         if len(w) >= 5 and max(scores)[0] >= 0.9:
             expected[w] = max(scores)[2]
     assert found == expected and len(found) >= 4
