@@ -8,6 +8,7 @@ from gridlore.functions import text as tx
 from gridlore.functions import time as tm
 from gridlore.operators import resolve
 from gridlore.plans.registry import query
+from gridlore.session import shared_folder
 from gridlore.sources import feeds, web
 from gridlore.views import NOW, now
 
@@ -101,6 +102,41 @@ def snk_ics(v):
     return feeds.calendar_events(v.outages, _SITE, "site.example").select("id", "event")
 
 
+_EVENT_LINES = f"""['BEGIN:VEVENT', 'UID:' || id || '@site.example', 'DTSTAMP:' || {_STAMP("ingested_at")}, 'DTSTART:' || {_STAMP("starts_at")}, 'DTEND:' || {_STAMP("ends_at")},
+      'SUMMARY:' || replace({_KIND} || ' · ' || {_NAME} || ' — ' || {_AREAS}, ',', '\\,'), 'DESCRIPTION:' || source_name || ': ' || source_url, 'URL:{_SITE}/outage/' || {_SLUG}, 'END:VEVENT']"""
+#: Lines (key, text) cut from the left: up to 75 octets, then 74 behind a blank.
+_FOLD = """f AS (SELECT *, 0 AS step, NULL::VARCHAR AS line, text AS rest, 75 AS room, '' AS lead FROM lines
+    UNION ALL SELECT * EXCLUDE (step, line, rest, room, lead, c), step + 1, lead || left(rest, c), substr(rest, c + 1), 74, ' '
+      FROM (SELECT *, list_max(list_filter(range(1, 76), lambda k: strlen(left(rest, k)) <= room)) AS c FROM f WHERE rest <> ''))"""
+
+
+@query(
+    "o_str_icsfold",
+    f"""WITH RECURSIVE lines AS (SELECT p_partkey, 'SUMMARY:' || repeat('Küçük Kaymaklı — ' || p_name || ' ığ😀', (1 + p_partkey % 9)::INT) AS text FROM part), {_FOLD}
+    SELECT p_partkey, string_agg(line, chr(13) || chr(10) ORDER BY step) AS folded FROM f WHERE step > 0 GROUP BY p_partkey""",
+)
+def str_icsfold(v):
+    """Calendar lines in parts of at most 75 octets; characters of one to four octets."""
+    line = F.expr("'SUMMARY:' || repeat('Küçük Kaymaklı — ' || p_name || ' ığ😀', cast(1 + p_partkey % 9 as int))")
+    return v.table("part").select("p_partkey", feeds.folded(line).alias("folded"))
+
+
+@query(
+    "o_snk_ics_files",
+    f"""WITH RECURSIVE e AS (SELECT district, {_EVENT_LINES} AS event FROM v_outages WHERE kind <> 'fault' AND cancelled_at IS NULL AND ends_at IS NOT NULL),
+    every AS (SELECT district, unnest(event) AS text FROM e UNION ALL
+      SELECT district, unnest(['BEGIN:VCALENDAR', 'VERSION:2.0', 'X-WR-CALNAME:' || {_NAME}, 'X-WR-TIMEZONE:Asia/Nicosia', 'END:VCALENDAR']) FROM (SELECT DISTINCT district FROM e)),
+    lines AS (SELECT district, text, count(*) AS n FROM every GROUP BY ALL), {_FOLD}
+    SELECT district, line, sum(n)::BIGINT AS n FROM f WHERE step > 0 GROUP BY ALL""",
+    "v_outages",
+)
+def snk_ics_files(v):
+    """The calendars of all districts, written as files in ranges of time and read again."""
+    path = shared_folder(v.spark, "calendars")
+    feeds.write_calendars(v.outages, path, _SITE, "site.example")
+    return feeds.calendar_lines(v.spark, path).groupBy("district", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 _L = "timezone('Europe/Nicosia', timezone('UTC', {}))"
 _MONTHS = f"{tm.MONTHS['tr']!r}"
 _RANGE = f"""strftime({_L.format("starts_at")}, '%H:%M') || ' – ' || CASE WHEN ends_at IS NULL THEN '{feeds.END_UNKNOWN}' WHEN {_L.format("starts_at")}::DATE = {_L.format("ends_at")}::DATE THEN strftime({_L.format("ends_at")}, '%H:%M')

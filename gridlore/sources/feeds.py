@@ -44,10 +44,15 @@ def fold_octets(line: str) -> str:
     return "\r\n ".join([*parts, "".join(part)])
 
 
-def folded(lines: Column) -> Column:
-    """``fold_octets`` of each line; only lines over 75 octets leave the JVM's expressions."""
-    fold = F.udf(lambda xs: [fold_octets(x) for x in xs], "array<string>")
-    return F.when(F.exists(lines, lambda x: F.octet_length(x) > 75), fold(lines)).otherwise(lines)
+# On a line read as one character a byte: a part that more bytes follow than fit, up to the last byte that begins a character.
+_PART = r"(?s)(\A(?=.{76}).{72,75}|(?!\A)\G(?=.{75}).{71,74})(?=[^\x80-\xBF])"
+
+
+def folded(line: Column) -> Column:
+    """``fold_octets`` as an expression; lines of up to 75 octets stay as they are."""
+    octets = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    parts = F.regexp_replace(octets, _PART, "$1\r\n ")
+    return F.when(F.octet_length(line) > 75, F.decode(F.encode(parts, "ISO-8859-1"), "UTF-8")).otherwise(line)
 
 
 def calendar_events(outages: DataFrame, site: str, host: str) -> DataFrame:
@@ -69,14 +74,28 @@ def calendar_events(outages: DataFrame, site: str, host: str) -> DataFrame:
     return outages.where(live.in_calendar()).select("district", "starts_at", "id", kept.alias("event"))
 
 
-def calendars(outages: DataFrame, site: str, host: str) -> DataFrame:
-    """(district, ics): a calendar for each district."""
+def write_calendars(outages: DataFrame, path: str, site: str, host: str, parts: int | None = None) -> None:
+    """A calendar for each district under ``path/district=..``: its files in the order of their names are the calendar,
+    line by line. Records go through in order of start and id, however many a district has; nothing is gathered.
+
+    ``parts`` fixes the number of ranges; else their size does. A district without records has no calendar. ``path`` is
+    replaced.
+    """
     events = calendar_events(outages, site, host)
-    ordered = F.array_sort(F.collect_list(F.struct("starts_at", "id", "event")))
-    head = F.array(F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.concat(F.lit("X-WR-CALNAME:"), tx.ics_escape(_name())), F.lit("X-WR-TIMEZONE:Asia/Nicosia"))
-    lines = F.concat(head, F.flatten(F.transform("events", lambda e: e["event"])), F.array(F.lit("END:VCALENDAR")))
-    text = F.concat(F.array_join(folded(lines), "\r\n"), F.lit("\r\n"))
-    return events.groupBy("district").agg(ordered.alias("events")).select("district", text.alias("ics"))
+    text = F.array_join(F.transform("event", folded), "\r\n")
+    head = F.array_join(F.array(F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), folded(F.concat(F.lit("X-WR-CALNAME:"), tx.ics_escape(_name()))), F.lit("X-WR-TIMEZONE:Asia/Nicosia")), "\r\n")
+    frames = events.select("district").distinct().select("district", F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(2)), F.array(head, F.lit("END:VCALENDAR")))).alias("place", "value"))
+    nothing = [F.lit(None).cast("timestamp").alias("starts_at"), F.lit(None).cast("string").alias("id")]
+    order = ["district", "place", "starts_at", "id"]
+    lines = events.select("district", F.lit(1).alias("place"), "starts_at", "id", text.alias("value")).union(frames.select("district", "place", *nothing, "value"))
+    ranged = lines.repartitionByRange(parts, *order) if parts else lines.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).select("district", "value").write.mode("overwrite").partitionBy("district").option("lineSep", "\r\n").text(path)
+
+
+def calendar_lines(spark, path: str) -> DataFrame:
+    """(district, line) of written calendars."""
+    read = spark.read.schema("value string, district string").option("lineSep", "\r\n").text(path)
+    return read.select("district", col("value").alias("line"))
 
 
 def rss_items(outages: DataFrame, site: str) -> DataFrame:

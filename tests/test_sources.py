@@ -112,10 +112,15 @@ def test_front_matter(spark):
     assert (r["fields"], r["body"]) == ({"title": "A: b", "x": "1"}, "Body\n")
 
 
-def test_calendar(spark):
+def calendar(path, district="lefkosa"):
+    return b"".join(f.read_bytes() for f in sorted((path / f"district={district}").glob("part-*"))).decode()
+
+
+def test_calendar(spark, tmp_path):
     rows = frame(spark, [record("0" * 32, areas=("Gönyeli",) * 1 + tuple(f"Köy{k}" for k in range(30))), record("1" * 32, "fault", length=None), record("2" * 32)])
     rows = rows.withColumn("cancelled_at", F.when(F.col("id").startswith("2"), F.lit(T0)))
-    ics = feeds.calendars(rows, "https://site.example", "site.example").first()["ics"]
+    feeds.write_calendars(rows, str(tmp_path / "ics"), "https://site.example", "site.example")
+    ics = calendar(tmp_path / "ics")
     assert ics.count("BEGIN:VEVENT") == 1 and ics.endswith("END:VCALENDAR\r\n")
     assert max(len(line.encode()) for line in ics.split("\r\n")) <= 75
     unfolded = ics.replace("\r\n ", "")
@@ -129,6 +134,26 @@ def test_fold_octets_keeps_characters():
     assert all(len(x.encode()) <= 75 for x in folded.split("\r\n"))
 
 
+@pytest.mark.parametrize("letters", ["a", "ğ", "—", "😀", "ağ—😀", "😀a", "ab—"])
+def test_folding_as_an_expression_equals_the_plain_form(spark, letters):
+    lines = [(letters * 200)[:n] for n in (*range(0, 90), 147, 148, 149, 150, 151, 199)]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", feeds.folded(F.col("x")).alias("f"))
+    assert [r["f"] for r in df.collect()] == [feeds.fold_octets(r["x"]) for r in df.collect()]
+
+
+def test_a_calendar_in_many_parts_is_one_calendar(spark, tmp_path):
+    rows = frame(spark, [record(f"{k:032d}", start=500 - k // 2) for k in range(400)])
+    for parts in (1, 7):
+        feeds.write_calendars(rows, str(tmp_path / f"{parts}"), "https://site.example", "site.example", parts)
+    one, many = calendar(tmp_path / "1"), calendar(tmp_path / "7")
+    assert one == many and one.startswith("BEGIN:VCALENDAR\r\n") and one.endswith("END:VEVENT\r\nEND:VCALENDAR\r\n")
+    assert len(list((tmp_path / "7" / "district=lefkosa").glob("part-*"))) > 3
+    starts = [x for x in one.split("\r\n") if x.startswith("DTSTART:")]
+    assert len(starts) == 400 and starts == sorted(starts) and one.count("BEGIN:VCALENDAR") == one.count("END:VCALENDAR") == 1
+    feeds.write_calendars(rows.limit(0), str(tmp_path / "none"), "https://site.example", "site.example")
+    assert feeds.calendar_lines(spark, str(tmp_path / "7")).count() == one.count("\r\n")
+
+
 def test_rss_and_json(spark):
     rows = frame(spark, [record("0" * 32, areas=("A & B",)), record("x", length=None, start=9)])
     rss = feeds.news_feeds(rows, "https://site.example").first()["rss"]
