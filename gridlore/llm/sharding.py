@@ -1,16 +1,17 @@
 """Operator 1: shards by balanced label propagation.
 
-Documents that share a link key (here: equal texts) are linked. Rows with the same keys are bundled into
-vertices of at most 1/64 of a shard, so that a key has at most 64 vertices a shard, however many rows it
-has. A key is a hub: neighbours meet in its counts by shard, never in pairs. Each round joins vertices
-with their hubs' counts, lets each wish for the shard that holds most of its neighbours, and grants wishes
+Documents that share a link key (here: equal texts, and lines that different texts have in common) are linked. Rows
+with the same keys are bundled into vertices of at most 1/64 of a shard, so that a text has at most 64 vertices a
+shard, however many copies it has. A key is a hub: neighbours meet in its counts by shard, never in pairs. Each round joins vertices
+with their hubs' counts, lets each wish for the shard that holds most of its neighbours (each key counts once, by the
+shares of its neighbours, so that a line of a third of all rows does not outweigh what few share), and grants wishes
 under capacity quotas: wishes are counted by pair of shards and gain, and the driver turns this fixed
-small table into one threshold a pair. Rounds go on until no wish can be granted or the cut no longer
+small table into one threshold a pair. Rounds go on until no wish can be granted or the cut hardly
 shrinks.
 
 Then sizes are made exact. Rows of one bundle and shard are a clump; clumps of two rows or more are placed
-whole, the largest first, in their shard, else where there is room; rows without copies fill up. Only what
-finds no room as a whole is split. Nothing depends on where a row is stored: labels, draws and orders come
+whole, the largest first, in their shard, else where there is room; rows without copies that are linked stay in their
+shard while it has room, the others fill up. Only what finds no room as a whole is split. Nothing depends on where a row is stored: labels, draws and orders come
 from digests of keys.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import RID, crc32_text, cut, digest, drop, table, text_or_empty, with_row_id
+from gridlore.llm.common import RID, WORD, crc32_text, cut, digest, drop, table, text_or_empty, with_row_id
 
 #: Vertices of a full shard that has nothing but one bundle.
 _PIECES = 64
@@ -28,8 +29,12 @@ _SALT = 64
 #: Rows that one task sums up at a time, and hash buckets of a running sum at most.
 _RANKED, _BUCKETS = 10_000, 4096
 _LEVELS = 40
-#: Rounds without a smaller cut that end the propagation.
-_PATIENCE = 3
+#: Rounds that end the propagation where each shrinks the cut by less than 1 in ``_GAIN``.
+_PATIENCE, _GAIN = 3, 32
+#: What the neighbours of one key weigh.
+_SHARE = 1024
+#: Words of a line that links the texts that have it.
+LINK_WORDS = 5
 
 
 def _capacities(rows: int, shards: int) -> list[int]:
@@ -75,7 +80,7 @@ def _grant(asked: dict, room: list[int], shards: int) -> dict:
 def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
     """``vertices`` (sig, piece, w, keys, label) with the labels that propagation ends in.
 
-    Wishes count neighbours by weight, oneself left out. A vertex may move in every other round, by its
+    Wishes count the shares of each key's neighbours, by weight, oneself left out. A vertex may move in every other round, by its
     draw, so that neighbours do not change places for ever; the labels of the smallest cut are returned.
     """
     shards = len(capacity)
@@ -83,10 +88,13 @@ def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
     while still < _PATIENCE:
         member = now.select("sig", "piece", "w", "label", F.explode("keys").alias("key"))
         hubs = member.groupBy("key").agg(*[F.sum(F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(f"n{s}") for s in range(shards)])
+        others = sum((F.col(f"n{s}") for s in range(1, shards)), F.col("n0")) - F.col("w")
+        share = [F.expr(f"((n{s} - if(label = {s}, w, 0L)) * {_SHARE}) div others") for s in range(shards)]
         near = (
             member.join(hubs, "key")
+            .withColumn("others", F.greatest(others, F.lit(1)))
             .groupBy("sig", "piece", "w", "label")
-            .agg(*[F.sum(F.col(f"n{s}") - F.when(F.col("label") == s, F.col("w")).otherwise(0)).alias(f"n{s}") for s in range(shards)], F.min("key").alias("tie"))
+            .agg(*[F.sum(x).alias(f"n{s}") for s, x in enumerate(share)], F.min("key").alias("tie"))
         )
         rank = [F.struct(F.col(f"n{s}").alias("n"), _draw("tie", F.lit(s), seed=2).alias("tie"), F.lit(s).alias("s")) for s in range(shards)]
         own = F.element_at(F.array(*[F.col(f"n{s}") for s in range(shards)]), F.col("label") + 1)
@@ -108,9 +116,10 @@ def propagate(vertices: DataFrame, capacity: list[int]) -> DataFrame:
         counts = wish.groupBy("label", "to", F.when(moves, F.col("level")).alias("level")).agg(F.sum("w").alias("w"), F.sum("apart").alias("apart")).collect()
         apart = sum(r["apart"] for r in counts)
         if best is None or apart < best[0]:
+            still = 0 if best is None or apart * _GAIN < best[0] * (_GAIN - 1) else still + 1
             if best is not None:
                 drop(best[1])
-            best, still = (apart, now), 0
+            best = (apart, now)
         else:
             still += 1
         size = [sum(r["w"] for r in counts if r["label"] == s) for s in range(shards)]
@@ -158,8 +167,9 @@ def _intervals(room: list[int]) -> list[tuple[int, int, int]]:
 
 
 def settle(clumps: DataFrame, capacity: list[int]) -> DataFrame:
-    """(sig, label, off, w, shard) of ``clumps`` (sig, label, w): each whole in one shard, or, what finds no
-    room, cut into parts that begin at ``off``. Every shard ends with exactly its capacity."""
+    """(sig, label, off, w, shard) of ``clumps`` (sig, label, w, tied): each whole in one shard, or, what finds no
+    room, cut into parts that begin at ``off``. Single rows that are ``tied`` stay where groups leave room. Every shard
+    ends with exactly its capacity."""
     shards = len(capacity)
     columns = ["sig", "label", "off", "w", "shard"]
     clumps = clumps.withColumn("off", F.lit(0).cast("long"))
@@ -185,8 +195,12 @@ def settle(clumps: DataFrame, capacity: list[int]) -> DataFrame:
         pool = tried.where("shard is null").select("sig", "label", "off", "w")
         if not take(done[-1]):
             break
+    near = cut(_running(singles.where("tied"), "label").withColumn("stays", F.col("before") < _pick(room, F.col("label"))))
+    done.append(near.where("stays").withColumn("shard", F.col("label")).select(*columns))
+    take(done[-1])
+    pool = pool.union(near.where("not stays").select("sig", "label", "off", "w")).union(singles.where("not tied").select("sig", "label", "off", "w"))
     # What is left fills the rooms in order, groups first; singles never cross an edge.
-    rest = _running(pool.union(singles.select("sig", "label", "off", "w")).withColumn("g", F.lit(0)), "g")
+    rest = _running(pool.withColumn("g", F.lit(0)), "g")
     edges = _intervals(room)
     parts = F.array(
         *[
@@ -219,10 +233,10 @@ def place_bundles(bundles: DataFrame, rows: int, shards: int) -> tuple[int, Data
     hubs = vertices.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
     near = vertices.select("sig", "piece", F.explode("keys").alias("key")).join(hubs, "key").select("sig", "piece").distinct()
     linked = propagate(vertices.join(near, ["sig", "piece"]), capacity).select("sig", "piece", F.col("label").alias("__to"))
-    labelled = vertices.join(linked, ["sig", "piece"], "left").select("sig", "piece", "w", F.coalesce("__to", "label").alias("label"))
+    labelled = vertices.join(linked, ["sig", "piece"], "left").select("sig", "piece", "w", F.coalesce("__to", "label").alias("label"), F.col("__to").isNotNull().alias("tied"))
     inner = Window.partitionBy("sig", "label").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     labelled = cut(labelled.withColumn("at", F.coalesce(F.sum("w").over(inner), F.lit(0))))
-    settled = cut(settle(labelled.groupBy("sig", "label").agg(F.sum("w").alias("w")), capacity))
+    settled = cut(settle(labelled.groupBy("sig", "label").agg(F.sum("w").alias("w"), F.bool_or("tied").alias("tied")), capacity))
     slots = _running(settled, "shard").select("sig", "label", "off", F.col("w").alias("len"), "shard", F.col("before").alias("slot"))
     lo, hi = F.greatest("at", "off"), F.least(F.col("at") + F.col("w"), F.col("off") + F.col("len"))
     found = labelled.join(slots, ["sig", "label"]).where(lo < hi)
@@ -263,10 +277,22 @@ def shard_rows(rows: DataFrame, members: DataFrame, shards: int = 8) -> DataFram
     return shard_bundled(rows.drop("keys"), bundles, shards)
 
 
+def shared_lines(texts: DataFrame, least: int = LINK_WORDS) -> DataFrame:
+    """(sig, key): the lines of ``least`` words or more that texts of different ``sig`` have in common, for each of
+    them once. texts: sig, text; copies count once. Keys are 64-bit hashes: two lines that share one link two texts
+    more, nothing else."""
+    long = F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"(?:{WORD}[\x20\x09-\x0D]+){{{least - 1}}}{WORD}"))
+    lines = texts.select("sig", F.explode(F.array_distinct(F.transform(long, lambda x: F.xxhash64(x)))).alias("key"))
+    of = F.xxhash64("sig")
+    shared = cut(lines.groupBy("key").agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b").select("key"))
+    return lines.join(shared, "key", "left_semi").select("sig", F.hex("key").alias("key")).distinct()
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
-    Linked are rows of equal text, null counting as empty. Counts of shards differ by one at most, slots
+    Linked are rows of equal text, null counting as empty, and different texts with a line of ``LINK_WORDS`` words or
+    more in common; texts of any length are linked by all their lines. Counts of shards differ by one at most, slots
     run from 0 without gaps. A group of copies is split only where no shard has room for the whole of it
     once larger groups are placed. Which shards a text's copies go to depends on the texts and their
     counts, not on how the table is stored. Repeated rows and repeated or null doc_ids are rows of their
@@ -280,7 +306,9 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.hex(digest()).alias("sig"),
     )
     rows = cut(numbered(base).drop(RID))
-    bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).withColumn("keys", F.array("sig"))
+    lines = shared_lines(docs.select(F.hex(digest()).alias("sig"), "text")).groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("lines"))
+    bundles = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).join(lines, "sig", "left")
+    bundles = bundles.select("sig", "n", F.concat(F.array("sig"), F.coalesce("lines", F.array().cast("array<string>"))).alias("keys"))
     placed = shard_bundled(rows, bundles, shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

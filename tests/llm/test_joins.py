@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridlore.llm import ngram_join as nj
 from gridlore.llm import passages as ps
 from gridlore.llm import sharding as sh
@@ -145,6 +147,47 @@ def test_groups_are_whole_where_rows_without_copies_leave_room(docs):
     assert max(map(len, by_text.values())) == 1
 
 
+def plain_cut(vertices, label):
+    """Shares of neighbours that are elsewhere, by weight, over all vertices and keys: by pairs."""
+    total = 0
+    for v in vertices:
+        for key in v["keys"]:
+            others = [u for u in vertices if key in u["keys"] and (u["sig"], u["piece"]) != (v["sig"], v["piece"])]
+            n = sum(u["w"] for u in others)
+            total += v["w"] * sum(u["w"] for u in others if label[u["sig"]] != label[v["sig"]]) / max(n, 1)
+    return total
+
+
+def test_propagation_shrinks_the_cut_under_quotas(stored):
+    rng = random.Random(3)
+    rows = [(f"s{k:03d}", 0, rng.choice((1, 1, 2, 5)), [f"s{k:03d}", "everywhere", f"g{k % 24}", f"h{k % 24 // 2}"], rng.randrange(4)) for k in range(240)]
+    table = stored(rows, "sig string, piece long, w long, keys array<string>, label int")
+    vertices, total = [r.asDict() for r in table.collect()], sum(r[2] for r in rows)
+    found = {r["sig"]: r for r in sh.propagate(table, sh._capacities(total, 4)).collect()}
+    assert {k: (r["w"], r["keys"]) for k, r in found.items()} == {r[0]: (r[2], r[3]) for r in rows}
+    before, after = (plain_cut(vertices, x) for x in ({r[0]: r[4] for r in rows}, {k: r["label"] for k, r in found.items()}))
+    assert after < 0.8 * before
+    sizes = [sum(r["w"] for r in found.values() if r["label"] == s) for s in range(4)]
+    first = [sum(r[2] for r in rows if r[4] == s) for s in range(4)]
+    assert all(n <= max(f, total / 4 + 1) + 5 * 12 for n, f in zip(sizes, first, strict=True))
+
+
+def test_different_texts_with_a_line_in_common_are_linked(docs):
+    lines = [f"This line of family {k} stands in several texts." for k in range(30)]
+    rows = [(k, f"Own words {k} here.\n{lines[k % 30]}\nshort one\n{lines[k % 30 // 3]}") for k in range(600)] + [(600 + k, f"Own words {k} here.\n{lines[k % 30]}") for k in range(5)]
+    found = sh.shared_lines(docs(rows).select(F.md5("text").alias("sig"), "text")).collect()
+    holders = {x: {t for _, t in rows if x in t.split("\n")} for x in {x for _, t in rows for x in t.split("\n")}}
+    expected = sum(len(t) for x, t in holders.items() if len(t) > 1 and len(x.split()) >= sh.LINK_WORDS)
+    assert len(found) == len({(r["sig"], r["key"]) for r in found}) == expected
+    placed = sh.shard_documents(docs(rows)).collect()
+    check_shards(placed, len(rows))
+    family: dict = {}
+    for r in placed:
+        family.setdefault(r["doc_id"] % 30, []).append(r["shard"])
+    together = sum(max(x.count(s) for s in range(8)) for x in family.values())
+    assert together > 0.7 * len(rows)  # a random split leaves a quarter of a family in its first shard
+
+
 def test_shards_of_odd_rows(docs, odd_rows):
     placed = sh.shard_documents(docs(odd_rows)).collect()
     check_shards(placed, len(odd_rows))
