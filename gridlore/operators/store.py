@@ -83,7 +83,7 @@ def retract(stored: DataFrame, retractions: DataFrame, now: Column) -> DataFrame
 def retracted_ids(stored: DataFrame, retractions: DataFrame) -> DataFrame:
     """Ids that retractions mean, those of cancelled rows included."""
     by_id = stored.select("id").join(retractions.select("id"), "id", "left_semi")
-    return by_id.union(identity.same_event_pairs(stored, retractions).select(col("a").alias("id"))).distinct()
+    return by_id.union(identity.in_same_event(stored, retractions)).distinct()
 
 
 def resolve(stored: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -126,11 +126,10 @@ def _cited(stored: DataFrame) -> DataFrame:
     return stored.select("id", F.explode("sources").alias("s")).select("id", identity.article_key(col("s.url")).alias("article_key")).distinct()
 
 
-def _supporting(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
-    """(id, by, scope): records that an article which they cite supports, read again as the same event."""
-    facts = reparsed.where("readable").withColumn("id", F.concat_ws("/", "article_key", "id"))
-    pairs = identity.same_event_pairs(stored, facts).select(col("a").alias("id"), F.substring_index("b", "/", 1).alias("article_key"), col("b").alias("by"))
-    return pairs.join(_cited(stored), ["id", "article_key"], "left_semi").join(facts.select(col("id").alias("by"), "scope"), "by")
+def _supported(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
+    """(id) of records that an article which they cite supports, read again as the same event. They meet within it."""
+    citing = stored.withColumn("article_key", F.explode(F.array_distinct(F.transform("sources", lambda s: identity.article_key(s["url"])))))
+    return identity.in_same_event(citing, reparsed.where("readable"), within=["article_key"])
 
 
 def audit(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
@@ -142,7 +141,7 @@ def audit(stored: DataFrame, reparsed: DataFrame) -> DataFrame:
     by_id = cited.groupBy("id").agg(
         F.bool_or(F.coalesce("readable", F.lit(False))).alias("readable"), F.bool_or(F.coalesce(col("edited_at") > col("ingested_at"), F.lit(False))).alias("edited_since")
     )
-    good = _supporting(stored, reparsed).select("id").distinct().withColumn("supported", F.lit(True))
+    good = _supported(stored, reparsed).withColumn("supported", F.lit(True))
     verdict = F.when(~col("readable"), "unreadable").when(col("supported"), "supported").when(col("edited_since"), "edited since").otherwise("unsupported")
     return by_id.join(good, "id", "left").select("id", "readable", F.coalesce("supported", F.lit(False)).alias("supported"), "edited_since").withColumn("verdict", verdict)
 
@@ -153,9 +152,10 @@ def rederive_scope(stored: DataFrame, reparsed: DataFrame, known: DataFrame | No
     that no source supports any more keep theirs. ``known`` are the records as their sources knew them, where
     ``stored`` has been edited."""
     unsure = stored.where(live.names_own_district()).select("id", col("scope").alias("__old"))
-    read = _supporting(known if known is not None else stored, reparsed)
-    wide = read.groupBy("id").agg(F.when(F.bool_or(col("scope") == "district"), "district").otherwise("places").alias("scope"))
-    return unsure.join(wide, "id").where("scope <> __old").select("id", "scope")
+    known = (known if known is not None else stored).join(unsure.select("id"), "id", "left_semi")
+    wide = _supported(known, reparsed.where("scope = 'district'")).withColumn("scope", F.lit("district"))
+    read = _supported(known, reparsed).join(wide, "id", "left").withColumn("scope", F.coalesce("scope", F.lit("places")))
+    return unsure.join(read, "id").where("scope <> __old").select("id", "scope")
 
 
 def changed_paths(written: DataFrame, pages: DataFrame, limit: int = C.URL_BATCH) -> DataFrame:

@@ -244,3 +244,15 @@ def test_articles_and_labels_of_a_group_of_any_size(spark):
     labels = {r["g"]: r["labels"] for r in idn.labels_of(s, ["g"], "k").collect()}
     assert labels["g"] == [f"Outlet {k % 7} ({k // 7 + 1})" for k in range(n)]
     assert labels["h"] == ["B", "A (1)", "A (2)"]
+
+
+def test_pairs_come_once_and_meet_within_a_column(spark):
+    """Two places in common, continued open faults and equal records without places: no pair comes twice."""
+    both = dict(areas=("Gönyeli", "Hamitköy", "Lapta"))
+    rows = [record(f"r{k}", "fault", 5 * k, None, continuation=k < 2, **both) for k in range(4)] + [record(f"s{k}", start=5 * k, **both) for k in range(3)] + [record(f"t{k}", start=9000, areas=()) for k in range(2)]
+    t = frame(spark, rows)
+    pairs = [tuple(r) for r in idn.same_event_pairs(t, t).collect()]
+    assert len(pairs) == len(set(pairs)) == 16 + 9 + 4
+    left, right = t.withColumn("article", F.substring("id", 2, 1)), t.withColumn("article", F.when(F.col("id") == "r1", "3").otherwise("none"))
+    assert {r["id"] for r in idn.in_same_event(left, right, within=["article"]).collect()} == {"r3"}
+    assert {r["id"] for r in idn.in_same_event(t, t.where("id in ('r1', 't0')")).collect()} == {"r0", "r1", "r2", "r3", "t0", "t1"}
