@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +56,16 @@ def extract(announcements: DataFrame, extractor: Extractor, pause: Callable[[flo
     """Adds ``payload`` and ``error``: what the extractor says, or why it could not. Keep the filters before
     this step; nothing is moved through it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [asked(extractor, r.title, r.body, r.published_day, pause) for r in frame.itertuples()]
-            yield frame.assign(payload=[x for x, _ in found], error=[e for _, e in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asks = zip(*(batch.column(c).to_pylist() for c in ("title", "body", "published_day")), strict=True)
+            found = [asked(extractor, *x, pause) for x in asks]
+            told = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "payload", "error"])
 
     day = F.date_format(tm.local(col("published_at")), "yyyy-MM-dd EEEE")
     asking = announcements.withColumn("published_day", day)
-    return asking.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asking.schema) + ", payload string, error string")
+    return asking.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asking.schema) + ", payload string, error string")
 
 
 def valid_entries(payload: Column) -> Column:
@@ -181,6 +183,21 @@ def _joined(n: Column, found: Column) -> Column:
     return F.when(found.isNull(), none).otherwise(_distinct_names(F.flatten(F.transform(side, lambda own, i: of(i, own)))))
 
 
+def entries(announcements: DataFrame) -> DataFrame:
+    """One row an entry of each answer (e, numbered by ``entry``); one without an entry where there is none. ``unreadable``
+    where it is no answer. announcements: url, source (name, url, kind), published_at, fetched_at, payload, and ``error``
+    where there is one."""
+    error = col("error") if "error" in announcements.columns else F.lit(None).cast("string")
+    read = announcements.select("url", "source", "published_at", "fetched_at", error.alias("error"), valid_entries(col("payload")).alias("__e"))
+    return read.select("url", "source", "published_at", "fetched_at", "error", col("__e").isNull().alias("unreadable"), F.posexplode_outer("__e").alias("entry", "e"))
+
+
+def matched(read: DataFrame, gazetteer: Gazetteer) -> DataFrame:
+    """``entries`` with the places that they name (m) and their times (s). They are read twice, so that those of many
+    announcements are to be stored first."""
+    return gazetteer.match_areas(read, col("e.areas")).withColumn("s", F.when(col("e").isNotNull(), tm.schedule(col("e"), col("published_at"))))
+
+
 def resolve_announcements(announcements: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """One row a district of each entry: role (record, retraction, resolution) and the record's fields.
 
@@ -188,9 +205,12 @@ def resolve_announcements(announcements: DataFrame, gazetteer: Gazetteer) -> Dat
     without a usable time or without a known place give no row; ``outcomes`` counts them. Announcements are read
     twice: an extractor's answers are to be stored first.
     """
-    read = announcements.select("url", "source", "published_at", "fetched_at", F.posexplode(valid_entries(col("payload"))).alias("entry", "e"))
-    matched = gazetteer.match_areas(read, col("e.areas")).withColumn("s", tm.schedule(col("e"), col("published_at")))
-    usable = matched.where((F.size("m") > 0) & (col("e.resolved") | col("s").isNotNull()))
+    return records_of(matched(entries(announcements), gazetteer))
+
+
+def records_of(matched: DataFrame) -> DataFrame:
+    """``resolve_announcements`` of ``matched`` entries."""
+    usable = matched.where(col("e").isNotNull() & (F.size("m") > 0) & (col("e.resolved") | col("s").isNotNull()))
     parts = usable.withColumn("district", F.explode(F.array_distinct(F.transform("m", lambda m: m["district"]))))
     areas = F.transform(F.filter("m", lambda m: m["district"] == col("district")), lambda m: m["name"])
     parts = parts.withColumn("areas", areas).withColumn("area_keys", live.area_keys(col("areas")))
@@ -215,10 +235,12 @@ def fingerprint(starts_at: Column, ends_at: Column, area_keys: Column) -> Column
 
 def outcomes(announcements: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """(url, status, reason): parsed, skipped or failed, and why."""
-    entries = valid_entries(col("payload"))
-    listed = announcements.select("url", "published_at", F.col("error"), entries.isNull().alias("unreadable"), F.explode_outer(entries).alias("e"))
-    told = gazetteer.match_areas(listed, col("e.areas"))
-    untimed = col("e").isNotNull() & ~col("e.resolved") & tm.schedule(col("e"), col("published_at")).isNull()
+    return outcomes_of(matched(entries(announcements), gazetteer))
+
+
+def outcomes_of(told: DataFrame) -> DataFrame:
+    """``outcomes`` of ``matched`` entries."""
+    untimed = col("e").isNotNull() & ~col("e.resolved") & col("s").isNull()
     unplaced = col("e").isNotNull() & ~untimed & (F.size("m") == 0)
     by_url = told.groupBy("url").agg(
         F.max("error").alias("error"), F.bool_or("unreadable").alias("unreadable"), F.count("e").alias("n"),

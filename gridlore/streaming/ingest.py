@@ -7,8 +7,8 @@ same tables. Steps keep their order: store, retract, resolve, queue, mark read,
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping, Sequence
-from datetime import timedelta
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -40,22 +40,39 @@ def _day(at: str) -> Column:
 
 
 #: What a batch writes for itself; gone when it has come to its end.
-_OWN = ("read", "parsed", "outcomes", "written", "after")
+_OWN = ("read", "entries", "matched", "parsed", "outcomes", "written", "upserted", "retracted", "after")
+#: Parts of the stored records that a batch writes at most: where it changes more days, a part holds 2, 4, 8 .. days.
+PARTS = 128
 
 
-def _reach(parsed: DataFrame) -> set[str] | None:
-    """Days of stored records that the records, retractions and repairs of a batch can mean."""
+def _days_of(part: str) -> tuple[int, int]:
+    """(length, index) of a part: a day by its date, or ``x<length>-<index>``, in days since 1970."""
+    if part.startswith("x"):
+        length, _, index = part[1:].partition("-")
+        return int(length), int(index)
+    return 1, (date.fromisoformat(part) - date(1970, 1, 1)).days
+
+
+def _part(at: str, length: int) -> Column:
+    """The part of a row whose parts hold ``length`` days."""
+    return _day(at) if length == 1 else F.concat(F.lit(f"x{length}-"), F.floor(F.unix_date(F.to_date(at)) / length).cast("string"))
+
+
+def _reach(parsed: DataFrame, parts: Iterable[str]) -> set[str]:
+    """Those of ``parts`` with days of stored records that the records, retractions and repairs of a batch can mean."""
     low, high = F.min(F.least("starts_at", "resolved_at")), F.max(F.greatest("starts_at", "resolved_at"))
-    found = parsed.agg((low - tm.minutes(C.RESOLUTION_WINDOW)).alias("low"), (high + tm.minutes(C.CANDIDATE_WINDOW)).alias("high")).first()
+    day = lambda at: F.unix_date(F.to_date(at))
+    found = parsed.agg(day(low - tm.minutes(C.RESOLUTION_WINDOW)).alias("low"), day(high + tm.minutes(C.CANDIDATE_WINDOW)).alias("high")).first()
     if found["low"] is None:
         return set()
-    first, last = found["low"].date(), found["high"].date()
-    return {(first + timedelta(days=k)).isoformat() for k in range((last - first).days + 1)}
+    return {p for p in parts for n, k in [_days_of(p)] if k * n <= found["high"] and found["low"] < (k + 1) * n}
 
 
 def _store(parsed: DataFrame, version: int, tables: Snapshots, now: Column) -> tuple[DataFrame, Observation]:
     """Store, retract and resolve: reads the days that the batch can mean, rewrites those that it changes."""
-    stored = tables.read("outages", OUTAGES, version, _reach(parsed))
+    parts = set(tables.manifest("outages", version))
+    met = _reach(parsed, parts)
+    stored = tables.read("outages", OUTAGES, version, met)
     records = parsed.where("role = 'record'").dropDuplicates(["id", "url"])
     counts = Observation()
     merged = store.identity.store(records, live.candidates(stored, records).withColumn("continuation", F.lit(False)))
@@ -64,16 +81,29 @@ def _store(parsed: DataFrame, version: int, tables: Snapshots, now: Column) -> t
     rows = written.withColumn("area_keys", live.area_keys(col("areas")))
     columns = StructType.fromDDL(OUTAGES).names
     facts = [c for c in columns if c not in ("cancelled_at", "cancelled_reason", "updated_at")]
-    after = store.upsert(stored, rows.select(*facts), now)
+    # Each step reads the table several times, so it is written before the next one.
+    after = tables.put("upserted", version, store.upsert(stored, rows.select(*facts), now))
     after = store.retract(after.withColumn("continuation", F.lit(False)), parsed.where("role = 'retraction'"), now)
+    after = tables.put("retracted", version, after)
     # Repairs count in the order in which they were announced, however the batch is stored.
     closing = parsed.where("role = 'resolution'").select("district", "area_keys", "resolved_at", F.struct("published_at", "url", "entry").alias("ordinal"))
     after = tables.put("after", version, store.resolve(after, closing).select(*columns))
     # A record changes the day where it is and, where its start moves, the day where it was.
-    image = lambda df, name: df.select("id", F.struct(_day("starts_at").alias("day"), F.xxhash64(*columns).alias("hash")).alias(name))
+    image = lambda df, name: df.select("id", F.struct(F.unix_date(F.to_date("starts_at")).alias("day"), F.xxhash64(*columns).alias("hash")).alias(name))
     both = image(stored, "was").join(image(after, "now"), "id", "full_outer").where(~col("was").eqNullSafe(col("now")))
     days = [r["day"] for r in both.select(F.explode(F.array("was.day", "now.day")).alias("day")).where("day is not null").distinct().collect()]
-    tables.replace("outages", version, after.where(_day("starts_at").isin(days)), _day("starts_at"), days)
+    # Parts are as long as the longest there is, and longer where the batch would write too many.
+    length = max([n for n, _ in map(_days_of, parts)], default=1)
+    while len({d // length for d in days}) > PARTS:
+        length *= 2
+    name = lambda k: (date(1970, 1, 1) + timedelta(days=k)).isoformat() if length == 1 else f"x{length}-{k}"
+    touched = {d // length for d in days}
+    # Shorter parts become part of the one that takes their place; what the batch has not met is as it was.
+    gone = {p for p in parts for n, k in [_days_of(p)] if n < length and k * n // length in touched}
+    if unmet := gone - met:
+        after = after.unionByName(tables.read("outages", OUTAGES, version, unmet))
+    touched = [name(k) for k in touched]
+    tables.replace("outages", version, after.where(_part("starts_at", length).isin(touched)), _part("starts_at", length), touched, gone)
     return written, counts
 
 
@@ -83,8 +113,8 @@ def run_batch(
     """One run over a batch of announcements. The run is logged even where it fails; it is a success where
     its records are stored and, with ``sources`` given, at least one of them was read.
 
-    What it writes grows with the batch: records by the day of their start and seen addresses by the day when they
-    were first seen, of which those days are rewritten that the batch changes; the queue and the log are appended to.
+    What it writes grows with the batch: records by the days of their start and seen addresses by the day when they
+    were first seen, of which those are rewritten that the batch changes; the queue and the log are appended to.
     Counts are observed as the rows are written."""
     spark = batch.sparkSession
     now = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
@@ -97,8 +127,10 @@ def run_batch(
         read_count, queue_count = Observation(), Observation()
         unread = resolve.extract(store.unread(last, seen), extractor).observe(read_count, F.count(F.lit(1)).alias("read"))
         read = tables.put("read", version, unread)
-        parsed = tables.put("parsed", version, resolve.resolve_announcements(read, gazetteer))
-        outcomes = tables.put("outcomes", version, resolve.outcomes(read, gazetteer))
+        # Answers are read and places found once, for records and outcomes alike.
+        matched = tables.put("matched", version, resolve.matched(tables.put("entries", version, resolve.entries(read)), gazetteer))
+        parsed = tables.put("parsed", version, resolve.records_of(matched))
+        outcomes = tables.put("outcomes", version, resolve.outcomes_of(matched))
         _, store_count = _store(parsed, version, tables, now)
         failed = outcomes.where("status = 'failed'").join(read, "url")
         text = tx.collapse_space(F.concat_ws(". ", "title", "body"))
@@ -149,5 +181,6 @@ def start(spark: SparkSession, source: str, tables: Snapshots, extractor, gazett
 def backfill(spark: SparkSession, archive: DataFrame, extractor, gazetteer: resolve.Gazetteer) -> DataFrame:
     """Records of an archive of announcements, one an event, without state and without a run row. Each is extracted once."""
     hashed = archive.withColumn("content_hash", tx.article_hash(col("title"), col("body")))
-    parsed = resolve.resolve_announcements(written(resolve.extract(hashed, extractor), "read"), gazetteer)
+    read = written(resolve.entries(resolve.extract(hashed, extractor)), "entries")
+    parsed = resolve.records_of(resolve.matched(read, gazetteer))
     return store.identity.dedupe(parsed.where("role = 'record'"))

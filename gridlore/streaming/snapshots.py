@@ -67,16 +67,17 @@ class Snapshots:
 
     def _data(self, table: str, version: int, rows: DataFrame, part: Column) -> dict[str, list[str]]:
         to = f"{self.root}/{table}/data/v={version}"
-        rows.withColumn(_PART, part).repartition(_PART).write.partitionBy(_PART).mode("overwrite").parquet(to)
+        # Rows of a part lie together, but a large part is written by many tasks.
+        rows.withColumn(_PART, part).hint("rebalance", F.col(_PART)).write.partitionBy(_PART).mode("overwrite").parquet(to)
         return {n.partition("=")[2]: [f"data/v={version}/{n}"] for n in self._names(to) if n.startswith(f"{_PART}=")}
 
-    def replace(self, table: str, version: int, rows: DataFrame, part: Column, touched: Collection[str]) -> None:
-        """A version whose ``touched`` parts hold ``rows`` and nothing else, and whose other parts are as before.
-        ``part`` names a row's part: letters, digits and hyphens."""
+    def replace(self, table: str, version: int, rows: DataFrame, part: Column, touched: Collection[str], gone: Collection[str] = ()) -> None:
+        """A version whose ``touched`` parts hold ``rows`` and nothing else, and whose other parts are as before, but for
+        those that are ``gone``, whose rows are among ``rows``. ``part`` names a row's part: letters, digits and hyphens."""
         new = self._data(table, version, rows, part)
         if stray := set(new) - set(touched):
             raise ValueError(f"rows of parts that are not replaced: {sorted(stray)[:3]}")
-        kept = {p: f for p, f in self.manifest(table, version).items() if p not in touched}
+        kept = {p: f for p, f in self.manifest(table, version).items() if p not in touched and p not in gone}
         self._publish(table, version, kept | new)
 
     def append(self, table: str, version: int, rows: DataFrame, part: Column) -> None:
@@ -85,8 +86,10 @@ class Snapshots:
         self._publish(table, version, {p: old.get(p, []) + new.get(p, []) for p in old | new})
 
     def write(self, table: str, version: int, rows: DataFrame) -> None:
-        """A version of one part that holds ``rows``."""
-        self._publish(table, version, self._data(table, version, rows, F.lit("all")))
+        """A version of one part that holds ``rows``, as they are dealt out."""
+        folder = f"data/v={version}/{_PART}=all"
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{folder}")
+        self._publish(table, version, {"all": [folder]})
 
     def put(self, table: str, version: int, rows: DataFrame) -> DataFrame:
         """Write a version and read it."""
