@@ -88,11 +88,21 @@ def retracted_ids(stored: DataFrame, retractions: DataFrame) -> DataFrame:
 
 def resolve(stored: DataFrame, resolutions: DataFrame) -> DataFrame:
     """``stored`` with open records closed by the first resolution (lowest ``ordinal``) that names their
-    district and one of their places, at most 144 hours after their start. They meet on district and place."""
-    named = resolutions.select("district", F.explode(F.array_distinct("area_keys")).alias("__place"), "resolved_at", "ordinal")
-    open_ = stored.where("ends_at is null and cancelled_at is null").select("id", "district", "starts_at", F.explode("area_keys").alias("__place"))
-    within = (col("starts_at") <= col("resolved_at")) & (col("resolved_at") <= col("starts_at") + tm.minutes(C.RESOLUTION_WINDOW))
-    closed = open_.join(named, ["district", "__place"]).where(within).groupBy("id").agg(F.min_by("resolved_at", "ordinal").alias("__end"))
+    district and one of their places, at most 144 hours after their start.
+
+    Time is cut into slots of 144 hours, so what a record can mean is the end of its own slot from its start on and the
+    beginning of the next one. Both minima run along the slots of a place: nothing is paired, however many there are."""
+    reach = C.RESOLUTION_WINDOW * 60_000_000
+    place = lambda keys: F.explode(F.array_distinct(keys)).alias("__place")
+    told = F.when(col("ordinal").isNotNull(), F.struct("ordinal", "resolved_at")).alias("__told")
+    named = resolutions.where("resolved_at is not null").select("district", place("area_keys"), F.unix_micros("resolved_at").alias("__t"), told)
+    open_ = stored.where("ends_at is null and cancelled_at is null and starts_at is not null").select("id", "district", place("area_keys"), F.unix_micros("starts_at").alias("__t"))
+    asks = open_.withColumn("__from", F.lit(True)).union(open_.withColumn("__t", col("__t") + reach).withColumn("__from", F.lit(False)))
+    rows = asks.unionByName(named, allowMissingColumns=True).where("district is not null and __place is not null")
+    slot = Window.partitionBy("district", "__place", "__slot")
+    onward, so_far = (F.min("__told").over(slot.orderBy(order)) for order in (col("__t").desc(), col("__t")))
+    met = rows.withColumn("__slot", col("__t") - F.pmod("__t", F.lit(reach))).select("id", "__from", F.when(col("__from"), onward).otherwise(so_far).alias("__told"))
+    closed = met.where("__from is not null and __told is not null").groupBy("id").agg(F.min("__told").alias("__told")).select("id", col("__told.resolved_at").alias("__end"))
     return stored.join(closed, "id", "left").withColumn("ends_at", F.coalesce("ends_at", "__end")).drop("__end")
 
 

@@ -2,10 +2,12 @@
 
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from gridlore.operators import store
 from gridlore.streaming import ingest
 from gridlore.streaming.snapshots import Snapshots
 from tests.test_resolve import entry
@@ -30,3 +32,19 @@ def test_many_days_lie_in_few_parts(spark, tmp_path, gazetteer, monkeypatch):  #
     assert list(parts[0]) == [day(3)] and 1 < len(parts[1]) <= 3 and any(p.startswith("x") for p in parts[1])
     found = t.read("outages", ingest.OUTAGES).select(F.date_format("starts_at", "yyyy-MM-dd").alias("d"), F.size("sources").alias("n")).collect()
     assert sorted((r["d"], r["n"]) for r in found) == sorted([(day(3), 2), (day(60), 1), *((day(k), 1) for k in range(2, 26, 4))])
+
+
+def test_closings_are_not_paired(spark):
+    rng, t0 = random.Random(3), datetime(2026, 1, 1)
+    at = lambda: t0 + timedelta(hours=rng.choice([0, 144, 288, rng.randrange(900)]))
+    rows = [(f"r{k}", "girne" if k % 9 else None, at(), at() if k % 7 == 0 else None, rng.sample(["a", "b", "c"], rng.randrange(4)), t0 if k % 8 == 0 else None) for k in range(200)]
+    ends = [(rng.choice(["girne", "lefke"]), rng.sample(["a", "b", "d"], 2), at(), k if k % 5 else None) for k in range(60)]
+    stored = spark.createDataFrame(rows, "id string, district string, starts_at timestamp, ends_at timestamp, area_keys array<string>, cancelled_at timestamp")
+    closed = store.resolve(stored, spark.createDataFrame(ends, "district string, area_keys array<string>, resolved_at timestamp, ordinal int"))
+
+    def end(r):
+        fits = [e for e in ends if e[0] == r[1] and e[3] is not None and set(e[1]) & set(r[4]) and r[2] <= e[2] <= r[2] + timedelta(hours=144)]
+        return r[3] or (min(fits, key=lambda e: e[3])[2] if fits and r[5] is None else None)
+
+    assert {r["id"]: r["ends_at"] for r in closed.collect()} == {r[0]: end(r) for r in rows}
+    assert sum(line.lstrip(" :+-").startswith("Join") for line in closed._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
