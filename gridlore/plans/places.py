@@ -162,9 +162,9 @@ def geo_1(v):
     k = F.expr("cast(n_nationkey div 5 as double)")
     vertex = F.array(0.25 * F.col("n_regionkey") + 32.7 + 0.2 * F.cos(2 * math.pi * k / 5), 0.12 * F.sin(2 * math.pi * k / 5) + 35.2)
     nations = v.table("nation")
-    rings = nations.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), vertex.alias("at")))), lambda x: x["at"]).alias("ring"))
-    regions = nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey").join(rings, "n_regionkey")
-    return v.sites.join(regions, "c_nationkey").select("name", F.round(pl.ring_distance_km(F.col("ring"), F.col("lng"), F.col("lat")), 6).alias("km"))
+    rings = nations.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), vertex.alias("at")))), lambda x: x["at"]).alias("vertices"))
+    sites = v.sites.join(nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+    return pl.distances_km(sites, rings, "n_regionkey", "name").select("name", F.round("km", 6).alias("km"))
 
 
 @query(

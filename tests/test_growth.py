@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from gridlore.operators import store
+from gridlore.operators import places, store
 from gridlore.streaming import ingest
 from gridlore.streaming.snapshots import Snapshots
 from tests.test_resolve import entry
@@ -48,3 +48,14 @@ def test_closings_are_not_paired(spark):
 
     assert {r["id"]: r["ends_at"] for r in closed.collect()} == {r[0]: end(r) for r in rows}
     assert sum(line.lstrip(" :+-").startswith("Join") for line in closed._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+
+
+def test_distances_to_rings(spark):
+    rng = random.Random(5)
+    rings = [("r", [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 1.0], [0.0, 4.0]]), ("s", [[1.0, 1.0], [1.0, 1.0], [3.0, 2.0]])]
+    points = [(k, rng.choice("rs"), rng.uniform(-1, 5), rng.uniform(-1, 5)) for k in range(300)]
+    points, rings = spark.createDataFrame(points, "k int, ring string, lng double, lat double"), spark.createDataFrame(rings, "ring string, vertices array<array<double>>")
+    one = points.join(rings, "ring").select("k", places.ring_distance_km(F.col("vertices"), F.col("lng"), F.col("lat")).alias("km"))
+    expected = {r["k"]: r["km"] for r in one.collect()}
+    found = {r["k"]: r["km"] for r in places.distances_km(points, rings, "ring", "k").collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
