@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import text as tx
 from gridlore.functions import time as tm
 from gridlore.operators import live, places
+from gridlore.session import written
 
 col = F.col
 ENTRY = (
@@ -121,10 +122,13 @@ class Gazetteer:
         """
         most = F.lit(max(self.most_words, 1))
         cut = texts.where("text is not null").select(F.sha2("text", 256).alias("text_id"), tx.tokens(col("text")).alias("w"))
+        # A word of letters and digits folds to one word, so that a text is folded once and not run by run.
+        cut = cut.withColumn("f", F.split(tx.fold_key(F.array_join("w", " ")), " "))
         starts = F.filter(F.transform("w", lambda x, i: F.when(tx.proper(x), i)), lambda i: i.isNotNull())
-        run = lambda at, n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("w", at + 1, n), " ").alias("words"))
+        joined = lambda words, at, n: F.array_join(F.slice(words, at + 1, n), " ")
+        run = lambda at, n: F.struct(at.alias("at"), n.alias("n"), joined("w", at, n).alias("words"), joined("f", at, n).alias("key"))
         runs = F.flatten(F.transform(starts, lambda at: F.transform(F.sequence(F.lit(1), F.least(most, F.size("w") - at)), lambda n: run(at, n))))
-        runs = cut.select("text_id", F.inline(runs)).withColumn("key", tx.fold_key(col("words")))
+        runs = written(cut.select("text_id", F.inline(runs)), "runs")  # read three times
         said = runs.groupBy("key").agg((F.min("n") == 1).alias("one"))
         exact = said.join(self.keys, "key").select("key", "name", "district", F.lit(False).alias("fuzzy"))
         unknown = said.where("one").join(self.keys, "key", "left_anti").select(col("key").alias("word"))

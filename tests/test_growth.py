@@ -59,3 +59,10 @@ def test_distances_to_rings(spark):
     expected = {r["k"]: r["km"] for r in one.collect()}
     found = {r["k"]: r["km"] for r in places.distances_km(points, rings, "ring", "k").collect()}
     assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
+def test_texts_are_cut_once(spark, gazetteer):  # noqa: F811
+    texts = spark.createDataFrame([("Works in Girne and GÖNYELİ, not in Mars",), ("Çatalköy'de Lefkoşa",)], "text string")
+    found = gazetteer.match(texts)
+    assert "inline" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(sorted(m["name"] for m in r["found"]) for r in found.collect())[0][:1] == ["Girne"]
