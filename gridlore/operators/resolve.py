@@ -141,18 +141,20 @@ class Gazetteer:
         """``rows`` with a column of the places of a list of names. A name that is none is read together with its
         neighbour, the left one first, where the two say more than the neighbour alone.
 
-        Equal lists and equal names are matched once. ``rows`` are read twice, so what is not stored and is dear, or may
+        Equal lists and equal names are matched and read once; what lists name is written, so that the rows stay where they
+        are where it is small. ``rows`` are read twice, so what is not stored and is dear, or may
         change, is to be written first. Null and empty lists, and null names, have no places.
         """
         listed = rows.withColumn("__areas", F.coalesce(areas, F.array().cast("array<string>")))
         listed = listed.withColumn("__list", F.when(F.size("__areas") > 0, F.sha2(F.to_json("__areas"), 256)))
         each = listed.where("__list is not null").select("__list", "__areas").dropDuplicates(["__list"])
         alone_and_both = F.transform("__areas", lambda x, i: F.array(x, F.concat(x, F.lit(" "), F.get("__areas", i + 1))))
-        said = each.select("__list", F.posexplode(F.flatten(alone_and_both)).alias("at", "text")).where("text is not null")
+        said = each.select("__list", F.size("__areas").alias("n"), F.posexplode(F.flatten(alone_and_both)).alias("at", "text")).where("text is not null")
         found = self.match(said.select("text").distinct())
-        hits = said.select("__list", "at", F.sha2("text", 256).alias("text_id")).join(found, "text_id")
-        by_list = hits.groupBy("__list").agg(F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("__found"))
-        return listed.join(by_list, "__list", "left").withColumn(name, _joined(F.size("__areas"), col("__found"))).drop("__list", "__areas", "__found")
+        hits = said.select("__list", "n", "at", F.sha2("text", 256).alias("text_id")).join(found, "text_id")
+        by_list = hits.groupBy("__list").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("at", "found"))).alias("found"))
+        by_list = written(by_list.select("__list", _joined(col("n"), col("found")).alias("__places")), "lists")
+        return listed.join(by_list, "__list", "left").withColumn(name, F.coalesce("__places", F.array().cast(MATCH))).drop("__list", "__areas", "__places")
 
 
 def _distinct_names(found: Column) -> Column:
@@ -184,7 +186,7 @@ def _joined(n: Column, found: Column) -> Column:
         before, after = F.coalesce(F.get(side, i - 1), F.lit("")), F.coalesce(F.get(side, i + 1), F.lit(""))
         return F.when(after == "left", none).when(own == "left", both(i - 1)).when(own == "right", both(i)).when(before == "right", none).otherwise(alone(i))
 
-    return F.when(found.isNull(), none).otherwise(_distinct_names(F.flatten(F.transform(side, lambda own, i: of(i, own)))))
+    return _distinct_names(F.flatten(F.transform(side, lambda own, i: of(i, own))))
 
 
 def entries(announcements: DataFrame) -> DataFrame:

@@ -179,8 +179,9 @@ def start(spark: SparkSession, source: str, tables: Snapshots, extractor, gazett
 
 
 def backfill(spark: SparkSession, archive: DataFrame, extractor, gazetteer: resolve.Gazetteer) -> DataFrame:
-    """Records of an archive of announcements, one an event, without state and without a run row. Each is extracted once."""
-    hashed = archive.withColumn("content_hash", tx.article_hash(col("title"), col("body")))
+    """Records of an archive of announcements, one an event, without state and without a run row. Each is extracted once,
+    by as many tasks as there are, however few files hold the archive; places and times are found once."""
+    hashed = archive.repartition("url").withColumn("content_hash", tx.article_hash(col("title"), col("body")))
     read = written(resolve.entries(resolve.extract(hashed, extractor)), "entries")
-    parsed = resolve.records_of(resolve.matched(read, gazetteer))
-    return store.identity.dedupe(parsed.where("role = 'record'"))
+    matched = written(resolve.matched(read, gazetteer), "matched")
+    return store.identity.dedupe(written(resolve.records_of(matched).where("role = 'record'"), "parsed"))
