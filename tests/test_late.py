@@ -57,3 +57,32 @@ def test_advance():
     assert open_ == [] and ended == [("a", 0, 3, 100 * h), ("c", 50 * h, 1, 100 * h)]
     assert late.advance([("a", 0, 1)], [("r", 145 * h, True, False)]) == ([], [("a", 0, 1, None)])
     assert late.advance([], [("r", 0, True, False), ("a", h, False, False)]) == ([("a", h, 1)], [])
+
+
+class Kept(dict):
+    """State by slots that counts the reports that are read and written."""
+
+    read = written = 0
+    exists, keys, removeKey = (lambda self: bool(self)), (lambda self: list(dict.keys(self))), dict.pop
+
+    def getValue(self, key):
+        self.read += len(self[key][0])
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.written += len(value[0])
+        self[key] = value
+
+
+def test_waiting_reports_are_not_read_in_every_batch():
+    hour, run = 3_600_000, late.FollowUps()
+    run.waiting = Kept()
+    rows = [(f"{k:03d}", k * hour // 2, False, False) for k in range(400)]
+    ready = []
+    for batch in range(50):  # four hours each
+        new, watermark = rows[8 * batch : 8 * batch + 8], (4 * batch - 100) * hour
+        found, wake = run._ready(watermark, new)
+        ready += found
+        assert sorted(found) == found and (not run.waiting or watermark - late._LENGTH < min(wake))
+    assert len(ready) == 193 and run.waiting.read < 3 * len(rows) and run.waiting.written < 3 * len(rows)
+    assert sorted([*ready, *run._ready(400 * hour, [])[0]]) == rows and not run.waiting
